@@ -1,6 +1,11 @@
 """Importing this module registers every query of the catalogue."""
 
-from loanloom.plans import history_queries  # noqa: F401
+from loanloom.plans import (  # noqa: F401
+    application_queries,
+    evaluation_queries,
+    extended_queries,
+    history_queries,
+)
 from loanloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

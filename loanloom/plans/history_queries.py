@@ -244,11 +244,11 @@ ASSEMBLY_SQL = (
 FLOATING = (*TOTALS, "installment_mean_paid_ratio", "card_historical_mean_utilization")
 
 
-@query(
-    "history_assembly",
-    with_views(["v_raw", "v_bureau", "v_balance", "v_prev", "v_pay", "v_sched", "v_snap"], ASSEMBLY_SQL,
-               {**STEPS, **BUREAU_STEPS, **CARD_STEPS, **PARTS}),
-)
+ASSEMBLY_VIEWS = ["v_raw", "v_bureau", "v_balance", "v_prev", "v_pay", "v_sched", "v_snap"]
+ASSEMBLY_STEPS = {**STEPS, **BUREAU_STEPS, **CARD_STEPS, **PARTS}
+
+
+@query("history_assembly", with_views(ASSEMBLY_VIEWS, ASSEMBLY_SQL, ASSEMBLY_STEPS))
 def _assembly(spark: SparkSession, sf: str) -> DataFrame:
     applicants = views.raw_applications(spark, sf).select(ID)
     out = assemble(applicants, views.history_tables(spark, sf), views.schedule(spark, sf))

@@ -91,8 +91,8 @@ def _previous(d: str) -> dict[str, str]:
         "DAYS_DECISION": decided,
         "DAYS_AVAILABLE": f"{decided} + cast(o_orderkey % 30 as integer)",
         "NAME_CONTRACT_STATUS": "case o_orderstatus when 'F' then 'Approved' when 'O' then 'Refused' else 'Canceled' end",
-        "AMT_APPLICATION": "case when o_orderkey % 17 = 0 then 0 else o_totalprice end",
-        "AMT_CREDIT": "o_totalprice * 11 / 10",
+        "AMT_APPLICATION": "cast(case when o_orderkey % 17 = 0 then 0 else floor(o_totalprice) end as double)",
+        "AMT_CREDIT": "cast(floor(o_totalprice * 11 / 10) as double)",
     }
 
 
