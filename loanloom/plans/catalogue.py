@@ -5,6 +5,8 @@ from loanloom.plans import (  # noqa: F401
     evaluation_queries,
     extended_queries,
     history_queries,
+    profiling_queries,
+    repayment_queries,
 )
 from loanloom.plans.registry import ORACLE, QUERIES
 
