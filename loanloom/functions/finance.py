@@ -22,13 +22,13 @@ LEVELS = ("Low", "Moderate", "High")
 
 
 def annuity_payment(principal: Column, months: Column, annual_rate_percent: Column) -> Column:
-    """Level monthly payment rounded half-up to cents; straight line at a zero rate."""
+    """Level monthly payment rounded half-up to cents; straight line (in decimals) at a zero rate."""
     p = principal.cast("double")
     n = months.cast("double")
     monthly = annual_rate_percent.cast("double") / 1200
     level = p * monthly / (1 - F.pow(1 + monthly, -n))
-    exact = F.when(annual_rate_percent == 0, p / n).otherwise(level)
-    return F.round(exact, 2).cast("decimal(16,2)")
+    straight = F.round(principal.cast("decimal(14,2)") / months.cast("decimal(4,0)"), 2).cast("decimal(16,2)")
+    return F.when(annual_rate_percent == 0, straight).otherwise(F.round(level, 2).cast("decimal(16,2)"))
 
 
 def raw_annuity(principal: Column, months: Column, annual_rate: float = 0.12) -> Column:
