@@ -5,6 +5,7 @@ from loanloom.plans import (  # noqa: F401
     evaluation_queries,
     extended_queries,
     history_queries,
+    ledger_queries,
     planner_queries,
     profiling_queries,
     repayment_queries,
