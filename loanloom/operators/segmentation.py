@@ -10,6 +10,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,18 +95,18 @@ def squared_silhouette(df: DataFrame, cluster: str = "cluster") -> float:
 def cluster_scatter(df: DataFrame, label: str, array: str) -> DataFrame:
     """``(label, centroid, size, scatter)``; scatter is the mean distance to the centroid.
 
-    Centroids are one row per cluster and dimension, whatever the number of rows.
+    Centroids are map-side-combined vector means, one row per cluster; whether
+    they are broadcast is left to the measured size.
     """
-    dims = df.select(label, F.posexplode(array).alias("dim", "x"))
-    centers = (
-        dims.groupBy(label, "dim").agg(F.avg(F.col("x").cast("double")).alias("c"))
-        .groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "c"))), lambda s: s["c"]).alias("centroid"))
-    )
-    gaps = F.zip_with(F.col(array), F.col("centroid"), lambda x, c: (x.cast("double") - c) * (x.cast("double") - c))
+    numbers = F.transform(array, lambda x: x.cast("double"))
+    points = df.select(label, numbers.alias("_x"))
+    means = Summarizer.mean(array_to_vector("_x"))
+    centers = points.groupBy(label).agg(vector_to_array(means).alias("centroid"))
+    gaps = F.zip_with("_x", "centroid", lambda x, c: (x - c) * (x - c))
     distance = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda a, b: a + b))
-    joined = df.select(label, array).join(F.broadcast(centers), label)
+    joined = points.join(centers, label)
     return joined.groupBy(label).agg(
-        F.first("centroid").alias("centroid"), F.count(F.lit(1)).alias("size"), F.avg(distance).alias("scatter")
+        F.max("centroid").alias("centroid"), F.count(F.lit(1)).alias("size"), F.avg(distance).alias("scatter")
     )
 
 
