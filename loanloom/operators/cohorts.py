@@ -83,11 +83,16 @@ def stratified_cap(df: DataFrame, limit: int, key: str = "id", label: str = "y")
 
 
 def nested_folds(df: DataFrame, key: str = "id", label: str = "y", folds: int = FOLDS) -> DataFrame:
-    """``(id, y, assess_fold, inner_slot)``: the fold that assesses a row, and its calibration slot."""
+    """``(id, y, assess_fold, inner_slot, tune_fold)`` from one ranking.
+
+    The fold that assesses a row, its calibration slot inside the other folds,
+    and its fold in the inner search; all three are stratified by class.
+    """
     ranks = class_ranks(df, key, label)
     return ranks.select(
         key, label, (F.col("rank") % folds).cast("int").alias("assess_fold"),
         (F.floor(F.col("rank") / folds) % 5).cast("int").alias("inner_slot"),
+        (F.floor(F.col("rank") / (5 * folds)) % FOLDS).cast("int").alias("tune_fold"),
     )
 
 

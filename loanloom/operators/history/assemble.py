@@ -80,7 +80,7 @@ def history_features(
     applicants: DataFrame, tables: dict[str, DataFrame], schedule: DataFrame, context: dict
 ) -> DataFrame:
     """Gated build: evidence first, then contracts, then features."""
-    enforce_gates([g for g in HISTORY_GATES if context.get(g) is not True])
+    enforce_gates([f"Full unavailable: {g}" for g in HISTORY_GATES if context.get(g) is not True])
     enforce_gates(source_blockers(context, tables))
     enforce(count_as(duplicate_keys(applicants, [ID]), "Missing or duplicate applicant"))
     enforce(history_checks(tables, schedule))

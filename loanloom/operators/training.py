@@ -103,13 +103,19 @@ class Fitted:
         return scored.select(*keep, vector_to_array("probability")[1].alias(column))
 
 
-def fit(name: str, params: Mapping, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Fitted:
-    """Fit on rows with features and ``y``; the prepared vectors are kept for the iterations."""
+def prepare(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], extra: Sequence[str] = ()):
+    """Preparation learned on the rows, their weighted vectors (cached for the iterations) and class sizes."""
     sizes = class_sizes(train, "y")
     if set(sizes) != {0, 1}:
         raise ContractError("Training requires both target classes")
     prep = ModelPreparation(numeric, categorical).fit(train)
-    ready = prep.transform(train.withColumn("w", class_weight(sizes)), ["y", "w"]).persist()
+    ready = prep.transform(train.withColumn("w", class_weight(sizes)), ["y", "w", *extra]).persist()
+    return prep, ready, sizes
+
+
+def fit(name: str, params: Mapping, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Fitted:
+    """Fit one family on rows with features and ``y``."""
+    prep, ready, sizes = prepare(train, numeric, categorical)
     try:
         model = estimator(name, params, sum(sizes.values())).fit(ready)
     finally:
@@ -117,34 +123,41 @@ def fit(name: str, params: Mapping, train: DataFrame, numeric: Sequence[str], ca
     return Fitted(name, dict(params), prep, model)
 
 
+def search(name: str, ready: DataFrame, rows: int, options: Sequence[Mapping], fold_column: str):
+    """Best option by mean ROC-AUC over given folds, with the model refitted on all rows.
+
+    A single option needs no search; its AUC is then unknown.
+    """
+    if len(options) == 1:
+        return dict(options[0]), None, estimator(name, options[0], rows).fit(ready)
+    base = estimator(name, options[0], rows)
+    maps = []
+    for option in options:
+        tuned = estimator(name, option, rows)
+        maps.append({base.getParam(p.name): v for p, v in tuned.extractParamMap().items() if tuned.isSet(p)})
+    found = CrossValidator(
+        estimator=base, estimatorParamMaps=maps, numFolds=FOLDS, foldCol=fold_column, parallelism=4,
+        evaluator=BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC", numBins=0),
+    ).fit(ready)
+    best = max(range(len(options)), key=lambda i: found.avgMetrics[i])
+    return dict(options[best]), float(found.avgMetrics[best]), found.bestModel
+
+
 def tune(
     name: str, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], *, trials: int = 5,
     tune_rows: int | None = None, key: str = "id", grid: Sequence[Mapping] | None = None,
-) -> tuple[dict, float]:
-    """Best parameters by three-fold ROC-AUC with stratified hash folds."""
+) -> tuple[dict, float | None]:
+    """Best parameters by three-fold ROC-AUC on at most ``tune_rows`` rows with the class mix kept."""
     rows = train
     if tune_rows is not None:
         rows = train.join(stratified_cap(train, tune_rows, key, "y").select(key), key, "left_semi")
-    sizes = class_sizes(rows, "y")
     folds = nested_folds(rows, key, "y").select(key, F.col("assess_fold").alias("fold"))
-    prep = ModelPreparation(numeric, categorical).fit(rows)
-    ready = prep.transform(rows.join(folds, key).withColumn("w", class_weight(sizes)), ["y", "w", "fold"]).persist()
-    options = list(grid or candidates(name, trials))
-    base = estimator(name, options[0], sum(sizes.values()))
-    maps = []
-    for option in options:
-        tuned = estimator(name, option, sum(sizes.values()))
-        maps.append({base.getParam(p.name): v for p, v in tuned.extractParamMap().items() if tuned.isSet(p)})
-    search = CrossValidator(
-        estimator=base, estimatorParamMaps=maps, numFolds=FOLDS, foldCol="fold", parallelism=4,
-        evaluator=BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC", numBins=0),
-    )
+    _, ready, sizes = prepare(rows.join(folds, key), numeric, categorical, ["fold"])
     try:
-        scores = search.fit(ready).avgMetrics
+        params, auc, _ = search(name, ready, sum(sizes.values()), list(grid or candidates(name, trials)), "fold")
     finally:
         ready.unpersist()
-    best = max(range(len(options)), key=lambda i: scores[i])
-    return dict(options[best]), float(scores[best])
+    return params, auc
 
 
 # ---------------------------------------------------------------- calibration
@@ -197,31 +210,42 @@ def score_batch(df: DataFrame, fitted: Fitted, calibrator: Calibrator, keep: Seq
 def nested_selection(
     df: DataFrame, models: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], *, trials: int = 5,
     tune_rows: int | None = None, grids: Mapping[str, Sequence[Mapping]] | None = None, folds: int = FOLDS,
-) -> list[dict]:
-    """Per outer fold, family and calibration: metrics on rows that fitted neither model nor calibrator."""
+) -> DataFrame:
+    """Per outer fold, family and calibration: metrics on rows that fitted neither model nor calibrator.
+
+    Rows are ranked once for outer folds, calibration slots and inner folds.
+    Assessment predictions of all candidates stay narrow branches over the
+    cached rows and are measured in one grouped pass at the end.
+    """
     placed = df.join(nested_folds(df, "id", "y", folds).drop("y"), "id").persist()
-    records = []
+    predictions = None
     for fold in range(folds):
         role = placed.withColumn("_role", fold_role(fold))
         base, cal, assess = (role.where(F.col("_role") == r).drop("_role") for r in ("base", "calibration", "assessment"))
+        prep, ready, sizes = prepare(base, numeric, categorical, ["tune_fold"])
         for name in models:
-            params, inner = tune(name, base, numeric, categorical, trials=trials, tune_rows=tune_rows, grid=(grids or {}).get(name))
-            fitted = fit(name, params, base, numeric, categorical)
-            cal_raw = fitted.score(cal, ["y"])
-            raw = fitted.score(assess, ["id", "y"]).persist()
+            options = list((grids or {}).get(name) or candidates(name, trials))
+            if tune_rows is not None and sum(sizes.values()) > tune_rows and len(options) > 1:
+                params, inner = tune(name, base, numeric, categorical, tune_rows=tune_rows, grid=options)
+                model = estimator(name, params, sum(sizes.values())).fit(ready)
+            else:
+                params, inner, model = search(name, ready, sum(sizes.values()), options, "tune_fold")
+            fitted = Fitted(name, params, prep, model)
+            cal_raw = fitted.score(cal, ["y"]).persist()
             for method in METHODS:
-                p = fit_calibrator(method, cal_raw).apply(raw)
-                ranks = rank_metrics(p).first()
-                records.append(
-                    {
-                        "model": name, "calibration": method, "fold": fold,
-                        "brier": probability_losses(p).first()["brier"], "roc_auc": ranks["roc_auc"],
-                        "average_precision": ranks["average_precision"], "inner_auc": inner,
-                    }
+                calibrated = fit_calibrator(method, cal_raw).apply(fitted.score(assess, ["id", "y"]))
+                part = calibrated.select(
+                    F.lit(name).alias("model"), F.lit(method).alias("calibration"), F.lit(fold).alias("fold"),
+                    F.lit(inner).cast("double").alias("inner_auc"), "y", "p",
                 )
-            raw.unpersist()
-    placed.unpersist()
-    return records
+                predictions = part if predictions is None else predictions.unionByName(part)
+            cal_raw.unpersist()
+        ready.unpersist()
+    groups = ["model", "calibration", "fold"]
+    ranks = rank_metrics(predictions, groups=groups).select(*groups, "roc_auc", "average_precision")
+    inner = predictions.groupBy(*groups).agg(F.max("inner_auc").alias("inner_auc"))
+    losses = probability_losses(predictions, groups=groups).select(*groups, "brier")
+    return ranks.join(losses, groups).join(inner, groups)
 
 
 def ablation(

@@ -30,10 +30,11 @@ def cohorts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 @query("train_compare")
 def _compare(spark: SparkSession, sf: str) -> DataFrame:
     """Two families, two calibrations, three nested folds, small grids."""
-    grids = {"logistic_regression": [{"C": 0.05}, {"C": 1.0}], "decision_tree": [{"maxDepth": 4, "minInstancesPerNode": 50}]}
-    records = T.nested_selection(labeled(spark, sf), list(grids), BASE_NUMERIC, CATEGORICAL, grids=grids)
-    schema = "model string, calibration string, fold int, brier double, roc_auc double, average_precision double, inner_auc double"
-    return spark.createDataFrame(records, schema)
+    grids = {
+        "logistic_regression": [{"C": 1.0}],
+        "decision_tree": [{"maxDepth": 4, "minInstancesPerNode": 50}, {"maxDepth": 6, "minInstancesPerNode": 50}],
+    }
+    return T.nested_selection(labeled(spark, sf), list(grids), BASE_NUMERIC, CATEGORICAL, grids=grids)
 
 
 @query("calibrate")

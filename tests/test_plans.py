@@ -1,0 +1,32 @@
+"""Physical plans: no Python in the core, no cartesian product, no global window over data."""
+
+import pytest
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+# fitted on a driver loop, or streaming sorted partitions through Arrow on purpose
+PYTHON_ALLOWED = {"bootstrap_ci", "segment_k_sweep", "train_compare", "calibrate", "score_batch", "feature_ablation",
+                  "permutation_importance", "linear_attribution", "top_contributions", "segment_assign", "pca_2d"}
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in PYTHON_ALLOWED])
+def test_plan(spark, name):
+    plan = physical(entry.queries()[name](spark, SF))
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
+        assert node not in plan, f"{name} uses {node}"
+
+
+def test_scan_reads_only_needed_columns(spark):
+    plan = physical(entry.queries()["previous_features"](spark, SF))
+    scan = next(line for line in plan.splitlines() if "Scan parquet" in line)
+    assert "o_totalprice" not in scan and "o_orderstatus" in scan
+
+
+def test_past_filter_reaches_the_aggregate_before_the_shuffle(spark):
+    plan = physical(entry.queries()["bureau_account_features"](spark, SF))
+    assert plan.count("Exchange") == 1
