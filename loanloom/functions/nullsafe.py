@@ -51,7 +51,7 @@ def malformed(value: Column) -> Column:
 
 def to_minor(amount: Column) -> Column:
     """Exact integer money in ten-thousandths of the currency unit."""
-    return F.round(amount.cast("double") * MINOR_SCALE, 0).cast("bigint")
+    return F.rint(amount.cast("double") * MINOR_SCALE).cast("bigint")
 
 
 def clean_floats(df: DataFrame) -> DataFrame:

@@ -142,8 +142,12 @@ def add_derived(df: DataFrame) -> DataFrame:
     return df.withColumns(derived_columns())
 
 
-def lite_rules() -> list[Rule]:
-    """Rules on canonical columns in the order in which a row is rejected."""
+def lite_rules(*, mapped: bool = False) -> list[Rule]:
+    """Rules on canonical columns in the order in which a row is rejected.
+
+    ``mapped`` says that categories come from the vocabulary mapping, where only
+    a null of a required category can still be wrong.
+    """
     c = F.col
     rules = []
     for name in BASE_NUMERIC:
@@ -164,7 +168,9 @@ def lite_rules() -> list[Rule]:
         Rule("dependent_children exceeds household_size-1", c("dependent_children") > c("household_size") - 1)
     )
     for name in CATEGORICAL:
-        known = F.coalesce(c(name).isin(categories(name)), F.lit(False))
+        if mapped and name in OPTIONAL_CATEGORIES:
+            continue
+        known = c(name).isNotNull() if mapped else F.coalesce(c(name).isin(categories(name)), F.lit(False))
         rules.append(Rule(f"Unsupported category in {name}; use canonical vocabulary", ~known))
     overflow = F.lit(False)
     for value in derived_columns().values():
@@ -199,7 +205,7 @@ def adapt_applications(raw: DataFrame) -> DataFrame:
     reason = (
         F.when(~F.col("_eligible"), F.lit("unsupported_product"))
         .when(F.col("_unreadable").isNotNull(), F.col("_unreadable"))
-        .otherwise(first_reason(lite_rules()))
+        .otherwise(first_reason(lite_rules(mapped=True)))
     )
     return add_derived(canonical.withColumn("reason", reason)).drop("_eligible", "_unreadable")
 

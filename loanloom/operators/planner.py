@@ -7,6 +7,8 @@ plan has no shuffle, no join and no window, whatever the number of requests.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,24 +84,45 @@ def fit_points(income: Column, service: Column, residual: Column) -> tuple[Colum
     return burden_points, 40 * F.least(F.greatest(room, F.lit(0.0)), F.lit(1.0))
 
 
-def _scenario(s: Column) -> Column:
-    emi, term = s["emi"], s["term_months"]
-    total = (emi * term).cast("decimal(20,2)")
-    interest = F.greatest(F.lit(0).cast("decimal(20,2)"), (total - F.col("requested_amount")).cast("decimal(20,2)"))
-    service = F.col(DEBT) + emi
-    residual = (F.col(INCOME) - F.col(EXPENSES) - F.col(DEBT) - emi).cast("decimal(18,2)")
-    goal_residual = (residual - F.col(GOAL)).cast("decimal(18,2)")
-    budget = F.coalesce(goal_residual, residual)
-    burden_points, residual_points = fit_points(F.col(INCOME), service, residual)
-    return F.struct(
-        term.alias("term_months"), emi.alias("emi"), total.alias("total_repayment"), interest.alias("total_interest"),
-        service.alias("debt_service"), residual.alias("residual"), goal_residual.alias("goal_residual"),
-        budget.alias("budget_residual"), (budget >= 0).alias("fits_budget"), (goal_residual >= 0).alias("goal_fit"),
-        F.round(burden_points, 2).alias("burden_points"), F.round(residual_points, 2).alias("residual_points"),
-        F.round(burden_points + residual_points, 0).cast("int").alias("planning_fit_score"),
+def _extend(array: str, fields: Callable[[Column], dict[str, Column]], kept: Sequence[str]) -> Column:
+    """The array with more fields per element; every stage is evaluated once per element."""
+    return F.transform(
+        array, lambda s: F.struct(*[s[k].alias(k) for k in kept], *[v.alias(k) for k, v in fields(s).items()])
     )
 
 
+def _price(s: Column) -> dict[str, Column]:
+    total = (s["emi"] * s["term_months"]).cast("decimal(20,2)")
+    return {
+        "total_repayment": total,
+        "total_interest": F.greatest(F.lit(0).cast("decimal(20,2)"), (total - F.col("requested_amount")).cast("decimal(20,2)")),
+        "debt_service": F.col(DEBT) + s["emi"],
+        "residual": (F.col("_free") - s["emi"]).cast("decimal(18,2)"),
+    }
+
+
+def _budget(s: Column) -> dict[str, Column]:
+    goal_residual = (s["residual"] - F.col(GOAL)).cast("decimal(18,2)")
+    burden_points, residual_points = fit_points(F.col(INCOME), s["debt_service"], s["residual"])
+    return {
+        "goal_residual": goal_residual, "budget_residual": F.coalesce(goal_residual, s["residual"]),
+        "_burden": burden_points, "_room": residual_points,
+    }
+
+
+def _points(s: Column) -> dict[str, Column]:
+    return {
+        "fits_budget": s["budget_residual"] >= 0, "goal_fit": s["goal_residual"] >= 0,
+        "burden_points": F.round(s["_burden"], 2), "residual_points": F.round(s["_room"], 2),
+        "planning_fit_score": F.round(s["_burden"] + s["_room"], 0).cast("int"),
+    }
+
+
+_PRICED = ["term_months", "emi"]
+_SERVED = [*_PRICED, "total_repayment", "total_interest", "debt_service", "residual"]
+_BUDGETED = [*_SERVED, "goal_residual", "budget_residual"]
+
+
 def scenarios(requests: DataFrame) -> DataFrame:
     """Requests with an array of scenarios, one per term."""
     priced = F.transform(
@@ -109,7 +132,11 @@ def scenarios(requests: DataFrame) -> DataFrame:
             annuity_payment(F.col("requested_amount"), t, F.col("annual_rate_percent")).alias("emi"),
         ),
     )
-    return requests.withColumn("_priced", priced).withColumn("scenarios", F.transform("_priced", _scenario)).drop("_priced")
+    free = (F.col(INCOME) - F.col(EXPENSES) - F.col(DEBT)).cast("decimal(18,2)")
+    df = requests.withColumns({"scenarios": priced, "_free": free})
+    df = df.withColumn("scenarios", _extend("scenarios", _price, _PRICED))
+    df = df.withColumn("scenarios", _extend("scenarios", _budget, _SERVED))
+    return df.withColumn("scenarios", _extend("scenarios", _points, _BUDGETED)).drop("_free")
 
 
 def scenario_rows(requests: DataFrame, key: str = "request_id") -> DataFrame:
@@ -142,9 +169,13 @@ def stress_rows(requests: DataFrame, key: str = "request_id") -> DataFrame:
     )
 
 
-def _normalized(values: str, value: Column) -> Column:
+def _doubles_of(field: str) -> Column:
+    return F.transform("scenarios", lambda s: s[field].cast("double"))
+
+
+def _normalized(name: str, value: Column) -> Column:
     """100 for the smallest of a request's values down to 0 for the largest; 100 when all agree."""
-    low, high = F.array_min(values).cast("double"), F.array_max(values).cast("double")
+    low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
     return F.when(low == high, F.lit(100.0)).otherwise((high - value.cast("double")) * 100 / (high - low))
 
 
@@ -161,8 +192,11 @@ def ranked_scenarios(requests: DataFrame) -> DataFrame:
     """
     df = scenarios(requests).withColumns(
         {
-            "_emis": F.transform("scenarios", lambda s: s["emi"]),
-            "_interests": F.transform("scenarios", lambda s: s["total_interest"]),
+            **{
+                f"_{side}_{name}": pick(_doubles_of(field))
+                for name, field in (("emi", "emi"), ("interest", "total_interest"))
+                for side, pick in (("low", F.array_min), ("high", F.array_max))
+            },
             "_any_fit": F.exists("scenarios", lambda s: s["fits_budget"]),
             "_monthly_weight": _by_priority(0),
             "_interest_weight": _by_priority(1),
@@ -170,7 +204,7 @@ def ranked_scenarios(requests: DataFrame) -> DataFrame:
     )
 
     def scored(s: Column) -> Column:
-        monthly, saving = _normalized("_emis", s["emi"]), _normalized("_interests", s["total_interest"])
+        monthly, saving = _normalized("emi", s["emi"]), _normalized("interest", s["total_interest"])
         combined = F.round(monthly * F.col("_monthly_weight") + saving * F.col("_interest_weight"), 2)
         return F.struct(
             s.alias("s"), F.round(monthly, 2).alias("monthly_room_score"), F.round(saving, 2).alias("interest_saving_score"),
@@ -190,7 +224,7 @@ def ranked_scenarios(requests: DataFrame) -> DataFrame:
     df = df.withColumn("_scored", F.transform("scenarios", scored))
     df = df.withColumn("_ordered", F.array_sort(F.transform("_scored", keyed)))
     df = df.withColumn("ranked", F.transform("_ordered", lambda k: k["r"]))
-    return df.drop("_scored", "_ordered", "_emis", "_interests")
+    return df.drop("_scored", "_ordered", "_low_emi", "_high_emi", "_low_interest", "_high_interest")
 
 
 def _difference(mine: Column, other: Column) -> Column:

@@ -112,7 +112,7 @@ BALANCE = {
 PAYMENT_ID = (
     "concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', "
     "cast(l_suppkey as string), '-', cast(cast(l_shipdate as date) as string), '-', "
-    "cast(cast(round(l_extendedprice * 100) as bigint) as string))"
+    "cast(cast(floor(l_extendedprice * 100 + 0.5) as bigint) as string))"
 )
 
 
@@ -125,13 +125,13 @@ def _payments(d: str) -> dict[str, str]:
         "NUM_INSTALMENT_VERSION": "1",
         "PAYMENT_ID": PAYMENT_ID,
         "DAYS_ENTRY_PAYMENT": paid,
-        "AMT_PAYMENT": "round(l_extendedprice, 2)",
+        "AMT_PAYMENT": "l_extendedprice",
         "DAYS_AVAILABLE": f"{paid} + cast(l_partkey % 5 as integer)",
         "_ordered": "cast(o_orderdate as date)",
     }
 
 
-SCHEDULE_CENTS = "floor(sum(cast(round(AMT_PAYMENT * 100) as bigint)) * 9 / 10)"
+SCHEDULE_CENTS = "floor(sum(cast(floor(AMT_PAYMENT * 100 + 0.5) as bigint)) * 9 / 10)"
 
 
 def _schedule(d: str) -> dict[str, str]:
