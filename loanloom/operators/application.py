@@ -103,9 +103,9 @@ def categories(feature: str) -> list[str]:
 
 def canonical_category(raw: Column, mapping: dict[str, str], null_as: str | None = None) -> Column:
     """Literal map lookup: unmapped text is OTHER, null keeps its own meaning."""
-    pairs = [F.lit(v) for kv in mapping.items() for v in kv]
-    looked_up = F.coalesce(F.element_at(F.create_map(*pairs), raw), F.lit("OTHER"))
-    return F.when(raw.isNull(), F.lit(null_as).cast("string")).otherwise(looked_up)
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in mapping.items())
+    looked_up = F.coalesce(F.element_at(F.expr(f"map({pairs})"), raw), F.lit("OTHER"))
+    return F.when(raw.isNotNull(), looked_up).otherwise(F.lit(null_as).cast("string"))
 
 
 def canonical_columns(raw: DataFrame) -> dict[str, Column]:

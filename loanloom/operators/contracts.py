@@ -19,18 +19,15 @@ from loanloom.functions.reshape import long_rows
 
 @dataclass(frozen=True)
 class Rule:
-    """``broken`` is true for rows that violate the rule called ``name``."""
+    """``broken`` is true for rows that violate the rule called ``name``; null counts as kept."""
 
     name: str
     broken: Column
 
-    def hit(self) -> Column:
-        return F.coalesce(self.broken, F.lit(False))
-
 
 def first_reason(rules: Sequence[Rule]) -> Column:
     """Name of the first broken rule in declaration order, null for a clean row."""
-    return F.coalesce(*[F.when(r.hit(), F.lit(r.name)) for r in rules], F.lit(None).cast("string"))
+    return F.coalesce(*[F.when(r.broken, r.name) for r in rules], F.lit(None).cast("string"))
 
 
 def with_reason(df: DataFrame, rules: Sequence[Rule], column: str = "reason") -> DataFrame:
@@ -39,7 +36,7 @@ def with_reason(df: DataFrame, rules: Sequence[Rule], column: str = "reason") ->
 
 def violation_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``(rule, violations)`` for every rule from a single pass over the data."""
-    totals = df.agg(*[F.count_if(r.hit()).alias(f"v{i}") for i, r in enumerate(rules)])
+    totals = df.agg(*[F.count_if(r.broken).alias(f"v{i}") for i, r in enumerate(rules)])
     return long_rows(
         totals, [{"rule": F.lit(r.name), "violations": F.col(f"v{i}")} for i, r in enumerate(rules)]
     )

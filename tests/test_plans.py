@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 # fitted on a driver loop, or streaming sorted partitions through Arrow on purpose
 PYTHON_ALLOWED = {"bootstrap_ci", "segment_k_sweep", "train_compare", "calibrate", "score_batch", "feature_ablation",
                   "permutation_importance", "linear_attribution", "top_contributions", "segment_assign", "pca_2d"}
