@@ -43,6 +43,26 @@ def result_view(
     )
 
 
+def application_detail(
+    applications: DataFrame, versions: DataFrame, quotes: DataFrame, results: DataFrame
+) -> DataFrame:
+    """Applications with the input of their current version, its quote and, where scored, the result."""
+    current = versions.select("application_id", F.col("version").alias("current_version"), "version_id", "input_json")
+    terms = quotes.select("version_id", "monthly_payment", "annual_rate", "term_months")
+    return (
+        applications.join(current, ["application_id", "current_version"])
+        .join(terms, "version_id", "left")
+        .join(results.select("application_id", "probability", "risk_band"), "application_id", "left")
+        .drop("version_id")
+    )
+
+
+def import_analyses(imports: DataFrame, analyses: DataFrame, owner: int | str | None = None) -> DataFrame:
+    """Stored analyses next to their import, optionally of one owner; the filter reaches the scan."""
+    mine = imports if owner is None else imports.where(F.col("owner_id") == owner)
+    return mine.join(analyses, "import_id")
+
+
 def page(df: DataFrame, limit: int, offset: int, created: str = "created_at", key: str = "id") -> DataFrame:
     """One page, newest first; the page size is the feature."""
     return df.orderBy(F.desc(created), key).offset(offset).limit(limit)

@@ -129,10 +129,10 @@ def _decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("score_percentile", with_views(
     S, "select a.id, a.p, 100.0::double * count(*) filter (where b.p <= a.p) / count(*) reference_percentile "
-    "from (select * from v_scored where id % 2 = 0) a, (select * from v_scored where id % 2 = 1) b group by 1, 2"))
+    "from v_scored a, v_scored b group by 1, 2"))
 def _percentile(spark: SparkSession, sf: str) -> DataFrame:
     scored = views.scored(spark, sf)
-    return E.reference_percentile(scored.where("id % 2 = 0").select("id", "p"), scored.where("id % 2 = 1"))
+    return E.reference_percentile(scored.select("id", "p"), scored)
 
 
 @query("paired_mismatch", with_views(

@@ -39,6 +39,32 @@ def _result_view(spark: SparkSession, sf: str) -> DataFrame:
     return L.result_view(**_ledger(spark, sf))
 
 
+@query("application_detail",
+       "select o_custkey application_id, c current_version, k input_json, case when k % 7 <> 2 then floor(p / 36) end monthly_payment, case when k % 7 <> 2 then 0.12::double end annual_rate, "
+       "case when k % 7 <> 2 then 36 end term_months, case when k % 19 <> 4 then k % 100 / 100::double end probability, "
+       "case when k % 19 <> 4 then case when k % 100 < 5 then 'Low' when k % 100 < 15 then 'Medium' else 'High' end end risk_band from ("
+       "select o_custkey, count(*) c, max(o_orderkey) k, max_by(o_totalprice, o_orderkey) p from orders group by 1)")
+def _detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of a customer stand for versions of an application; some versions have no quote."""
+    parts = _ledger(spark, sf)
+    orders = views.table(spark, sf, "orders")
+    apps = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("current_version"), F.max("o_orderkey").alias("k"))
+    latest = apps.select(F.col("o_custkey").alias("application_id"), F.col("current_version").alias("version"), F.col("k").alias("version_id"), F.col("k").alias("input_json"))
+    quotes = orders.where("o_orderkey % 7 <> 2").selectExpr(
+        "o_orderkey as version_id", "cast(floor(o_totalprice / 36) as double) as monthly_payment", "cast(0.12 as double) as annual_rate", "36 as term_months")
+    applications = apps.select(F.col("o_custkey").alias("application_id"), "current_version")
+    return L.application_detail(applications, latest, quotes, L.result_view(**parts))
+
+
+@query("import_analyses",
+       "select o_custkey owner_id, l_orderkey import_id, o_orderpriority label, l_linenumber analysis_no from lineitem join orders on o_orderkey = l_orderkey")
+def _import_analyses(spark: SparkSession, sf: str) -> DataFrame:
+    imports = views.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("import_id"), F.col("o_custkey").alias("owner_id"), F.col("o_orderpriority").alias("label"))
+    analyses = views.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("import_id"), F.col("l_linenumber").alias("analysis_no"))
+    return L.import_analyses(imports, analyses)
+
+
 @query("application_page",
        "select o_orderkey id, cast(cast(o_orderdate as date) as string) created_at, o_totalprice from orders order by o_orderdate desc, o_orderkey limit 20 offset 40")
 def _page(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,9 +72,9 @@ def _page(spark: SparkSession, sf: str) -> DataFrame:
     return L.page(orders, 20, 40)
 
 
-@query("page_total", "select count(*) total from orders where o_custkey % 10 = 1")
+@query("page_total", "select count(*) total from orders")
 def _page_total(spark: SparkSession, sf: str) -> DataFrame:
-    return L.page_total(views.table(spark, sf, "orders").where("o_custkey % 10 = 1"))
+    return L.page_total(views.table(spark, sf, "orders"))
 
 
 @query("entity_counts", " union all ".join(f"select '{t}' entity, count(*) n_rows from {t}" for t in ("customer", "orders", "lineitem", "events")))
@@ -67,10 +93,9 @@ def _trend(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.withColumn("day", F.col("day").cast("string")), 6, "health")
 
 
-@query("event_timeline", "select user_id, event_id, event_type from events where event_type in ('signup', 'purchase') order by user_id, ts, event_id")
+@query("event_timeline", "select user_id, event_id, event_type from events order by user_id, ts, event_id")
 def _timeline(spark: SparkSession, sf: str) -> DataFrame:
-    events = views.table(spark, sf, "events").where("event_type in ('signup', 'purchase')")
-    return L.event_timeline(events, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+    return L.event_timeline(views.table(spark, sf, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
 @query("rate_limit_breaches",

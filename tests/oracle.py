@@ -38,8 +38,7 @@ def _plain(v):
     return v
 
 
-def compare(spark, con, name, fn, sql, sf_dir) -> list[str]:
-    df = fn(spark, sf_dir)
+def compare(df, con, sql) -> list[str]:
     spark_types = dict(df.dtypes)
     cols = sorted(df.columns)
     left = [tuple(_plain(r[c]) for c in cols) for r in df.collect()]
@@ -83,7 +82,7 @@ def main() -> None:
         t = time.time()
         try:
             if name in oracle:
-                problems = compare(spark, con, name, fn, oracle[name], sf_dir)
+                problems = compare(fn(spark, sf_dir), con, oracle[name])
             else:
                 problems = [] if fn(spark, sf_dir).count() >= 0 else ["no rows"]
         except Exception as exc:  # noqa: BLE001

@@ -1,23 +1,36 @@
-"""Every query with an oracle text must equal DuckDB on the smallest tables."""
+"""Every query with an oracle text equals DuckDB, and its plan is one that scales."""
+
+import re
 
 import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
 
-SF = "/root/testdata/sf0.001"
-# needs at least 20 rows of each class, which the smallest scale does not have
-TOO_SMALL = {"cohort_split", "cohort_sizes", "partition_problems"}
+SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+# need at least 20 rows of each class, which the smallest scale does not have
+MEDIUM_ONLY = {"cohort_split", "cohort_sizes", "partition_problems"}
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.fixture(scope="module")
-def con():
-    return connect(SF)
+def connections():
+    return {sf: connect(sf) for sf in (SMALL, MEDIUM)}
 
 
-@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n not in TOO_SMALL])
-def test_equals_oracle(spark, con, name):
-    assert compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF) == []
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
+def test_equals_oracle_with_a_scalable_plan(spark, connections, name):
+    sf = MEDIUM if name in MEDIUM_ONLY else SMALL
+    df = entry.queries()[name](spark, sf)
+    plan = physical(df)
+    assert [node for node in UNWANTED if node in plan] == []
+    # a window may never be fed by all rows in one partition
+    assert not re.search(r"Window [^\n]*\n[^\n]*Sort [^\n]*\n[^\n]*Exchange SinglePartition", plan)
+    assert compare(df, connections[sf], entry.oracle_sql()[name]) == []
 
 
 def test_every_oracle_has_a_query():
@@ -26,3 +39,13 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_scan_reads_only_needed_columns(spark):
+    plan = physical(entry.queries()["previous_features"](spark, SMALL))
+    scan = next(line for line in plan.splitlines() if "Scan parquet" in line)
+    assert "o_totalprice" not in scan and "o_orderstatus" in scan
+
+
+def test_account_features_shuffle_once(spark):
+    assert physical(entry.queries()["bureau_account_features"](spark, SMALL)).count("Exchange") == 1
