@@ -218,7 +218,7 @@ def source_profile(
     # distribution including applicants without any row: a table of distinct counts
     spread = joined.where(F.col("_eligible").isNotNull()).groupBy("n").agg(F.count(F.lit(1)).alias("weight"))
     q = quantiles_of_counts(spread, "n", (0.5, 0.95)).first()
-    percent = 100 * ratio(F.col("applicants_with_rows"), F.col("eligible_applicants"))
+    percent = ratio(100 * F.col("applicants_with_rows"), F.col("eligible_applicants"))
     return totals.withColumns(
         {
             "coverage_pct": percent,
@@ -243,7 +243,7 @@ def column_quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         rows.append(
             {
                 "column": F.lit(c), "n_rows": F.col("n"),
-                "missing_pct": 100 * ratio(F.col("n") - F.col(f"k{i}"), F.col("n")),
+                "missing_pct": ratio(100 * (F.col("n") - F.col(f"k{i}")), F.col("n")),
                 "invalid_numeric": F.col(f"bad{i}"), "negative_numeric": F.col(f"neg{i}"),
                 "minimum": F.col(f"lo{i}"), "maximum": F.col(f"hi{i}"), "mean": F.col(f"avg{i}"),
             }
@@ -276,8 +276,8 @@ def feature_quality(
             {
                 "feature": F.lit(c), "source_group": F.lit(groups.get(c, "application")),
                 "status": F.lit("GENERATED" if here else "BLOCKED_NOT_GENERATED"), "n_rows": F.col("n"),
-                "coverage_pct": 100 * ratio(known, F.col("n")),
-                "missing_pct": 100 * ratio(F.col("n") - known, F.col("n")),
+                "coverage_pct": ratio(100 * known, F.col("n")),
+                "missing_pct": ratio(100 * (F.col("n") - known), F.col("n")),
                 "nonfinite": F.col(f"bad{i}") if number else F.lit(None).cast("bigint"),
                 "minimum": F.col(f"lo{i}") if number else F.lit(None).cast("double"),
                 "mean": F.col(f"avg{i}") if number else F.lit(None).cast("double"),

@@ -29,7 +29,7 @@ FIRST_DAY, LAST_DAY = "1900-01-01", "2200-01-01"
 
 
 def percentage(part: Column, whole: Column) -> Column:
-    return F.round(100 * ratio(part, whole), 2)
+    return F.round(ratio(100 * part, whole), 2)
 
 
 def import_checks(imports: DataFrame, schedules: DataFrame, payments: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def _status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pct(part: str, whole: str) -> str:
-    return f"round(100 * (cast({part} as double) / nullif({whole}, 0)), 2)"
+    return f"round(100 * cast({part} as double) / nullif({whole}, 0), 2)"
 
 
 FOLD = (
