@@ -41,12 +41,12 @@ def class_ranks(df: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def class_sizes(df: DataFrame, label: str) -> dict[int, int]:
-    """Rows per class; two entries for a binary label."""
-    rows = df.groupBy(label).count().collect()
-    sizes = {r[label]: r["count"] for r in rows}
-    if None in sizes or set(sizes) - {0, 1}:
+    """Rows of the two classes that occur; any other label is an error. One row reaches the driver."""
+    y = F.col(label)
+    row = df.agg(F.count_if(y == 0).alias("zero"), F.count_if(y == 1).alias("one"), F.count(F.lit(1)).alias("n")).first()
+    if row["zero"] + row["one"] != row["n"]:
         raise ContractError("TARGET must contain only 0 and 1")
-    return sizes
+    return {c: row[k] for c, k in ((0, "zero"), (1, "one")) if row[k]}
 
 
 def split_cohorts(df: DataFrame, key: str = "id", label: str = "y") -> DataFrame:
