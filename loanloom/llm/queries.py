@@ -46,12 +46,12 @@ ORACLE = {
         ),
         shingles as (select doc_id, unnest(s) as g from sets),
         shared as (
-            select a.doc_id as u, b.doc_id as v, count(*) as both from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id
+            select a.doc_id as u, b.doc_id as v, count(*) as common from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id
             group by all
         ),
         links as (
             select u, v from shared join sets a on a.doc_id = u join sets b on b.doc_id = v
-            where 100 * both >= 80 * (len(a.s) + len(b.s) - both)
+            where 100 * common >= 80 * (len(a.s) + len(b.s) - common)
         ),
         ways as (select u, v from links union select v, u from links),
         reach as (
