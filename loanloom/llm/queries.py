@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loanloom.llm import minhash, mixing, sharding
+from loanloom.llm import minhash, mixing, pieces, sharding, token_counts
 from loanloom.llm.common import documents
 
 
@@ -15,10 +16,22 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, width=2, numerator=80, denominator=100)
 
 
+def piece_model() -> bytes:
+    return pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_report(documents(spark, sf_dir).select("doc_id", "text"), piece_model())
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir).select("doc_id", "text"), piece_model())
+
+
 def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir).select("doc_id", "text", "source"))
 
@@ -27,7 +40,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_minhash_dedup,
+        op3_sentencepiece,
         op5_feistel_shards,
+        op7_token_counts,
         op8_pivotal_mix,
     )
 }
