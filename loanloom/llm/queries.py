@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loanloom.llm import minhash, mixing, pieces, sharding, token_counts
+from loanloom.llm import minhash, mixing, pieces, quality_classifier, quality_rules, sharding, token_counts
 from loanloom.llm.common import documents
 
 
@@ -36,6 +36,18 @@ def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir).select("doc_id", "text", "source"))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -44,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_feistel_shards,
         op7_token_counts,
         op8_pivotal_mix,
+        op9_quality_classifier,
+        op10_quality_rules,
     )
 }
 
