@@ -141,19 +141,20 @@ def frequencies(docs: DataFrame, model: bytes, buckets: int) -> DataFrame:
 
 
 def _sums(model: bytes):
-    """Rows of one bucket follow each other; its pre-tokens are counted once and forgotten after it."""
-    schema = pa.schema(
-        [("slice", pa.int64()), ("places", pa.list_(pa.int32())), ("sums", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))]
-    )
+    """Rows of one bucket follow each other; its pre-tokens are counted once and forgotten after it.
+
+    Each row gives what its pre-tokens add to the documents of its slice, one number a document.
+    """
+    schema = pa.schema([("slice", pa.int64()), ("sums", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, open_, at = vocabulary(model), zstandard.ZstdDecompressor(), None
+        words, open_, squeeze, at = vocabulary(model), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3), None
         known: dict[str, int] = {}
         for batch in slices(batches, 64):
             out: list[list] = [[] for _ in schema]
             for row in batch.to_pylist():
                 if row["tokens"] is None:
-                    values = (row["slice"], None, None, row["doc_ids"], row["n_bytes"])
+                    values = (row["slice"], None, row["doc_ids"], row["n_bytes"])
                 else:
                     if row["bucket"] != at:
                         known, at = {}, row["bucket"]
@@ -167,13 +168,10 @@ def _sums(model: bytes):
                     packed = open_.decompress(row["entries"])
                     spread = np.frombuffer(packed, np.uint32, n)
                     m = int(spread.sum())
-                    place = np.frombuffer(packed, np.uint16, m, 4 * n).astype(np.int64)
+                    place = np.frombuffer(packed, np.uint16, m, 4 * n)
                     often = np.frombuffer(packed[4 * n + 2 * m :], np.uint32)
                     each = np.repeat(np.fromiter(map(known.__getitem__, tokens), np.int64, n), spread) * often
-                    total = np.zeros(place.max() + 1, np.int64)
-                    np.add.at(total, place, each)
-                    places = np.flatnonzero(total)
-                    values = (row["slice"], places, total[places], None, None)
+                    values = (row["slice"], squeeze.compress(np.bincount(place, each).astype(np.uint64).tobytes()), None, None)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
@@ -181,25 +179,39 @@ def _sums(model: bytes):
     return run
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one slice follow each other: its sums are added up and given to its documents."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+    open_, at, total, documents = zstandard.ZstdDecompressor(), None, np.zeros(SLICE_ROWS, np.int64), ([], [])
+
+    def done() -> pa.RecordBatch:
+        columns = [pa.array(documents[0], pa.int64()), pa.array(documents[1], pa.int64()), pa.array(total[: len(documents[0])])]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    for batch in slices(batches, 64):
+        for row in batch.to_pylist():
+            if row["slice"] != at:
+                if at is not None:
+                    yield done()
+                at, total, documents = row["slice"], np.zeros(SLICE_ROWS, np.int64), ([], [])
+            if row["sums"] is None:
+                documents = (row["doc_ids"], row["n_bytes"])
+            else:
+                part = np.frombuffer(open_.decompress(row["sums"]), np.uint64)
+                total[: len(part)] += part.astype(np.int64)
+    if at is not None:
+        yield done()
+
+
 def token_counts(docs: DataFrame, model: bytes, limit: int = LIMIT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs`` (doc_id, text).
 
     Null and empty texts have no bytes and no tokens.  Rows are told apart by their place in a slice, so null and
     repeated ids keep one result each; other columns are ignored and an empty table gives no rows.
     """
-    nothing = F.lit(None).cast("bigint")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = frequencies(docs, model, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket", "slice")
-    sums = packed.mapInArrow(_sums(model), "slice bigint, places array<int>, sums array<bigint>, doc_ids array<bigint>, n_bytes array<bigint>")
-    counted = F.transform(
-        F.arrays_zip("places", "sums"),
-        lambda e: F.struct(e["places"].alias("place"), e["sums"].alias("n"), nothing.alias("doc_id"), nothing.alias("n_bytes")),
-    )
-    named = F.transform(
-        F.arrays_zip("doc_ids", "n_bytes"),
-        lambda d, i: F.struct(i.alias("place"), F.lit(0).cast("bigint").alias("n"), d["doc_ids"].alias("doc_id"), d["n_bytes"].alias("n_bytes")),
-    )
-    entry = F.explode(F.when(F.col("places").isNotNull(), counted).otherwise(named)).alias("e")
-    rows = sums.repartition(buckets, "slice").select("slice", entry).select("slice", "e.*")
-    totals = rows.groupBy("slice", "place").agg(F.sum("n").alias("n_tokens"), F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
+    sums = packed.mapInArrow(_sums(model), "slice bigint, sums binary, doc_ids array<bigint>, n_bytes array<bigint>")
+    by_slice = sums.repartition(buckets, "slice").sortWithinPartitions("slice")
+    totals = by_slice.mapInArrow(_totals, "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return totals.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
