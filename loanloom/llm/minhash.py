@@ -6,11 +6,12 @@ shares no band with probability (1 - 0.8**4)**32 < 5e-8.  Candidates are first h
 then confirmed on the full shingle sets.  No bucket is expanded into all its pairs:
 
 1. every document meets the smallest member of one of its buckets; components are taken;
-2. every document meets the smallest members of its other buckets, if still in another component;
-3. pairs of one bucket that are still in different components meet each other.
+2. buckets that overlap make families; the members of a family that are still in different components meet in
+   blocks of ``BLOCK`` documents ordered by component and set size.  Two blocks of one component, or of sizes too far
+   apart, are skipped, and a pair of blocks gives one link for each two components it joins.
 
-What shares a bucket and a component needs no comparison, so a large group of near copies costs a few comparisons a
-member, while no link between different components is left out.
+What shares a family and a component needs no comparison, so a large group of near copies costs one comparison a
+member and its stragglers a few matrix products, while no link between different components is left out.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanloom.llm.common import cut, slices
+from loanloom.llm.common import cut, numbered, slices
 from loanloom.llm.components import components
 
 ROWS, BANDS = 4, 32
 #: Signatures that agree in fewer places rule a pair out; for similarity 0.8 that is 7 standard deviations off.
 LEAST_AGREEMENT = 0.55
+BLOCK = 64
 _draws = np.random.default_rng(7)
 MULTIPLIERS = _draws.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _draws.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
@@ -203,25 +205,66 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 8, denomin
     judge = _Judge(signatures, sets, numerator, denominator)
 
     links = cut(judge.confirm(firsts.groupBy("u").agg(F.min("v").alias("v"))))
-    found = cut(components(links))
-    more = judge.confirm(_apart(firsts.distinct(), found))
-    links = cut(links.unionByName(more))
-    found = cut(components(links))
-    rest = _across(members, found)
-    links = cut(links.unionByName(judge.confirm(rest)))
-    found = components(links)
-    return _labelled(rows, classes, found)
-
-
-def _across(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct pairs of one bucket in different components; buckets within one component give none."""
-    known = found.select(F.col("node").alias("doc_id"), "component")
-    placed = members.join(known, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    open_rows = placed.join(mixed, "bucket")
-    other = open_rows.select("bucket", F.col("doc_id").alias("v"), F.col("component").alias("c"))
-    pairs = open_rows.join(other, "bucket").where("component > c")
-    return pairs.select(F.col("doc_id").alias("u"), "v").distinct()
+    families, found = cut(components(firsts)), cut(components(links))
+    more = _between_components(families, found, sets, numerator, denominator)
+    return _labelled(rows, classes, components(links.unionByName(more)))
+
+
+def _between_components(families: DataFrame, found: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Links ``u, v`` that join components of ``found`` within a family: one at least for each two that are linked."""
+    of_node = found.select(F.col("node").alias("doc_id"), "component")
+    placed = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(of_node, "doc_id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = placed.groupBy("family").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("family")
+    size = sets.select("doc_id", (F.octet_length("shingles") / 8).cast("bigint").alias("n"))
+    rows = numbered(placed.join(mixed, "family").join(size, "doc_id"), ["family", "component", "n", "doc_id"])
+    rows = rows.select("doc_id", "family", "component", "n", F.expr(f"row div {BLOCK}").alias("block"))
+    spans = rows.groupBy("family").agg(F.min("block").alias("first"), F.max("block").alias("last"))
+    pairs = spans.select("last", F.explode(F.sequence("first", "last")).alias("i")).select("i", F.explode(F.sequence("i", "last")).alias("j"))
+    about = rows.groupBy("block").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("n").alias("low"), F.max("n").alias("high"))
+    for end in ("i", "j"):
+        pairs = pairs.join(about.select(F.col("block").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("a", "b", "low", "high")]), end)
+    one = (F.col("a_i") == F.col("b_i")) & (F.col("a_j") == F.col("b_j")) & (F.col("a_i") == F.col("a_j"))
+    far = (denominator * F.col("high_i") < numerator * F.col("low_j")) | (denominator * F.col("high_j") < numerator * F.col("low_i"))
+    pairs = cut(pairs.where(~one & ~far).select("i", "j").distinct())
+    member = F.struct("doc_id", "family", "component", "shingles")
+    blocks = cut(rows.join(sets.select("doc_id", "shingles"), "doc_id").groupBy("block").agg(F.collect_list(member).alias("docs")))
+    both = pairs.join(blocks.select(F.col("block").alias("i"), F.col("docs").alias("left")), "i")
+    both = both.join(blocks.select(F.col("block").alias("j"), F.col("docs").alias("right")), "j")
+    return both.select("left", "right").mapInArrow(_block_links(numerator, denominator), "u bigint, v bigint")
+
+
+def _block_links(numerator: int, denominator: int):
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            left, right = batch["left"][0].as_py(), batch["right"][0].as_py()
+            docs = left + right
+            sets = [np.frombuffer(d["shingles"], np.uint64) for d in docs]
+            lengths = np.array([len(s) for s in sets])
+            column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            row, k = np.repeat(np.arange(len(docs)), lengths), len(left)
+            seen = np.zeros((2, column.max() + 1), bool)
+            seen[(row >= k).astype(int), column] = True
+            shared = seen.all(axis=0)
+            row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+            common = np.zeros((k, len(docs) - k), np.int64)
+            for start in range(0, int(shared.sum()), 8192):
+                part = (column >= start) & (column < start + 8192)
+                matrix = np.zeros((len(docs), 8192), np.float32)
+                matrix[row[part], column[part] - start] = 1
+                common += (matrix[:k] @ matrix[k:].T).astype(np.int64)
+            union = lengths[:k, None] + lengths[None, k:] - common
+            family, component = (np.array([d[key] for d in docs]) for key in ("family", "component"))
+            apart = (component[:k, None] != component[None, k:]) & (family[:k, None] == family[None, k:])
+            joined: dict[tuple, tuple] = {}
+            for i, j in zip(*np.nonzero((denominator * common >= numerator * union) & apart), strict=True):
+                joined.setdefault((component[i], component[k + j]), (docs[i]["doc_id"], docs[k + j]["doc_id"]))
+            found = list(joined.values())
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=schema)
+
+    return run
 
 
 def _labelled(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
