@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loanloom.llm import minhash, mixing, pieces, quality_classifier, quality_rules, sharding, token_counts
+from loanloom.llm import minhash, mixing, pieces, pii, quality_classifier, quality_rules, secrets, sharding, spotsigs, token_counts
 from loanloom.llm.common import documents
 
 
+def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_next(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return minhash.near_duplicates(docs, width=2, numerator=80, denominator=100)
@@ -24,10 +28,18 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_report(documents(spark, sf_dir).select("doc_id", "text"), piece_model())
 
 
+def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir).select("doc_id", "text", "source"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir).select("doc_id", "text"), piece_model())
 
@@ -51,9 +63,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_spot_signatures,
         op2_minhash_dedup,
         op3_sentencepiece,
+        op4_bootstrapped_pii,
         op5_feistel_shards,
+        op6_secret_ownership,
         op7_token_counts,
         op8_pivotal_mix,
         op9_quality_classifier,
