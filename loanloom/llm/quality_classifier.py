@@ -26,6 +26,8 @@ GRAMS = (3, 4)
 TRAIN_ROWS, BATCH, RATE = 4_000, 32, 20.0
 #: Passes over the sample: as many as make this number of steps, two at least.
 STEPS, PASSES = 500, 2
+#: No weight moves further in one step, so that features of every document cannot run away.
+MOST = 0.2
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,12 +119,12 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Model:
             p[np.arange(len(rows)), labels[rows].astype(int)] -= 1.0
             rate = RATE * (1.0 - step / (steps + 1))
             toward = p @ layer.T
-            layer -= rate * (mean.T @ p) / len(rows)
-            bias -= rate * p.mean(axis=0)
+            layer -= np.clip(rate * (mean.T @ p) / len(rows), -MOST, MOST)
+            bias -= np.clip(rate * p.mean(axis=0), -MOST, MOST)
             pull = np.repeat(toward, sizes, axis=0) * weight[:, None]
             for d in range(DIM):
                 # every document moves its own features, as one example at a time would
-                vectors[:, d] -= rate * np.bincount(buckets, pull[:, d], BUCKETS).astype(np.float32)
+                vectors[:, d] -= np.clip(rate * np.bincount(buckets, pull[:, d], BUCKETS), -MOST, MOST).astype(np.float32)
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
