@@ -92,13 +92,14 @@ def permutation_importance(fitted: Fitted, df: DataFrame, features: Sequence[str
 
     Rows are ranked by the hash of their id once; a permuted value comes from the
     row ``shift`` places further on, through one join.  All variants are scored
-    as narrow branches and measured in one grouped pass.
+    as narrow branches and measured in one grouped pass.  Every feature is reported; the table with the permuted
+    columns is stored, not cached.
     """
-    ordered = ranked(df.withColumn("_h", hash_order("id")), ["_h", "id"]).drop("_h").persist()
+    ordered = ranked(df.withColumn("_h", hash_order("id")), ["_h", "id"]).drop("_h")
     moved = ordered.select(
         ((F.col("rank") + shift) % F.col("rank_total")).alias("rank"), *[F.col(f).alias(f"_p_{f}") for f in features]
     )
-    wide = ordered.drop("rank_total").join(moved, "rank").persist()
+    wide = ordered.drop("rank_total").join(moved, "rank").checkpoint()
     variants = [wide.withColumn("feature", F.lit("(none)"))]
     variants += [wide.withColumn(f, F.col(f"_p_{f}")).withColumn("feature", F.lit(f)) for f in features]
     scored = None
@@ -108,4 +109,4 @@ def permutation_importance(fitted: Fitted, df: DataFrame, features: Sequence[str
     aucs = rank_metrics(scored, groups=["feature"]).select("feature", "roc_auc")
     full = aucs.where("feature = '(none)'").first()["roc_auc"]
     out = aucs.where("feature <> '(none)'").withColumn("auc_drop", F.lit(full) - F.col("roc_auc"))
-    return out.orderBy(F.desc("auc_drop"), "feature").limit(20)
+    return out.orderBy(F.desc("auc_drop"), "feature")

@@ -146,24 +146,37 @@ def changed_tables(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("table_name", change.alias("change")).where(F.col("change").isNotNull())
 
 
+#: Parts into which a window's time is cut; a key's events of one part are summed in one task at most.
+SUB_BUCKETS = 96
+
+
 def sliding_counts(events: DataFrame, key: str, moment: str, seconds: int) -> DataFrame:
     """Events of the same key in the closed window of ``seconds`` before each event time.
 
-    Time is cut into buckets as long as the window, so a window touches its own
-    and the previous bucket only.  Each row is sent to its bucket and the next
-    one; a key with a large part of all events is spread over its buckets.
+    The count is the running count at the event minus the running count just before the window, so no frame is
+    summed again for every row.  Time is cut into ``SUB_BUCKETS`` parts of a window: counts run inside a part, and the
+    parts before it add their totals, of which a key has one row a part.  Both running counts come from one union
+    of events and window starts.  A key with many events in one window is spread over the parts of that window.
     """
     width = seconds * 1_000_000
+    part = max(1, width // SUB_BUCKETS)
     at = F.unix_micros(F.col(moment).cast("timestamp"))
     # equal event times of a key are one weighted row
     weighted = events.groupBy(key, moment).agg(F.count(F.lit(1)).alias("_n")).withColumn("_us", at)
-    bucket = F.floor(F.col("_us") / width)
-    copies = F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")),
-                               F.struct((bucket + 1).alias("b"), F.lit(False).alias("own"))))
-    spread = weighted.withColumn("_c", copies).select(key, moment, "_n", "_us", "_c.b", "_c.own")
-    window = W.partitionBy(key, "b").orderBy("_us").rangeBetween(-width, 0)
-    counted = spread.withColumn("in_window", F.sum("_n").over(window)).where("own")
-    return counted.select(key, moment, F.col("_n").alias("at_once"), "in_window")
+    one = weighted.select(key, moment, "_us", "_n", F.lit(1).alias("_sort"))
+    # at one time, the start of a window comes before the events, which it does not count
+    starts = weighted.select(key, moment, (F.col("_us") - width).alias("_us"), F.lit(0).cast("bigint").alias("_n"), F.lit(0).alias("_sort"))
+    points = one.unionByName(starts).withColumn("_part", F.floor(F.col("_us") / part))
+    inside = W.partitionBy(key, "_part").orderBy("_us", "_sort").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = points.groupBy(key, "_part").agg(F.sum("_n").alias("_sum"))
+    totals = totals.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p"))
+    known = points.withColumn("_run", F.sum("_n").over(inside)).join(totals, same)
+    running = F.col("_run") + F.col("_before")
+    return known.groupBy(key, moment).agg(
+        F.max("_n").alias("at_once"), F.sum(F.when(F.col("_sort") == 1, running).otherwise(-running)).alias("in_window")
+    )
 
 
 def rate_breaches(events: DataFrame, key: str, moment: str, seconds: int, limit: int) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -16,14 +15,14 @@ from pyspark.sql import functions as F
 
 from loanloom.errors import ContractError
 from loanloom.functions.nullsafe import ratio
-from loanloom.operators.cohorts import deterministic_sample
 
 MIN_SHARE = 0.01
 MIN_STABILITY = 0.80
 SILHOUETTE_TOLERANCE = 0.01
-METRIC_SAMPLE = 5_000
-FIT_SAMPLE = 20_000
 SEEDS = (42, 43, 44)
+#: Starts of each fit, of which the most compact is taken, and fits that run at a time.
+STARTS = 5
+AT_ONCE = 4
 
 # Relative and absolute margins of a segment description.
 RATIO_TRAITS = (("income", "income"), ("requested", "requested loan amount"))
@@ -45,46 +44,16 @@ def standardized(df: DataFrame, array: str, keep: Sequence[str], size: int) -> D
     return df.select(*keep, array_to_vector(F.array(*scaled)).alias("features"))
 
 
-def fit_kmeans(df: DataFrame, k: int, seed: int = SEEDS[0], steps: int = 150) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=steps, featuresCol="features", predictionCol="cluster").fit(df)
+def fit_kmeans(df: DataFrame, k: int, seed: int = SEEDS[0], steps: int = 150, starts: int = 1) -> KMeansModel:
+    """The most compact of ``starts`` fits to all rows."""
 
+    def once(start: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + 1000 * start, maxIter=steps, featuresCol="features", predictionCol="cluster").fit(df)
 
-def sample_silhouette(df: DataFrame, cluster: str = "cluster", limit: int = METRIC_SAMPLE) -> float:
-    """Exact Euclidean silhouette of a hash sample of at most ``limit`` points.
-
-    The sample is the feature; it is broadcast and every task measures its own
-    points against it, so no pairs are ever materialized as rows.
-    """
-    sample = deterministic_sample(df.select("id", vector_to_array("features").alias("x"), cluster), limit)
-    local = sample.toPandas().sort_values("id")
-    labels = local[cluster].to_numpy()
-    if len(np.unique(labels)) < 2:
-        return float("nan")
-    shared = df.sparkSession.sparkContext.broadcast((np.stack(local["x"].to_numpy()), labels))
-
-    def widths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, marks = shared.value
-        names, sizes = np.unique(marks, return_counts=True)
-        member = (marks[:, None] == names[None, :]).astype(float)
-        for batch in batches:
-            if batch.empty:
-                continue
-            x = np.stack(batch["x"].to_numpy())
-            square = (x**2).sum(1)[:, None] + (points**2).sum(1)[None, :] - 2 * x @ points.T
-            sums = np.sqrt(np.maximum(square, 0)) @ member
-            own = np.searchsorted(names, batch[cluster].to_numpy())
-            rows = np.arange(len(batch))
-            own_size = sizes[own]
-            inside = np.where(own_size > 1, sums[rows, own] / np.maximum(own_size - 1, 1), 0.0)
-            mean = sums / sizes
-            mean[rows, own] = np.inf
-            outside = mean.min(1)
-            width = np.where(own_size > 1, (outside - inside) / np.maximum(inside, outside), 0.0)
-            yield pd.DataFrame({"w": width})
-
-    # the broadcast points are spread over the cluster again as small batches
-    points = df.sparkSession.createDataFrame(local[["x", cluster]]).repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return float(points.mapInPandas(widths, "w double").agg(F.avg("w")).first()[0])
+    if starts == 1:
+        return once(0)
+    with ThreadPool(AT_ONCE) as pool:
+        return min(pool.map(once, range(starts)), key=lambda m: m.summary.trainingCost)
 
 
 def squared_silhouette(df: DataFrame, cluster: str = "cluster") -> float:
@@ -111,13 +80,18 @@ def cluster_scatter(df: DataFrame, label: str, array: str) -> DataFrame:
 
 
 def davies_bouldin(df: DataFrame, label: str, array: str) -> float:
-    """Mean over clusters of the worst (scatter + scatter) / distance; k small rows on the driver."""
-    rows = cluster_scatter(df, label, array).orderBy(label).collect()
-    centers = np.array([r["centroid"] for r in rows])
-    scatter = np.array([r["scatter"] for r in rows])
-    distance = np.sqrt(((centers[:, None, :] - centers[None, :, :]) ** 2).sum(-1))
-    np.fill_diagonal(distance, np.inf)
-    return float(((scatter[:, None] + scatter[None, :]) / distance).max(1).mean())
+    """Mean over clusters of the worst (scatter + scatter) / distance.
+
+    Centres meet on their dimensions, so distances are sums over a join of the centre rows and nothing but the
+    mean comes to the driver.
+    """
+    centers = cluster_scatter(df, label, array).select(F.col(label).alias("l"), "scatter", F.posexplode("centroid").alias("d", "x"))
+    other = centers.select(F.col("l").alias("r"), F.col("scatter").alias("other"), "d", F.col("x").alias("y"))
+    gaps = centers.join(other, "d").where("l <> r").groupBy("l", "r").agg(
+        F.sqrt(F.sum((F.col("x") - F.col("y")) ** 2)).alias("distance"), F.first(F.col("scatter") + F.col("other")).alias("spread")
+    )
+    worst = gaps.groupBy("l").agg(F.max(F.col("spread") / F.col("distance")).alias("worst"))
+    return float(worst.agg(F.avg("worst")).first()[0])
 
 
 def adjusted_rand(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -143,30 +117,36 @@ def cluster_shares(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     return sizes.withColumn("share", F.col("size") / F.lit(float(total)))
 
 
-def sweep(df: DataFrame, candidates: Sequence[int], *, stability: bool = True, fit_limit: int = FIT_SAMPLE) -> list[dict]:
-    """Diagnostics of every k on one hash sample of (id, features)."""
-    sample = deterministic_sample(df, fit_limit).cache()
+def sweep(df: DataFrame, candidates: Sequence[int], *, stability: bool = True, starts: int = STARTS) -> list[dict]:
+    """Diagnostics of every k over all rows of (id, features).
+
+    The silhouette is the squared Euclidean one, which needs one pass and the cluster sums.  A k that leaves a
+    cluster empty has a minimum share of 0 and no stability, and no rule selects it.
+    """
+    df = df.persist()
     out = []
-    for k in candidates:
-        model = fit_kmeans(sample, k)
-        labeled = model.transform(sample)
-        shares = [r["share"] for r in cluster_shares(labeled).collect()]
-        if len(shares) < k:
-            continue
-        row = {
-            "k": k, "silhouette": sample_silhouette(labeled), "minimum_share": float(min(shares)),
-            "inertia": float(model.summary.trainingCost),
-            "davies_bouldin": davies_bouldin(labeled.select("cluster", vector_to_array("features").alias("x")), "cluster", "x"),
-        }
-        if stability:
-            scores = []
-            for seed in SEEDS[1:]:
-                other = fit_kmeans(sample, k, seed).transform(sample).select("id", F.col("cluster").alias("other"))
-                both = labeled.select("id", "cluster").join(other, "id")
-                scores.append(adjusted_rand(both, "cluster", "other").first()[0])
-            row["stability"] = float(np.mean(scores))
-        out.append(row)
-    sample.unpersist()
+    try:
+        for k in candidates:
+            model = fit_kmeans(df, k, starts=starts)
+            labeled = model.transform(df).persist()
+            shares = [r["share"] for r in cluster_shares(labeled).collect()]
+            row = {
+                "k": k, "silhouette": squared_silhouette(labeled) if len(shares) > 1 else 0.0,
+                "minimum_share": float(min(shares)) if len(shares) == k else 0.0, "inertia": float(model.summary.trainingCost),
+                "davies_bouldin": davies_bouldin(labeled.select("cluster", vector_to_array("features").alias("x")), "cluster", "x")
+                if len(shares) > 1 else None,
+            }
+            if stability:
+                scores = []
+                for seed in SEEDS[1:] if len(shares) == k else ():
+                    other = fit_kmeans(df, k, seed, starts=starts).transform(df).select("id", F.col("cluster").alias("other"))
+                    both = labeled.select("id", "cluster").join(other, "id")
+                    scores.append(adjusted_rand(both, "cluster", "other").first()[0])
+                row["stability"] = sum(scores) / len(scores) if scores else 0.0
+            labeled.unpersist()
+            out.append(row)
+    finally:
+        df.unpersist()
     return out
 
 
@@ -234,17 +214,29 @@ def describe_segment(cohort: Mapping[str, float]) -> Column:
     return F.when(F.size(found) > 0, F.concat(F.lit("This segment has "), F.concat_ws(", ", found), F.lit("."))).otherwise(near)
 
 
-def pca_projection(df: DataFrame, limit: int = 2_000) -> tuple[DataFrame, list[float]]:
-    """Two components of a hash sample of standardized (id, features) and their explained variance."""
-    sample = deterministic_sample(df, limit)
-    model = PCA(k=2, inputCol="features", outputCol="projected").fit(sample)
+def pca_projection(df: DataFrame) -> tuple[DataFrame, list[float]]:
+    """Two components of all standardized (id, features) rows and their explained variance."""
+    model = PCA(k=2, inputCol="features", outputCol="projected").fit(df)
     xy = vector_to_array("projected")
-    points = model.transform(sample).select("id", xy[0].alias("pca_1"), xy[1].alias("pca_2"))
+    points = model.transform(df).select("id", xy[0].alias("pca_1"), xy[1].alias("pca_2"))
     return points, [float(v) for v in model.explainedVariance.toArray()]
 
 
+def select_and_assign(
+    df: DataFrame, candidates: Sequence[int] = range(2, 8), *, rule=None, starts: int = STARTS, stability: bool = True
+) -> tuple[DataFrame, KMeansModel, list[dict]]:
+    """Choose k by a rule over the sweep, refit on all rows of (id, features) and assign them.
+
+    Returns ``id, cluster``, the model and the diagnostics of every k.  The default rule is ``choose_by_silhouette``;
+    ``choose_by_compactness`` needs no stability.
+    """
+    rows = sweep(df, candidates, starts=starts, stability=stability)
+    model = fit_kmeans(df, (rule or choose_by_silhouette)(rows), starts=starts)
+    return model.transform(df).select("id", "cluster"), model, rows
+
+
 def thinned(points: DataFrame, every: int = 4, key: str = "id") -> DataFrame:
-    """Every n-th point of a bounded display sample, in key order."""
+    """Every n-th point, in key order."""
     from loanloom.operators.prefix import ranked
 
     return ranked(points, [key]).where(F.col("rank") % every == 0).drop("rank", "rank_total")

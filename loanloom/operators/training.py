@@ -36,13 +36,13 @@ GRIDS = {
     ],
 }
 BOOSTED_RANGES = {
-    "maxIter": ("int", 20, 60), "stepSize": ("log", 0.02, 0.15), "maxDepth": ("int", 3, 8),
-    "minInstancesPerNode": ("int", 1, 50), "subsamplingRate": ("real", 0.6, 1.0),
+    "maxIter": ("int", 200, 600), "stepSize": ("log", 0.02, 0.15), "maxDepth": ("int", 3, 8),
+    "minInstancesPerNode": ("int", 1, 50), "subsamplingRate": ("real", 0.6, 1.0), "featureSubsetStrategy": ("share", 0.4, 1.0),
 }
 
 
 def random_draws(ranges: Mapping[str, tuple], trials: int, seed: int = SEED) -> list[dict]:
-    """Seeded draws from search ranges; integers inclusive, ``log`` ranges log-uniform."""
+    """Seeded draws from search ranges; integers inclusive, ``log`` ranges log-uniform, ``share`` as MLlib reads shares."""
     rng = random.Random(seed)
     out = []
     for _ in range(trials):
@@ -52,6 +52,8 @@ def random_draws(ranges: Mapping[str, tuple], trials: int, seed: int = SEED) ->
                 draw[name] = rng.randint(low, high)
             elif kind == "log":
                 draw[name] = low * (high / low) ** rng.random()
+            elif kind == "share":
+                draw[name] = f"{rng.uniform(low, high):.6f}"
             else:
                 draw[name] = rng.uniform(low, high)
         out.append(draw)
@@ -74,7 +76,7 @@ def estimator(name: str, params: Mapping, rows: int):
     if name == "decision_tree":
         return DecisionTreeClassifier(seed=SEED, **common, **params)
     if name == "random_forest":
-        return RandomForestClassifier(seed=SEED, **{"numTrees": 100, **params}, **common)
+        return RandomForestClassifier(seed=SEED, **{"numTrees": 300, **params}, **common)
     if name == "gradient_boosted":
         return GBTClassifier(seed=SEED, **common, **params)
     raise ContractError(f"Unknown model family: {name}")
@@ -147,19 +149,29 @@ def tune(
     name: str, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], *, trials: int = 5,
     tune_rows: int | None = None, key: str = "id", grid: Sequence[Mapping] | None = None,
 ) -> tuple[dict, float | None]:
-    """Best parameters by three-fold ROC-AUC on at most ``tune_rows`` rows with the class mix kept."""
-    rows = train
-    if tune_rows is not None:
-        rows = train.join(stratified_cap(train, tune_rows, key, "y").select(key), key, "left_semi")
-    folds = nested_folds(rows, key, "y").select(key, F.col("assess_fold").alias("fold"))
-    _, ready, sizes = prepare(rows.join(folds, key), numeric, categorical, ["fold"])
+    """Best parameters by three-fold ROC-AUC.
+
+    ``tune_rows`` bounds the labelled rows of the search (the class mix is kept); the fit that follows takes all.
+    Rows that bring a ``tune_fold`` column are searched by it, others get folds of their own.
+    """
+    rows = bounded(train, tune_rows, key)
+    if "tune_fold" not in rows.columns:
+        rows = rows.join(nested_folds(rows, key, "y").select(key, F.col("assess_fold").alias("tune_fold")), key)
+    _, ready, sizes = prepare(rows, numeric, categorical, ["tune_fold"])
     try:
-        params, auc, _ = search(name, ready, sum(sizes.values()), list(grid or candidates(name, trials)), "fold")
+        params, auc, _ = search(name, ready, sum(sizes.values()), list(grid or candidates(name, trials)), "tune_fold")
     finally:
         ready.unpersist()
     return params, auc
 
 
+def bounded(train: DataFrame, tune_rows: int | None, key: str = "id") -> DataFrame:
+    """At most ``tune_rows`` labelled rows with the class mix kept; all rows without a bound."""
+    if tune_rows is None:
+        return train
+    return train.join(stratified_cap(train, tune_rows, key, "y").select(key), key, "left_semi")
+
+
 # ---------------------------------------------------------------- calibration
 def clipped_logit(p: Column) -> Column:
     safe = F.least(F.greatest(p, F.lit(LOGIT_CLIP)), F.lit(1 - LOGIT_CLIP))
@@ -215,7 +227,9 @@ def nested_selection(
 
     Rows are ranked once for outer folds, calibration slots and inner folds.
     Assessment predictions of all candidates stay narrow branches over the
-    cached rows and are measured in one grouped pass at the end.
+    cached rows and are measured in one grouped pass at the end.  ``tune_rows`` bounds the labelled rows of the
+    parameter search in each fold; the folds of the search are the same with and without that bound, and every
+    model is then fitted to all base rows.
     """
     placed = df.join(nested_folds(df, "id", "y", folds).drop("y"), "id").persist()
     predictions = None
@@ -225,7 +239,7 @@ def nested_selection(
         prep, ready, sizes = prepare(base, numeric, categorical, ["tune_fold"])
         for name in models:
             options = list((grids or {}).get(name) or candidates(name, trials))
-            if tune_rows is not None and sum(sizes.values()) > tune_rows and len(options) > 1:
+            if tune_rows is not None and len(options) > 1:
                 params, inner = tune(name, base, numeric, categorical, tune_rows=tune_rows, grid=options)
                 model = estimator(name, params, sum(sizes.values())).fit(ready)
             else:
@@ -245,7 +259,9 @@ def nested_selection(
     ranks = rank_metrics(predictions, groups=groups).select(*groups, "roc_auc", "average_precision")
     inner = predictions.groupBy(*groups).agg(F.max("inner_auc").alias("inner_auc"))
     losses = probability_losses(predictions, groups=groups).select(*groups, "brier")
-    return ranks.join(losses, groups).join(inner, groups)
+    out = ranks.join(losses, groups).join(inner, groups).checkpoint()  # a few rows, so that the caches can go
+    placed.unpersist()
+    return out
 
 
 def ablation(

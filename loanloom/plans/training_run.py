@@ -11,7 +11,7 @@ from loanloom.errors import ContractError
 from loanloom.operators import evaluation as E
 from loanloom.operators import training as T
 from loanloom.operators.application import CATEGORICAL, ID, LABEL, LITE
-from loanloom.operators.cohorts import class_sizes, split_cohorts, stratified_cap
+from loanloom.operators.cohorts import class_sizes, split_cohorts
 from loanloom.operators.ledger import leaderboard
 from loanloom.operators.preparation import ModelPreparation
 from loanloom.operators.risk import Policy, support_statistics
@@ -32,7 +32,11 @@ def run(
     spark: SparkSession, raw: str, root: str, *, variant: str = "lite", models: Sequence[str] = FAMILIES, trials: int = 5,
     max_rows: int | None = None, tune_rows: int | None = 60_000, grids: Mapping[str, Sequence[Mapping]] | None = None,
 ) -> str:
-    """Train and publish one research release; returns its run id."""
+    """Train and publish one research release; returns its run id.
+
+    ``tune_rows`` bounds the labelled rows of each parameter search and ``max_rows`` those of the development cohort;
+    calibration, policy and test cohorts are never cut.
+    """
     if trials < 1 or (tune_rows is not None and tune_rows < 20) or (max_rows is not None and max_rows < 100):
         raise ContractError("Positive trials, tune_rows>=20 and max_rows>=100 required")
     if not models or set(models) - set(FAMILIES):
@@ -44,12 +48,10 @@ def run(
 
     rows = labeled(variant)
     universe = (labeled("lite") if variant != "lite" else rows).select("id", "y")
-    if max_rows is not None:
-        universe = stratified_cap(universe, max_rows)
     features = [c for c in rows.columns if c not in ("id", "y")]
     numeric = [c for c in features if c not in CATEGORICAL]
     parts = cohort_parts(universe, rows)
-    development = parts["development"]
+    development = T.bounded(parts["development"], max_rows)
     if min(class_sizes(development, "y").values()) < MIN_DEVELOPMENT:
         raise ContractError("Development cohort too small for nested model/calibrator selection")
 

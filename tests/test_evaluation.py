@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import timedelta
 
 import numpy as np
 import pytest
@@ -135,13 +136,13 @@ def test_cluster_quality_equals_brute_force(spark):
     from pyspark.ml.functions import array_to_vector
 
     points, labels, df = clusters(spark)
-    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    d = ((points[:, None] - points[None]) ** 2).sum(-1)
     width = []
     for i in range(len(points)):
         inside = d[i][labels == labels[i]].sum() / 29
         outside = min(d[i][labels == c].mean() for c in {0, 1, 2} - {labels[i]})
         width.append((outside - inside) / max(inside, outside))
-    got = S.sample_silhouette(df.select("id", array_to_vector("x").alias("features"), "cluster"))
+    got = S.squared_silhouette(df.select("id", array_to_vector("x").alias("features"), "cluster"))
     assert got == pytest.approx(np.mean(width))
     centers = np.stack([points[labels == c].mean(0) for c in range(3)])
     scatter = [np.linalg.norm(points[labels == c] - centers[c], axis=1).mean() for c in range(3)]
@@ -149,6 +150,34 @@ def test_cluster_quality_equals_brute_force(spark):
     assert S.davies_bouldin(df, "cluster", "x") == pytest.approx(np.mean(worst))
 
 
+def test_sliding_count_of_one_hot_key(spark):
+    from datetime import datetime
+
+    start = datetime(2024, 1, 1)
+    rows = [(0, start + timedelta(milliseconds=7 * i)) for i in range(6000)] + [(1 + i % 50, start + timedelta(seconds=i)) for i in range(12000)]
+    got = L.sliding_counts(spark.createDataFrame(rows, "k int, t timestamp"), "k", "t", 10)
+    assert "RangeFrame, -" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        if r.k == 0:
+            i = round((r.t - start).total_seconds() * 1000 / 7)
+            assert r.in_window == min(i, 10_000 // 7) + 1
+
+
+def test_sweep_covers_all_rows_and_selects(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    _, labels, df = clusters(spark)
+    rows = df.select("id", array_to_vector("x").alias("features"))
+    assigned, model, found = S.select_and_assign(rows, range(2, 5), starts=2)
+    assert [r["k"] for r in found] == [2, 3, 4] and len(model.clusterCenters()) == 3
+    groups = {}
+    for r in assigned.collect():
+        groups.setdefault(r.cluster, set()).add(int(labels[r.id]))
+    assert sorted(map(sorted, groups.values())) == [[0], [1], [2]]
+    points, shares = S.pca_projection(rows)
+    assert points.count() == len(labels) and shares[0] >= shares[1]
+
+
 def test_adjusted_rand_limits(spark):
     df = spark.createDataFrame([(i % 3, (i % 3) * 7, i % 2) for i in range(60)], "a int, b int, c int")
     assert S.adjusted_rand(df, "a", "b").first()[0] == pytest.approx(1)
