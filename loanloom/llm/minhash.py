@@ -32,7 +32,7 @@ from loanloom.llm.components import components
 ROWS, BANDS = 4, 32
 #: Signatures that agree in fewer places rule a pair out; for similarity 0.8 that is 7 standard deviations off.
 LEAST_AGREEMENT = 0.55
-BLOCK = 64
+BLOCK = 128
 _draws = np.random.default_rng(7)
 MULTIPLIERS = _draws.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _draws.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
@@ -71,11 +71,12 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """Bucket numbers of the bands of signatures (one a row)."""
+    rows = signatures.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), rows.shape[:2])
     for k in range(ROWS):
-        key = (key ^ rows[:, k]) * np.uint64(0xD6E8FEB86659FD93)
+        key = (key ^ rows[:, :, k]) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(29)
     return key.view(np.int64)
 
@@ -86,7 +87,6 @@ SIGNED = pa.schema(
         ("n_shingles", pa.int64()),
         ("class_key", pa.binary()),
         ("signature", pa.binary()),
-        ("bands", pa.list_(pa.int64())),
     ]
 )
 
@@ -95,13 +95,13 @@ def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for part in slices(batches):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
                 shingles = shingle_set(text, width, hashes)
-                row = [doc_id, len(shingles), None, None, None]
+                row = [doc_id, len(shingles), None, None]
                 if len(shingles):
                     least = minima(shingles)
-                    row[2:] = [xxhash.xxh3_128_digest(shingles), (least >> np.uint64(32)).astype(np.uint32).tobytes(), band_keys(least)]
+                    row[2:] = [xxhash.xxh3_128_digest(shingles), (least >> np.uint64(32)).astype(np.uint32).tobytes()]
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, SIGNED, strict=True)], schema=SIGNED)
@@ -110,12 +110,25 @@ def _signatures(width: int):
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, class_key, signature, bands``; the last three are null for documents without words."""
-    schema = "doc_id bigint, n_shingles bigint, class_key binary, signature binary, bands array<bigint>"
+    """``doc_id, n_shingles, class_key, signature``; the last two are null for documents without words."""
+    schema = "doc_id bigint, n_shingles bigint, class_key binary, signature binary"
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_signatures(width), schema)
 
 
+def banded(classes: DataFrame) -> DataFrame:
+    """``doc_id, bucket`` for each band of ``doc_id, signature``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("bucket", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 4096):
+            numbers = np.frombuffer(b"".join(part["signature"].to_pylist()), np.uint32).reshape(-1, ROWS * BANDS)
+            ids = np.repeat(part["doc_id"].to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(band_keys(numbers).ravel())], schema=schema)
+
+    return classes.select("doc_id", "signature").mapInArrow(run, "doc_id bigint, bucket bigint")
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, class_key, shingles``: the sorted set as bytes of 64-bit numbers."""
     schema = pa.schema([("doc_id", pa.int64()), ("class_key", pa.binary()), ("shingles", pa.binary())])
@@ -189,15 +202,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 8, denomin
     """
     rows = cut(signed(docs, width))
     usable = rows.where("doc_id is not null and class_key is not null")
-    classes = cut(usable.groupBy("class_key").agg(F.min("doc_id").alias("rep")))
-    shown = classes.groupBy("rep").agg(F.min("class_key").alias("class_key"))
-    reps = usable.join(shown, ["class_key"]).where("doc_id = rep").dropDuplicates(["doc_id"])
-    banded = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    members = cut(banded.join(shared.select("bucket", "least"), "bucket"))
+    # rows of one class have one signature
+    classes = cut(usable.groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")))
+    shown, doubled = classes, classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("class_key").alias("class_key")).where("n > 1")
+    if not doubled.isEmpty():
+        other = classes.join(doubled.select("doc_id", F.col("class_key").alias("_first")), "doc_id").where("class_key <> _first")
+        shown = classes.join(other.select("class_key"), "class_key", "left_anti")
+    buckets = banded(shown)
+    shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    members = cut(buckets.join(shared.select("bucket", "least"), "bucket"))
     firsts = members.where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
     involved = members.select("doc_id").distinct()
-    signatures = cut(reps.join(involved, "doc_id", "left_semi").select("doc_id", "class_key", "signature"))
+    signatures = cut(shown.join(involved, "doc_id", "left_semi"))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = plain.join(involved, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
     sets = shingle_sets(texts, width).join(signatures.select("doc_id", "class_key"), ["doc_id", "class_key"], "left_semi")
@@ -269,7 +285,7 @@ def _block_links(numerator: int, denominator: int):
 
 def _labelled(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     thin = rows.select("doc_id", "n_shingles", "class_key")
-    named = thin.join(classes, "class_key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    named = thin.join(classes.select("class_key", F.col("doc_id").alias("rep")), "class_key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     out = named.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
