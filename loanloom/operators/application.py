@@ -253,8 +253,8 @@ def history_rules(names: list[str]) -> list[Rule]:
 
 def snapshot_extras(raw: DataFrame) -> DataFrame:
     """External scores, inquiry windows and goods ratio of the application snapshot."""
-    scores = [F.col(s).cast("double") for s in EXTERNAL_SCORES]
-    inquiries = [F.col(w).cast("double") for w in INQUIRY_WINDOWS]
+    scores = [F.col(s).try_cast("double") for s in EXTERNAL_SCORES]
+    inquiries = [F.col(w).try_cast("double") for w in INQUIRY_WINDOWS]
     all_missing = F.lit(True)
     for value in inquiries:
         all_missing = all_missing & value.isNull()
@@ -263,10 +263,10 @@ def snapshot_extras(raw: DataFrame) -> DataFrame:
         *[s.alias(n) for s, n in zip(scores, EXTERNAL_SCORES)],
         *[s.isNull().cast("int").alias(f"{n.lower()}_missing") for s, n in zip(scores, EXTERNAL_SCORES)],
         all_missing.cast("int").alias("credit_bureau_inquiry_history_missing"),
-        F.col("AMT_REQ_CREDIT_BUREAU_MON").cast("double").alias("credit_bureau_inquiries_1m"),
-        F.col("AMT_REQ_CREDIT_BUREAU_QRT").cast("double").alias("credit_bureau_inquiries_3m"),
-        F.col("AMT_REQ_CREDIT_BUREAU_YEAR").cast("double").alias("credit_bureau_inquiries_12m"),
-        ratio(F.col("AMT_CREDIT"), F.col("AMT_GOODS_PRICE")).alias("loan_to_goods_price_ratio"),
+        F.col("AMT_REQ_CREDIT_BUREAU_MON").try_cast("double").alias("credit_bureau_inquiries_1m"),
+        F.col("AMT_REQ_CREDIT_BUREAU_QRT").try_cast("double").alias("credit_bureau_inquiries_3m"),
+        F.col("AMT_REQ_CREDIT_BUREAU_YEAR").try_cast("double").alias("credit_bureau_inquiries_12m"),
+        ratio(F.col("AMT_CREDIT").try_cast("double"), F.col("AMT_GOODS_PRICE").try_cast("double")).alias("loan_to_goods_price_ratio"),
     )
 
 

@@ -26,16 +26,17 @@ def date_rules(event: str, availability: str | None = AVAILABLE) -> list[Rule]:
     return rules
 
 
-def collapse_replays(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+def collapse_replays(df: DataFrame, key: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One row per event id plus ``n_rows`` and ``conflicting``.
 
     Equality of all copies is read from min, max and the null count, which
     combine map-side: an id replayed a billion times never meets in one task.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     aggregates = [F.count(F.lit(1)).alias("n_rows")]
     for c in columns:
         aggregates += [F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"), F.count(c).alias(f"n_{c}")]
-    grouped = df.groupBy(key).agg(*aggregates)
+    grouped = df.groupBy(*keys).agg(*aggregates)
     conflicting = F.lit(False)
     for c in columns:
         conflicting = (
@@ -44,7 +45,7 @@ def collapse_replays(df: DataFrame, key: str, columns: Sequence[str]) -> DataFra
             | ((F.col(f"n_{c}") > 0) & (F.col(f"n_{c}") < F.col("n_rows")))
         )
     return grouped.select(
-        key, *[F.col(f"lo_{c}").alias(c) for c in columns], "n_rows", conflicting.alias("conflicting")
+        *keys, *[F.col(f"lo_{c}").alias(c) for c in columns], "n_rows", conflicting.alias("conflicting")
     )
 
 

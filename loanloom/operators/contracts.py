@@ -61,12 +61,12 @@ def orphans(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def conflicting_owners(df: DataFrame, account: str, owner: str) -> DataFrame:
-    """Accounts that appear under more than one owner."""
-    return (
-        df.groupBy(account)
-        .agg(F.min(owner).alias("first_owner"), F.max(owner).alias("last_owner"))
-        .where(F.col("first_owner") != F.col("last_owner"))
+    """Accounts that appear under more than one owner, or both with and without one."""
+    owners = df.groupBy(account).agg(
+        F.min(owner).alias("first_owner"), F.max(owner).alias("last_owner"), F.count(owner).alias("_known"), F.count(F.lit(1)).alias("_all")
     )
+    mixed = (F.col("_known") > 0) & (F.col("_known") < F.col("_all"))
+    return owners.where((F.col("first_owner") != F.col("last_owner")) | mixed).drop("_known", "_all")
 
 
 def count_as(df: DataFrame, name: str) -> DataFrame:

@@ -219,7 +219,8 @@ def bootstrap_intervals(
     """95% Poisson-bootstrap intervals of AUC, average precision and Brier score.
 
     Resampling n equal rows draws Poisson(n), so replicates are drawn per
-    distinct score.  The ladder is range-sorted and stored once; both passes
+    distinct score and class, from generators keyed by them: the interval is
+    the same on every cluster.  The ladder is range-sorted and stored once; both passes
     stream its partitions in order and keep only one running total per
     replicate, so the replicates never multiply the shuffled rows.  The driver
     sees ``partitions x replicates`` totals.
@@ -227,21 +228,24 @@ def bootstrap_intervals(
     ladder = score_groups(df, score, label).withColumn("_down", -F.col("p"))
     placed = range_sorted(ladder, ["_down"]).select(PART, "p", "pos", "neg")
 
-    def draws(batch: pd.DataFrame, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        rate = batch[["pos", "neg"]].to_numpy(dtype=float)[:, :, None]
-        drawn = rng.poisson(np.broadcast_to(rate, (*rate.shape[:2], replicates)))
-        return drawn[:, 0, :], drawn[:, 1, :]
+    def draws(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Draws of each score and class, from a generator of their own: the same in any partition."""
+        drawn = np.zeros((2, len(batch), replicates))
+        for side, name in enumerate(("pos", "neg")):
+            for i, (p, rate) in enumerate(zip(batch["p"].to_numpy(float), batch[name].to_numpy(float), strict=True)):
+                if rate:
+                    key = [int(np.float64(p).view(np.uint64)), seed * 2 + side]
+                    drawn[side, i] = np.random.Generator(np.random.Philox(key=np.array(key, np.uint64))).poisson(rate, replicates)
+        return drawn[0], drawn[1]
 
     def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, rng = None, None
+        part = None
         pos, neg, brier = (np.zeros(replicates) for _ in range(3))
         for batch in batches:
             if batch.empty:
                 continue
-            if rng is None:
-                part = int(batch[PART].iloc[0])
-                rng = np.random.default_rng([seed, part])
-            a, b = draws(batch, rng)
+            part = int(batch[PART].iloc[0])
+            a, b = draws(batch)
             p = batch["p"].to_numpy()[:, None]
             pos, neg = pos + a.sum(0), neg + b.sum(0)
             brier = brier + (a * (1 - p) ** 2 + b * p**2).sum(0)
@@ -256,16 +260,15 @@ def bootstrap_intervals(
     shared = df.sparkSession.sparkContext.broadcast(shifts)
 
     def contributions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, rng = None, None
+        part = None
         area, gain = np.zeros(replicates), np.zeros(replicates)
         for batch in batches:
             if batch.empty:
                 continue
-            if rng is None:
+            if part is None:
                 part = int(batch[PART].iloc[0])
-                rng = np.random.default_rng([seed, part])
                 tp0, fp0 = shared.value[part]
-            a, b = draws(batch, rng)
+            a, b = draws(batch)
             tp, fp = tp0 + a.cumsum(0), fp0 + b.cumsum(0)
             area = area + (b * (tp - a / 2)).sum(0)
             with np.errstate(invalid="ignore", divide="ignore"):

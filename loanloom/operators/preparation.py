@@ -44,6 +44,14 @@ def one_hot(feature: str, values: Sequence[str]) -> list[Column]:
     return [F.coalesce((F.col(feature) == v).cast("double"), F.lit(0.0)).alias(f"{feature}={v}") for v in values]
 
 
+def checked_one_hot(feature: str, values: Sequence[str]) -> list[Column]:
+    """``one_hot`` that stops at a category outside the vocabulary."""
+    known = F.col(feature).isNull() | F.col(feature).isin(*values)
+    stop = F.raise_error(F.concat(F.lit(f"Unknown category of {feature}: "), F.col(feature).cast("string"))).cast("double")
+    first, *rest = one_hot(feature, values)
+    return [F.when(known, first).otherwise(stop).alias(f"{feature}={values[0]}"), *rest]
+
+
 def scale_statistics(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation; a constant column keeps scale one."""
     row = df.agg(*[x for i, c in enumerate(columns) for x in (F.avg(f"`{c}`").alias(f"m{i}"), F.stddev_pop(f"`{c}`").alias(f"s{i}"))]).first()
@@ -111,7 +119,7 @@ class ModelPreparation:
 
     def expressions(self) -> list[Column]:
         numbers = [F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])).alias(c) for c in self.numeric]
-        return numbers + [x for c in self.categorical for x in one_hot(c, categories(c))]
+        return numbers + [x for c in self.categorical for x in checked_one_hot(c, categories(c))]
 
     def transform(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Kept columns and one ``features`` vector."""

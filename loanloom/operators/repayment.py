@@ -23,6 +23,7 @@ from loanloom.operators.history.installments import behaviour
 from loanloom.operators.reconcile import daily_totals, settle
 
 IMPORT = "import_id"
+PAYMENT = ["account_ref", "installment_ref", "paid_date", "amount"]
 KEYS = [IMPORT, "account_ref", "installment_ref"]
 TOLERANCE = MINOR_SCALE // 100
 FIRST_DAY, LAST_DAY = "1900-01-01", "2200-01-01"
@@ -63,10 +64,14 @@ def import_checks(imports: DataFrame, schedules: DataFrame, payments: DataFrame)
 
 
 def _single_events(payments: DataFrame) -> DataFrame:
-    """Identical replays of an event reduced to one payment."""
-    columns = ["account_ref", "installment_ref", "paid_date", "amount"]
-    single = payments.groupBy(IMPORT, "event_ref").agg(*[F.min(c).alias(c) for c in columns])
-    return single.withColumn("_minor", to_minor(F.col("amount")))
+    """Identical replays of an event reduced to one payment; events whose copies disagree are set aside."""
+    single = collapse_replays(payments, [IMPORT, "event_ref"], PAYMENT).where(~F.col("conflicting"))
+    return single.drop("n_rows", "conflicting").withColumn("_minor", to_minor(F.col("amount")))
+
+
+def replay_conflicts(payments: DataFrame) -> DataFrame:
+    """Payment events whose copies disagree in any field: ``import_id, event_ref, n_rows``."""
+    return collapse_replays(payments, [IMPORT, "event_ref"], PAYMENT).where("conflicting").select(IMPORT, "event_ref", "n_rows")
 
 
 def installment_status(imports: DataFrame, schedules: DataFrame, payments: DataFrame) -> DataFrame:
@@ -269,7 +274,8 @@ def portfolio_statistics(analyses: DataFrame) -> DataFrame:
 def idempotency_audit(requests: DataFrame, owner: str, key: str, content: str) -> DataFrame:
     """Replays and conflicts of (owner, key): the same content again, or different content."""
     grouped = requests.groupBy(owner, key).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min(content).alias("_lo"), F.max(content).alias("_hi")
+        F.count(F.lit(1)).alias("n_rows"), F.min(content).alias("_lo"), F.max(content).alias("_hi"), F.count(content).alias("_known")
     )
-    outcome = F.when(F.col("_lo") != F.col("_hi"), "CONFLICT").otherwise("REPLAY")
+    mixed = (F.col("_known") > 0) & (F.col("_known") < F.col("n_rows"))
+    outcome = F.when((F.col("_lo") != F.col("_hi")) | mixed, "CONFLICT").otherwise("REPLAY")
     return grouped.where("n_rows > 1").select(owner, key, "n_rows", outcome.alias("outcome"))

@@ -257,7 +257,7 @@ def nested_selection(
         ready.unpersist()
     groups = ["model", "calibration", "fold"]
     ranks = rank_metrics(predictions, groups=groups).select(*groups, "roc_auc", "average_precision")
-    inner = predictions.groupBy(*groups).agg(F.max("inner_auc").alias("inner_auc"))
+    inner = predictions.groupBy(*groups).agg(F.max("inner_auc").alias("inner_auc"), F.count(F.lit(1)).alias("assessed_rows"))
     losses = probability_losses(predictions, groups=groups).select(*groups, "brier")
     out = ranks.join(losses, groups).join(inner, groups).checkpoint()  # a few rows, so that the caches can go
     placed.unpersist()
@@ -281,6 +281,7 @@ def ablation(
             {
                 "variant": label, "feature_count": len(numeric) + len(categorical), "roc_auc": ranks["roc_auc"],
                 "average_precision": ranks["average_precision"], "brier": probability_losses(p).first()["brier"],
+                "policy_rows": p.count(),
             }
         )
         p.unpersist()

@@ -279,7 +279,7 @@ def _preparation(spark: SparkSession, sf: str) -> DataFrame:
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Every k over all rows: silhouette and shares within their bounds, inertia no higher than that of one centre."""
     points = _prepared(spark, sf)
-    found = S.sweep(points, range(2, 8), starts=2)
+    found = S.sweep(points, range(2, 8), starts=1)
     x = vector_to_array("features")
     spread = [F.var_pop(x[i]) for i in range(len(SEGMENT_FEATURES))]
     n, *spreads = points.agg(F.count(F.lit(1)), *spread).first()

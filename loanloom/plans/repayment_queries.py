@@ -206,6 +206,18 @@ def _import_checks(spark: SparkSession, sf: str) -> DataFrame:
     return R.import_checks(imports(spark, sf), kept, payments(spark, sf))
 
 
+CHANGED_COPIES = "select * from pmt union all select import_id, event_ref, account_ref, installment_ref, amount + 1, paid_date from pmt where import_id % 5 = 1"
+
+
+@query("payment_replay_conflicts", with_views(
+    BOTH, f"select import_id, event_ref, count(*) n_rows from ({CHANGED_COPIES}) group by 1, 2 having count(distinct amount) > 1", STEPS))
+def _replay_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth import sends each event again with another amount."""
+    rows = payments(spark, sf)
+    again = rows.where("import_id % 5 = 1").withColumn("amount", F.col("amount") + 1)
+    return R.replay_conflicts(rows.unionByName(again))
+
+
 JSON_SPARK = "to_json(named_struct('metrics', named_struct('discipline_score', case when value > 100 then value end, 'kind', event_type)))"
 JSON_SQL = "case when value > 100 then value end"
 

@@ -1,8 +1,8 @@
-"""Catalogue: training, calibration and explanation (rows-only checks)."""
+"""Catalogue: training, calibration and explanation: facts that hold for any fitted model."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanloom.operators import explain as X
@@ -11,10 +11,14 @@ from loanloom.operators import training as T
 from loanloom.operators.application import BASE_NUMERIC, CATEGORICAL
 from loanloom.operators.cohorts import split_cohorts
 from loanloom.plans import application_queries as A
+from loanloom.plans.evaluation_queries import COHORT_STEPS, RANKED
 from loanloom.plans.registry import query, rounded
 from loanloom.plans.views import with_views
+from loanloom.session import ensure_checkpoint_dir
 
 RAW = ["v_raw"]
+#: The cohort steps over the labelled rows of the short contract.
+LABELED = {**A.LITE_STEPS, **COHORT_STEPS, "ranked": RANKED.replace("v_scored", "(select SK_ID_CURR id, TARGET y from lite)")}
 
 
 def labeled(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,47 +26,74 @@ def labeled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cohorts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Rows per cohort; stored once, as every fit reads them many times."""
     rows = labeled(spark, sf)
-    tagged = rows.join(split_cohorts(rows).select("id", "cohort"), "id").persist()
+    ensure_checkpoint_dir(spark)
+    tagged = rows.join(split_cohorts(rows).select("id", "cohort"), "id").checkpoint()
     return {c: tagged.where(F.col("cohort") == c).drop("cohort") for c in ("development", "calibration", "policy", "test")}
 
 
-@query("train_compare")
+def _valid(*columns: str) -> Column:
+    """Rows whose probabilities all lie in [0, 1]."""
+    good = F.lit(True)
+    for c in columns:
+        good = good & F.coalesce(F.col(c).between(0, 1) & ~F.isnan(c), F.lit(False))
+    return F.count_if(good).alias("valid")
+
+
+COMPARED = ("logistic_regression", "decision_tree")
+
+
+@query("train_compare", with_views(
+    RAW, "select model, calibration, cast(rk % 3 as integer) fold, count(*) assessed_rows, true in_range from ranked, "
+    f"(select unnest({list(COMPARED)}) model), (select unnest({list(T.METHODS)}) calibration) group by 1, 2, 3", LABELED))
 def _compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Two families, two calibrations, three nested folds, small grids."""
-    grids = {
-        "logistic_regression": [{"C": 1.0}],
-        "decision_tree": [{"maxDepth": 4, "minInstancesPerNode": 50}, {"maxDepth": 6, "minInstancesPerNode": 50}],
-    }
-    return T.nested_selection(labeled(spark, sf), list(grids), BASE_NUMERIC, CATEGORICAL, grids=grids)
+    """Two families, two calibrations, three nested folds: rows assessed, metrics within bounds."""
+    grids = {"logistic_regression": T.GRIDS["logistic_regression"][-2:], "decision_tree": T.GRIDS["decision_tree"][:2]}
+    rows = T.nested_selection(labeled(spark, sf), COMPARED, BASE_NUMERIC, CATEGORICAL, grids=grids)
+    good = F.lit(True)
+    for m in ("roc_auc", "average_precision", "brier", "inner_auc"):
+        good = good & F.coalesce(F.col(m).between(0, 1), F.lit(False))
+    return rows.select("model", "calibration", "fold", "assessed_rows", good.alias("in_range"))
 
 
-@query("calibrate")
+@query("calibrate", with_views(
+    RAW, "select y, count(*) n_rows, count(*) valid, true rising from split where cohort = 'test' group by 1", LABELED))
 def _calibrate(spark: SparkSession, sf: str) -> DataFrame:
+    """Both calibrations of the test cohort: valid probabilities that rise with the raw score."""
     parts = cohorts(spark, sf)
     fitted = T.fit("logistic_regression", {"C": 1.0}, parts["development"], BASE_NUMERIC, CATEGORICAL)
     raw = fitted.score(parts["calibration"], ["y"])
     test = fitted.score(parts["test"], ["id", "y"])
-    sigmoid = T.fit_calibrator("sigmoid", raw).apply(test, column="p_sigmoid")
-    return T.fit_calibrator("isotonic", raw).apply(sigmoid, column="p_isotonic")
+    sigmoid, isotonic = (T.fit_calibrator(method, raw) for method in T.METHODS)
+    both = isotonic.apply(sigmoid.apply(test, column="p_sigmoid"), column="p_isotonic")
+    steps = isotonic.model.predictions.toArray()
+    rising = sigmoid.slope > 0 and bool((steps[1:] >= steps[:-1]).all())
+    return both.groupBy("y").agg(F.count(F.lit(1)).alias("n_rows"), _valid("p_sigmoid", "p_isotonic"), F.lit(rising).alias("rising"))
 
 
-@query("score_batch")
+@query("score_batch", with_views(RAW, "select y, count(*) n_rows, count(*) valid from split where cohort = 'test' group by 1", LABELED))
 def _score(spark: SparkSession, sf: str) -> DataFrame:
     parts = cohorts(spark, sf)
-    fitted = T.fit("gradient_boosted", {"maxIter": 5, "maxDepth": 3}, parts["development"], BASE_NUMERIC, CATEGORICAL)
+    fitted = T.fit("gradient_boosted", {"maxIter": 20, "maxDepth": 3}, parts["development"], BASE_NUMERIC, CATEGORICAL)
     calibrator = T.fit_calibrator("sigmoid", fitted.score(parts["calibration"], ["y"]))
-    return T.score_batch(parts["test"], fitted, calibrator, ["id", "y"], check=True)
+    scored = T.score_batch(parts["test"], fitted, calibrator, ["id", "y"], check=True)
+    return scored.groupBy("y").agg(F.count(F.lit(1)).alias("n_rows"), _valid("p"))
 
 
-@query("feature_ablation")
+WITHOUT = {"all": (), "without household": ("household_size", "dependent_children"), "without income": ("annual_income",)}
+
+
+@query("feature_ablation", with_views(
+    RAW, "select variant, cast(k as integer) feature_count, count(*) policy_rows, true in_range from split, (select unnest("
+    + str([{"variant": v, "k": len(BASE_NUMERIC) + len(CATEGORICAL) - len(cut)} for v, cut in WITHOUT.items()]) + ", recursive := true)) where cohort = 'policy' group by 1, 2", LABELED))
 def _ablation(spark: SparkSession, sf: str) -> DataFrame:
-    variants = {
-        "all": (BASE_NUMERIC, CATEGORICAL), "without categories": (BASE_NUMERIC, []),
-        "without household": ([c for c in BASE_NUMERIC if c not in ("household_size", "dependent_children")], CATEGORICAL),
-    }
-    rows = T.ablation(cohorts(spark, sf), variants, "logistic_regression", {"C": 1.0}, "sigmoid")
-    return spark.createDataFrame(rows, "variant string, feature_count int, roc_auc double, average_precision double, brier double")
+    variants = {v: ([c for c in BASE_NUMERIC if c not in cut], CATEGORICAL) for v, cut in WITHOUT.items()}
+    found = T.ablation(cohorts(spark, sf), variants, "logistic_regression", {"C": 1.0}, "sigmoid")
+    rows = [
+        (r["variant"], r["feature_count"], r["policy_rows"], all(0 <= r[m] <= 1 for m in ("roc_auc", "average_precision", "brier"))) for r in found
+    ]
+    return spark.createDataFrame(rows, "variant string, feature_count int, policy_rows bigint, in_range boolean")
 
 
 def _linear(spark: SparkSession, sf: str) -> tuple[T.Fitted, dict[str, DataFrame]]:
@@ -70,25 +101,38 @@ def _linear(spark: SparkSession, sf: str) -> tuple[T.Fitted, dict[str, DataFrame
     return T.fit("logistic_regression", {"C": 1.0}, parts["development"], BASE_NUMERIC, CATEGORICAL), parts
 
 
-@query("permutation_importance")
+PERMUTED = ["age_years", "household_size", "annual_income", "employment_type"]
+
+
+@query("permutation_importance", with_views(
+    RAW, f"select feature, count(*) n_rows, true in_range from split, (select unnest({PERMUTED}) feature) where cohort = 'test' group by 1", LABELED))
 def _permutation(spark: SparkSession, sf: str) -> DataFrame:
     fitted, parts = _linear(spark, sf)
-    return X.permutation_importance(fitted, parts["test"], ["age_years", "household_size", "annual_income", "employment_type"])
+    found = X.permutation_importance(fitted, parts["test"], PERMUTED)
+    good = F.col("roc_auc").between(0, 1) & F.col("auc_drop").between(-1, 1)
+    return found.select("feature", F.lit(parts["test"].count()).cast("bigint").alias("n_rows"), good.alias("in_range"))
 
 
-@query("linear_attribution")
+@query("linear_attribution", with_views(RAW, "select count(*) n_rows, true additive from split where cohort = 'test'", LABELED))
 def _attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Base value and contributions add up to the margin of every row."""
     fitted, parts = _linear(spark, sf)
-    means = X.background_means(fitted, parts["development"])
-    return X.global_importance(X.linear_contributions(fitted, parts["test"], means, ["id"]))
+    rows = X.linear_contributions(fitted, parts["test"], X.background_means(fitted, parts["development"]), ["id"])
+    error = X.additivity_error(rows).select((F.col("max_additivity_error") < 1e-9).alias("additive"))
+    return error.withColumn("n_rows", F.lit(rows.count()).cast("bigint"))
 
 
-@query("top_contributions")
+@query("top_contributions", with_views(RAW, "select id, true consistent from split where cohort = 'test'", LABELED))
 def _top(spark: SparkSession, sf: str) -> DataFrame:
+    """Increases and reductions are sorted, at most five each, of the right sign, and no other feature is stronger."""
     fitted, parts = _linear(spark, sf)
-    means = X.background_means(fitted, parts["development"])
-    rows = X.top_contributions(X.linear_contributions(fitted, parts["test"], means, ["id"]), ["id"])
-    return rows.select("id", F.explode("increases_risk").alias("x")).select("id", "x.feature", "x.label", "x.contribution")
+    wide = X.linear_contributions(fitted, parts["test"], X.background_means(fitted, parts["development"]), ["id"])
+    names = [c for c in wide.columns if c.startswith("c_")]
+    rows = X.top_contributions(wide, ["id"]).join(wide.select("id", F.array(*names).alias("all")), "id")
+    up, down = F.col("increases_risk.contribution"), F.col("reduces_risk.contribution")
+    best = F.slice(F.sort_array(F.filter("all", lambda x: x > 0), asc=False), 1, X.TOP)
+    worst = F.slice(F.sort_array(F.filter("all", lambda x: x < 0)), 1, X.TOP)
+    return rows.select("id", ((up == best) & (down == worst)).alias("consistent"))
 
 
 @query("median_impute", with_views(
@@ -108,7 +152,7 @@ def _winsorize(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.select("id", P.clip(F.col("annual_income"), limits).alias("annual_income")), 6, "annual_income")
 
 
-HOT = [v for v in sorted(set(["WORKING", "COMMERCIAL_ASSOCIATE", "STATE_SERVANT", "PENSIONER", "OTHER"]))]
+HOT = ["COMMERCIAL_ASSOCIATE", "OTHER", "PENSIONER", "STATE_SERVANT", "WORKING"]
 
 
 @query("one_hot", with_views(

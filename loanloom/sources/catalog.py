@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DoubleType, StringType, StructField
 
 from loanloom.errors import ContractError
 from loanloom.functions.nullsafe import clean_floats
@@ -13,6 +14,10 @@ from loanloom.sources import files
 from loanloom.sources.schemas import ALIASES, REQUIRED, SCHEMAS
 
 
+#: Sources whose adapter casts numbers itself.
+TEXT_NUMBERS = ("application_train", "application_test")
+
+
 class Catalog:
     """Finds a source by key under its known names, whatever the case of the file."""
 
@@ -41,9 +46,15 @@ class Catalog:
         return self.spark.read.csv(path, header=True).columns
 
     def load(self, key: str, columns: Sequence[str] | None = None) -> DataFrame:
-        """Declared types, malformed rows fail, NaN becomes null, optional columns may be absent."""
+        """Declared types, malformed lines fail, NaN becomes null, optional columns may be absent.
+
+        Amounts and days of applications stay text: the adapter casts each row and gives a malformed number as that
+        row's reason, so that one bad number excludes one row instead of stopping the job.
+        """
         path = self._required(key)
         declared = {f.name: f for f in SCHEMAS[key].fields}
+        if key in TEXT_NUMBERS:
+            declared = {n: StructField(n, StringType()) if f.dataType == DoubleType() else f for n, f in declared.items()}
         if path.endswith(".parquet"):
             df = self.spark.read.parquet(path)
             df = df.select(*[df[c].cast(declared[c].dataType).alias(c) if c in declared else df[c] for c in df.columns])
