@@ -80,6 +80,21 @@ def test_malformed_csv_fails(spark, tmp_path):
         Catalog(spark, str(tmp_path)).load("bureau_balance").collect()
 
 
+def test_one_bad_number_excludes_one_application(spark, tmp_path):
+    from loanloom.operators import application as A
+
+    names = ["SK_ID_CURR", "NAME_CONTRACT_TYPE", *A.SOURCE_COLUMNS.values()]
+    values = {"SK_ID_CURR": "1", "NAME_CONTRACT_TYPE": "Cash loans"}
+    lines = [",".join(names)]
+    for key, credit in ((1, "1000"), (2, "12x4")):
+        values |= {"SK_ID_CURR": str(key), "AMT_CREDIT": credit}
+        lines.append(",".join(values.get(n, "1") for n in names))
+    (tmp_path / "application_train.csv").write_text("\n".join(lines) + "\n")
+    loaded = Catalog(spark, str(tmp_path)).load("application_train")
+    reasons = {r["SK_ID_CURR"]: r["reason"] for r in A.adapt_applications(loaded).collect()}
+    assert reasons[2] == "Invalid numeric field: requested_amount" and not (reasons[1] or "").startswith("Invalid numeric")
+
+
 def test_full_build(spark, raw, tmp_path):
     out = str(tmp_path / "full")
     result = readiness.build(spark, str(raw), out)

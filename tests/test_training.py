@@ -57,7 +57,7 @@ def test_random_draws_are_seeded_and_inside():
     draws = T.random_draws(T.BOOSTED_RANGES, 20)
     assert draws == T.random_draws(T.BOOSTED_RANGES, 20)
     for d in draws:
-        assert 20 <= d["maxIter"] <= 60 and 0.02 <= d["stepSize"] <= 0.15 and 0.6 <= d["subsamplingRate"] <= 1
+        assert 200 <= d["maxIter"] <= 600 and 0.4 <= float(d["featureSubsetStrategy"]) <= 1 and 0.02 <= d["stepSize"] <= 0.15 and 0.6 <= d["subsamplingRate"] <= 1
 
 
 def test_release_round_trip(spark, tmp_path):
