@@ -68,6 +68,19 @@ def page(df: DataFrame, limit: int, offset: int, created: str = "created_at", ke
     return df.orderBy(F.desc(created), key).offset(offset).limit(limit)
 
 
+def page_after(
+    df: DataFrame, limit: int, last: tuple[object, object] | None = None, created: str = "created_at", key: str = "id"
+) -> DataFrame:
+    """The page that follows the row (created, key) ``last``, newest first.
+
+    The position is a filter, which reaches the scan, so a page far down costs what the first one costs.
+    """
+    if last is not None:
+        moment, after = last
+        df = df.where((F.col(created) < F.lit(moment)) | ((F.col(created) == F.lit(moment)) & (F.col(key) > F.lit(after))))
+    return df.orderBy(F.desc(created), key).limit(limit)
+
+
 def page_total(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"))
 

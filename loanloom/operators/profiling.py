@@ -56,9 +56,14 @@ def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return long_rows(totals, rows)
 
 
-def ranked_missing(df: DataFrame, columns: Sequence[str] | None = None, top: int = 30) -> DataFrame:
+def _first(report: DataFrame, top: int | None) -> DataFrame:
+    return report if top is None else report.limit(top)
+
+
+def ranked_missing(df: DataFrame, columns: Sequence[str] | None = None, top: int | None = None) -> DataFrame:
+    """Columns with unknown values, most of them first; ``top`` is a display size."""
     report = missing_report(df, columns).where("missing_rows > 0")
-    return report.orderBy(F.desc("missing_fraction"), "column").limit(top)
+    return _first(report.orderBy(F.desc("missing_fraction"), "column"), top)
 
 
 def mostly_missing(df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -149,8 +154,8 @@ def rate_by(df: DataFrame, column: str | Column, label: str, min_count: int = 20
     return grouped.where(F.col("n_rows") >= min_count)
 
 
-def rate_by_top(df: DataFrame, column: str, label: str, min_count: int = 200, top: int = 10) -> DataFrame:
-    return rate_by(df, column, label, min_count).orderBy(F.desc("rate"), "group_value").limit(top)
+def rate_by_top(df: DataFrame, column: str, label: str, min_count: int = 200, top: int | None = None) -> DataFrame:
+    return _first(rate_by(df, column, label, min_count).orderBy(F.desc("rate"), "group_value"), top)
 
 
 def rate_by_age(df: DataFrame, age: Column, label: str) -> DataFrame:
@@ -179,13 +184,13 @@ def histogram(df: DataFrame, column: str, bins: int = 40, by: str | None = None)
     return counts.join(sizes, by).withColumn("density", F.col("n_rows") / (F.col("_size") * F.lit(width))).drop("_size")
 
 
-def correlations(df: DataFrame, label: str, columns: Sequence[str], top: int = 40) -> DataFrame:
+def correlations(df: DataFrame, label: str, columns: Sequence[str], top: int | None = None) -> DataFrame:
     """Pearson correlation with the label, strongest first; all columns in one aggregate."""
     y = F.col(label).cast("double")
     totals = df.agg(*[F.corr(F.col(c).cast("double"), y).alias(f"r{i}") for i, c in enumerate(columns)])
     report = long_rows(totals, [{"column": F.lit(c), "correlation": F.col(f"r{i}")} for i, c in enumerate(columns)])
     known = report.where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
-    return known.orderBy(F.desc(F.abs("correlation")), "column").limit(top)
+    return _first(known.orderBy(F.desc(F.abs("correlation")), "column"), top)
 
 
 def source_profile(

@@ -73,6 +73,15 @@ def _page(spark: SparkSession, sf: str) -> DataFrame:
     return L.page(orders, 20, 40)
 
 
+@query("application_page_after",
+       "select o_orderkey id, cast(cast(o_orderdate as date) as string) created_at, o_totalprice from orders "
+       "where cast(cast(o_orderdate as date) as string) < '1996-06-30' or (cast(cast(o_orderdate as date) as string) = '1996-06-30' and o_orderkey > 5000) "
+       "order by o_orderdate desc, o_orderkey limit 20")
+def _page_after(spark: SparkSession, sf: str) -> DataFrame:
+    orders = views.table(spark, sf, "orders").selectExpr("o_orderkey as id", "cast(cast(o_orderdate as date) as string) as created_at", "o_totalprice")
+    return L.page_after(orders, 20, ("1996-06-30", 5000))
+
+
 @query("page_total", "select count(*) total from orders")
 def _page_total(spark: SparkSession, sf: str) -> DataFrame:
     return L.page_total(views.table(spark, sf, "orders"))
