@@ -175,7 +175,13 @@ def train(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     """Trees for ``labels.quality`` from at most ``train_rows`` labelled rows that are not held out."""
     known = labels.where(F.col("quality").isin(0, 1)).where(~held_out()).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y"))
     joined = stats.join(known, F.col("doc_id") == F.col("_id"))
-    sample = joined.orderBy(F.xxhash64("_id"), "_id", *COUNTS, "_y").limit(train_rows).select(*COUNTS, "_y").collect()
+    joined = joined.withColumn("_h", F.xxhash64("_id"))
+    # the rows of the lowest hashes lie below a bound that half as many again do, so that tasks send few others
+    bound = int((1 << 64) * min(1.0, 1.5 * train_rows / max(joined.count(), 1))) - (1 << 63)
+    low = joined.where(F.col("_h") < bound) if bound < (1 << 63) else joined
+    if low.count() < train_rows:
+        low = joined
+    sample = low.orderBy("_h", "_id", *COUNTS, "_y").limit(train_rows).select(*COUNTS, "_y").collect()
     rows = np.array([tuple(r) for r in sample], np.int64).reshape(-1, len(COUNTS) + 1)
     return fit_trees(features(rows[:, :-1]), rows[:, -1].astype(float))
 
