@@ -12,7 +12,7 @@ SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 # need at least 20 rows of each class, which the smallest scale does not have
 MEDIUM_ONLY = {
     "cohort_split", "cohort_sizes", "partition_problems", "calibrate", "score_batch", "feature_ablation", "permutation_importance",
-    "linear_attribution", "top_contributions",
+    "linear_attribution", "top_contributions", "train_compare",
 }
 # replicates are drawn in Arrow batches
 ARROW = {"bootstrap_ci"}
