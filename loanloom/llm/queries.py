@@ -12,7 +12,7 @@ from loanloom.llm.common import documents
 
 
 def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.compare_with_next(documents(spark, sf_dir).select("doc_id", "text"))
+    return spotsigs.compare_with_next(documents(spark, sf_dir).select("doc_id", "text"), steady=True)
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
