@@ -5,7 +5,7 @@ before it, or the word before and the word after.  All identifier-like words of
 a digit among them) and the seeds make a graph of patterns and distinct instances.  Each round scores a pattern by
 how many of its instances are known, keeps patterns that enough distinct known instances support and that hardly
 anything else fills, scores unknown instances by the patterns around them (noisy or), and makes the confident ones
-known for the next round.  The words found this way are added as spans of kind ``context``; seed spans stay.
+known for the next round, until neither instances nor scores rise.  The words found this way are added as spans of kind ``context``; seed spans stay.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT, PATTERN_CONFIDENCE = 5, 0.8
 #: An unknown instance needs this score from the patterns around it.
 INSTANCE_CONFIDENCE = 0.9
-ROUNDS = 3
+#: Rounds end when no score rises by more than this.
+TOLERANCE = 1e-6
 #: Code points on either side in which the words of a pattern are looked for.
 CONTEXT = 60
 ROW = ("k", "absent", "h")
@@ -108,26 +109,29 @@ def scanned(docs: DataFrame) -> DataFrame:
     return cut(found.select("doc_id", *ROW, *counts, "base", seen.alias("seen")))
 
 
-def confident_instances(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Distinct unknown instances that the graph of ``pattern, instance, known`` makes known."""
+def confident_instances(edges: DataFrame) -> DataFrame:
+    """Distinct unknown instances that the graph of ``pattern, instance, known`` makes known.
+
+    Scores never fall from one round to the next and are 1 at most, so the rounds end.
+    """
     graph = cut(edges.groupBy("pattern", "instance").agg(F.max(F.col("known").cast("double")).alias("seed")))
-    believed = None
-    for _ in range(rounds):
-        if believed is None:
-            scored = graph.withColumn("belief", F.col("seed"))
-        else:
-            scored = graph.join(believed, "instance", "left").withColumn("belief", F.greatest("seed", F.coalesce("score", F.lit(0.0))))
+    believed = graph.where("false").select("instance", F.col("seed").alias("score"))
+    while True:
+        old = believed.withColumnRenamed("score", "old")
+        scored = graph.join(old, "instance", "left").withColumn("belief", F.greatest("seed", "old"))
         patterns = scored.groupBy("pattern").agg(
             F.sum("belief").alias("support"), (F.sum("belief") / F.count(F.lit(1))).alias("confidence")
         )
         good = patterns.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= PATTERN_CONFIDENCE)).select("pattern", "confidence")
         miss = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999))))
         scores = graph.where("seed = 0").join(good, "pattern").groupBy("instance").agg((1 - F.exp(miss)).alias("score"))
-        found = cut(scores.where(F.col("score") >= INSTANCE_CONFIDENCE))
-        before, believed = believed, found
-        if before is not None and before.count() == found.count():
-            break
-    return believed.select("instance")
+        # the order of a sum may move a score by its last bits; what is known stays so
+        risen = scores.where(F.col("score") >= INSTANCE_CONFIDENCE).join(old, "instance", "full")
+        found = cut(risen.select("instance", F.greatest("score", "old").alias("score"), F.coalesce("old", F.lit(0.0)).alias("old")))
+        rise = found.agg(F.max(F.col("score") - F.col("old"))).first()[0]
+        believed = found.drop("old")
+        if rise is None or rise <= TOLERANCE:
+            return believed.select("instance")
 
 
 def find(docs: DataFrame) -> DataFrame:
