@@ -2,7 +2,7 @@
 
 Matches of four patterns are the seed entities.  The words around an entity are a lexical pattern: the two words
 before it, or the word before and the word after.  All identifier-like words of the corpus (five characters or more,
-a digit among them) and the seeds make a graph of patterns and distinct instances.  Each round scores a pattern by
+a digit among them), all runs of two or more words with digits joined by single blanks, and the seeds make a graph of patterns and distinct instances.  Each round scores a pattern by
 how many of its instances are known, keeps patterns that enough distinct known instances support and that hardly
 anything else fills, scores unknown instances by the patterns around them (noisy or), and makes the confident ones
 known for the next round, until neither instances nor scores rise.  The words found this way are added as spans of kind ``context``; seed spans stay.
@@ -11,6 +11,7 @@ known for the next round, until neither instances nor scores rise.  The words fo
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loanloom.llm.common import cut, text_or_empty
@@ -23,6 +24,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^0-9\x20\x09-\x0D]*+[0-9])[^\x20\x09-\x0D]{5,}+"
+#: Words with a digit, of any length, joined by single blanks: numbers written in groups.
+RUN = r"(?<![^\x20\x09-\x0D])(?=[^0-9\x20\x09-\x0D]*+[0-9])[^\x20\x09-\x0D]++(?:\x20(?=[^0-9\x20\x09-\x0D]*+[0-9])[^\x20\x09-\x0D]++)++"
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern needs so many distinct known instances, and such a share of known ones among all of its instances.
 SUPPORT, PATTERN_CONFIDENCE = 5, 0.8
@@ -78,8 +81,8 @@ def with_base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     return df
 
 
-def _occurrences(text: str, spans: Column, known: bool) -> Column:
-    """Instances with the patterns around them."""
+def _occurrences(text: str, spans: Column, known: bool, runs: Column | None = None) -> Column:
+    """Instances with the patterns around them; before a run of ``runs``, the pattern's instance is the run, not its first word."""
 
     def occurrence(s: Column) -> Column:
         source = F.col(text)
@@ -89,7 +92,10 @@ def _occurrences(text: str, spans: Column, known: bool) -> Column:
         first = F.lower(F.regexp_extract(after, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
         last = F.when(F.size(words) > 0, F.element_at(words, -1)).otherwise("")
         two = F.concat_ws(" ", F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2)))
-        patterns = F.array(F.concat(F.lit("L "), two), F.concat(F.lit("LR "), last, F.lit(" _ "), first))
+        left, both = F.concat(F.lit("L "), two), F.concat(F.lit("LR "), last, F.lit(" _ "), first)
+        patterns = F.array(left, both)
+        if runs is not None:
+            patterns = F.when(F.exists(runs, lambda r: r["start"] == s["start"]), F.array(both)).otherwise(patterns)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("instance"), patterns.alias("patterns"), F.lit(known).alias("known"))
 
     return F.transform(spans, occurrence)
@@ -101,10 +107,15 @@ def scanned(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
     base = base.withColumn("k", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))).withColumn("absent", F.col("doc_id").isNull())
     found = with_matches(with_base_spans(base), "text", "word", CANDIDATE, "[0-9]")
+    found = with_matches(found, "text", "run", RUN, "[0-9]")
     found = found.withColumn("base", F.concat(*KINDS))
-    clear = F.filter("word", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
-    found = found.withColumn("clear", clear)
-    seen = F.concat(_occurrences("text", F.col("base"), True), _occurrences("text", F.col("clear"), False))
+    clear = lambda spans: F.filter(spans, lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
+    found = found.withColumn("clear", clear("word")).withColumn("runs", clear("run"))
+    seen = F.concat(
+        _occurrences("text", F.col("base"), True),
+        _occurrences("text", F.col("clear"), False, F.col("runs")),
+        _occurrences("text", F.col("runs"), False),
+    )
     counts = [F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
     return cut(found.select("doc_id", *ROW, *counts, "base", seen.alias("seen")))
 
@@ -140,6 +151,9 @@ def find(docs: DataFrame) -> DataFrame:
     seen = rows.where(F.size("seen") > 0).select(*ROW, F.explode("seen").alias("s")).select(*ROW, "s.*")
     edges = seen.select("instance", "known", F.explode("patterns").alias("pattern")).where("pattern not in ('L ', 'LR  _ ')")
     more = seen.where("not known").join(confident_instances(edges), "instance").select(*ROW, "start", "end", "instance").distinct()
+    # words inside a found run are part of its span
+    inside = W.partitionBy(*ROW).orderBy("start", F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
+    more = more.withColumn("reach", F.max("end").over(inside)).where("reach is null or end > reach")
     span = F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit("context").alias("kind"), F.col("instance").alias("hit"))
     more = more.groupBy(*ROW).agg(F.array_sort(F.collect_list(span)).alias("more"))
     joined = rows.join(more, list(ROW), "left")
