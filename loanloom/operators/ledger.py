@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loanloom.errors import ContractError
 from loanloom.functions.digest import table_digest
 from loanloom.operators.contracts import union_reports
+from loanloom.operators.salted import header_join
 
 METRICS = ("roc_auc", "average_precision", "brier", "log_loss")
 
@@ -58,9 +59,13 @@ def application_detail(
 
 
 def import_analyses(imports: DataFrame, analyses: DataFrame, owner: int | str | None = None) -> DataFrame:
-    """Stored analyses next to their import, optionally of one owner; the filter reaches the scan."""
+    """Stored analyses next to their import, optionally of one owner; the filter reaches the scan.
+
+    An import with a large part of all analyses is dealt over tasks.
+    """
     mine = imports if owner is None else imports.where(F.col("owner_id") == owner)
-    return mine.join(analyses, "import_id")
+    stored = header_join(analyses, mine, "import_id")
+    return stored.select("import_id", *[c for c in mine.columns + analyses.columns if c != "import_id"])
 
 
 def page(df: DataFrame, limit: int, offset: int, created: str = "created_at", key: str = "id") -> DataFrame:

@@ -97,18 +97,3 @@ def quantile_edges(df: DataFrame, value: str, probs: Sequence[float]) -> list[fl
     """Quantiles as numbers on the driver: ``len(probs)`` values, whatever the data size."""
     row = quantiles(df, value, probs).first()
     return [] if row is None else [row[f"q{i}"] for i in range(len(probs))]
-
-
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Quantiles of several numeric columns at once: ``(column, known_rows, q0..qk)``."""
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-    )
-    long = df.select(pairs.alias("_p")).select("_p.column", "_p.value")
-    return quantiles(long, "value", probs, ["column"])
-
-
-def edges_by_column(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
-    """Driver copy of ``column_quantiles``: at most ``len(columns)`` small rows."""
-    found = column_quantiles(df, columns, probs).collect()
-    return {r["column"]: [r[f"q{i}"] for i in range(len(probs))] for r in found}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loanloom.errors import ContractError
 from loanloom.operators.application import categories
 from loanloom.operators.contracts import Rule, enforce, violation_counts
-from loanloom.operators.prefix import edges_by_column
+from loanloom.operators.brackets import edges_by_column
 
 
 def median_impute_values(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:

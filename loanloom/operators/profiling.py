@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from loanloom.functions.binning import equal_width, left_closed, quantile_bin
 from loanloom.functions.nullsafe import is_finite, ratio
 from loanloom.functions.reshape import long_rows
-from loanloom.operators.prefix import column_quantiles, edges_by_column, quantile_edges, quantiles_of_counts
+from loanloom.operators.brackets import column_quantiles, edges_by_column
+from loanloom.operators.prefix import quantile_edges, quantiles_of_counts
 
 # Edges of the age bins, left-closed.
 AGE_EDGES = [18, 25, 30, 35, 40, 45, 50, 55, 60, 70]

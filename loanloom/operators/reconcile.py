@@ -31,10 +31,12 @@ def settle(
     day: str,
     amount: str,
     tolerance: int,
+    until: str | None = None,
 ) -> DataFrame:
     """Every obligation with ``completion``, ``paid`` and ``paid_by_due``.
 
-    Obligations without any payment are kept with zero paid and no completion.
+    Obligations without any payment are kept with zero paid and no completion.  ``until`` names the schedule's last
+    visible day: payments after it count for nothing, which needs no join of their own with what sets that day.
     The window, the join and the final aggregate share one partitioning on
     ``keys``, which are unique in the schedule.
     """
@@ -42,7 +44,9 @@ def settle(
     progress = daily.select(
         *keys, F.col(day).alias("_day"), F.col(amount).alias("_amount"), F.sum(amount).over(running).alias("_running")
     )
-    reached = F.col("_running") >= F.col(due_amount) - tolerance
+    visible = F.col("_day") <= F.col(until) if until else F.lit(True)
+    # later days come last in a running total, so they cannot change an earlier one
+    reached = visible & (F.col("_running") >= F.col(due_amount) - tolerance)
     nothing = F.lit(0).cast("bigint")
     payload = [c for c in schedule.columns if c not in keys]
     return (
@@ -51,7 +55,7 @@ def settle(
         .agg(
             *[F.max(c).alias(c) for c in payload],
             F.min(F.when(reached, F.col("_day"))).alias("completion"),
-            F.coalesce(F.sum("_amount"), nothing).alias("paid"),
-            F.coalesce(F.sum(F.when(F.col("_day") <= F.col(due_day), F.col("_amount"))), nothing).alias("paid_by_due"),
+            F.coalesce(F.sum(F.when(visible, F.col("_amount"))), nothing).alias("paid"),
+            F.coalesce(F.sum(F.when(visible & (F.col("_day") <= F.col(due_day)), F.col("_amount"))), nothing).alias("paid_by_due"),
         )
     )

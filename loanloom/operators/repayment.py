@@ -5,8 +5,10 @@
 ``payments``  import_id, event_ref, account_ref, installment_ref, paid_date, amount
 
 All steps aggregate before they join, so one import may hold a large part of all
-rows: obligations are partitioned by (import, account, installment) and metrics
-are combinable aggregates per import.
+rows: obligations are partitioned by (import, account, installment), metrics are
+combinable aggregates per import, and what is left to join on the import alone is
+dealt over parts of a heavy import (``salted``).  Payments never meet the import:
+the obligation they belong to carries its cut-off.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from loanloom.operators.contracts import (
 )
 from loanloom.operators.history.installments import behaviour
 from loanloom.operators.reconcile import daily_totals, settle
+from loanloom.operators.salted import header_join
 
 IMPORT = "import_id"
 PAYMENT = ["account_ref", "installment_ref", "paid_date", "amount"]
 KEYS = [IMPORT, "account_ref", "installment_ref"]
 TOLERANCE = MINOR_SCALE // 100
+HEADER = ["as_of", "window_start", "payments_complete", "schedule_complete", "source_kind"]
 FIRST_DAY, LAST_DAY = "1900-01-01", "2200-01-01"
 
 
@@ -76,19 +80,19 @@ def replay_conflicts(payments: DataFrame) -> DataFrame:
 
 def installment_status(imports: DataFrame, schedules: DataFrame, payments: DataFrame) -> DataFrame:
     """One row per due obligation with paid amounts, completion, delay and status."""
-    header = imports.select(
-        IMPORT, "as_of", "window_start", "payments_complete", "schedule_complete", "source_kind"
-    )
+    header = imports.select(IMPORT, F.struct(*HEADER).alias("_header"))
     daily = daily_totals(_single_events(payments), KEYS, "paid_date", "_minor")
-    visible = daily.join(header.select(IMPORT, "as_of"), IMPORT).where(F.col("paid_date") <= F.col("as_of")).drop("as_of")
+    owed = schedules.select(*KEYS, "due_date", to_minor(F.col("amount")).alias("_owed"))
     due = (
-        schedules.select(*KEYS, "due_date", to_minor(F.col("amount")).alias("_owed"))
-        .join(header, IMPORT)
-        .where((F.col("window_start") <= F.col("due_date")) & (F.col("due_date") < F.col("as_of")))
+        header_join(owed, header, IMPORT, deal=KEYS)
+        .withColumn("as_of", F.col("_header.as_of"))
+        .where((F.col("_header.window_start") <= F.col("due_date")) & (F.col("due_date") < F.col("as_of")))
     )
     settled = settle(
-        due, visible, KEYS, due_day="due_date", due_amount="_owed", day="paid_date", amount="_minor", tolerance=TOLERANCE
+        due, daily, KEYS, due_day="due_date", due_amount="_owed", day="paid_date", amount="_minor", tolerance=TOLERANCE,
+        until="as_of",
     )
+    settled = settled.withColumns({c: F.col(f"_header.{c}") for c in HEADER}).drop("_header")
     known = F.col("payments_complete")
     delay = F.date_diff(F.col("completion"), F.col("due_date"))
     status = (
@@ -218,7 +222,7 @@ def coverage_record(
     # payments are reduced to (import, day) before they meet the import's as_of
     per_day = _single_events(payments).groupBy(IMPORT, "paid_date").agg(F.count(F.lit(1)).alias("n"))
     later = (
-        per_day.join(imports.select(IMPORT, "as_of"), IMPORT)
+        header_join(per_day, imports.select(IMPORT, "as_of"), IMPORT)
         .where(F.col("paid_date") > F.col("as_of"))
         .groupBy(IMPORT)
         .agg(F.sum("n").alias("excluded_future_payments"))

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,14 +13,14 @@ from pyspark.sql import functions as F
 
 from loanloom.errors import ContractError
 from loanloom.functions.nullsafe import ratio
+from loanloom.operators import lloyd
 
 MIN_SHARE = 0.01
 MIN_STABILITY = 0.80
 SILHOUETTE_TOLERANCE = 0.01
 SEEDS = (42, 43, 44)
-#: Starts of each fit, of which the most compact is taken, and fits that run at a time.
+#: Starts of each fit, of which the most compact is taken.
 STARTS = 5
-AT_ONCE = 4
 
 # Relative and absolute margins of a segment description.
 RATIO_TRAITS = (("income", "income"), ("requested", "requested loan amount"))
@@ -44,16 +42,9 @@ def standardized(df: DataFrame, array: str, keep: Sequence[str], size: int) -> D
     return df.select(*keep, array_to_vector(F.array(*scaled)).alias("features"))
 
 
-def fit_kmeans(df: DataFrame, k: int, seed: int = SEEDS[0], steps: int = 150, starts: int = 1) -> KMeansModel:
-    """The most compact of ``starts`` fits to all rows."""
-
-    def once(start: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + 1000 * start, maxIter=steps, featuresCol="features", predictionCol="cluster").fit(df)
-
-    if starts == 1:
-        return once(0)
-    with ThreadPool(AT_ONCE) as pool:
-        return min(pool.map(once, range(starts)), key=lambda m: m.summary.trainingCost)
+def fit_kmeans(df: DataFrame, k: int, seed: int = SEEDS[0], steps: int = lloyd.STEPS, starts: int = 1) -> lloyd.Fit:
+    """The most compact of ``starts`` fits to all rows, which share their passes."""
+    return min(lloyd.fit_all(df, [(k, seed, start) for start in range(starts)], steps), key=lambda f: f.inertia)
 
 
 def squared_silhouette(df: DataFrame, cluster: str = "cluster") -> float:
@@ -118,35 +109,36 @@ def cluster_shares(df: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 
 def sweep(df: DataFrame, candidates: Sequence[int], *, stability: bool = True, starts: int = STARTS) -> list[dict]:
-    """Diagnostics of every k over all rows of (id, features).
+    """Diagnostics of every k over all rows of (id, features)."""
+    return [row for row, _ in _swept(df, candidates, stability, starts)]
+
+
+def _swept(df: DataFrame, candidates: Sequence[int], stability: bool, starts: int) -> list[tuple[dict, lloyd.Fit]]:
+    """Diagnostics and fit of every k.
 
-    The silhouette is the squared Euclidean one, which needs one pass and the cluster sums.  A k that leaves a
+    All fits of the sweep (k, seed, start) take their steps in the same passes over the rows; silhouettes, scatter
+    and the agreement of seeds take one more pass.  ``rows`` is what that pass has labelled.  A k that leaves a
     cluster empty has a minimum share of 0 and no stability, and no rule selects it.
     """
-    df = df.persist()
+    seeds = SEEDS if stability else SEEDS[:1]
+    found = lloyd.fit_all(df, [(k, seed, start) for k in candidates for seed in seeds for start in range(starts)])
+    best = [min((f for f in found if (f.k, f.seed) == (k, seed)), key=lambda f: f.inertia) for k in candidates for seed in seeds]
+    pairs = [(i * len(seeds), i * len(seeds) + j) for i in range(len(candidates)) for j in range(1, len(seeds))]
+    measured, tables = lloyd.quality(df, best, pairs)
+    agreement = [lloyd.rand_index(t) for t in tables]
     out = []
-    try:
-        for k in candidates:
-            model = fit_kmeans(df, k, starts=starts)
-            labeled = model.transform(df).persist()
-            shares = [r["share"] for r in cluster_shares(labeled).collect()]
-            row = {
-                "k": k, "silhouette": squared_silhouette(labeled) if len(shares) > 1 else 0.0,
-                "minimum_share": float(min(shares)) if len(shares) == k else 0.0, "inertia": float(model.summary.trainingCost),
-                "davies_bouldin": davies_bouldin(labeled.select("cluster", vector_to_array("features").alias("x")), "cluster", "x")
-                if len(shares) > 1 else None,
-            }
-            if stability:
-                scores = []
-                for seed in SEEDS[1:] if len(shares) == k else ():
-                    other = fit_kmeans(df, k, seed, starts=starts).transform(df).select("id", F.col("cluster").alias("other"))
-                    both = labeled.select("id", "cluster").join(other, "id")
-                    scores.append(adjusted_rand(both, "cluster", "other").first()[0])
-                row["stability"] = sum(scores) / len(scores) if scores else 0.0
-            labeled.unpersist()
-            out.append(row)
-    finally:
-        df.unpersist()
+    for i, k in enumerate(candidates):
+        fit, seen = best[i * len(seeds)], measured[i * len(seeds)]
+        whole = len(fit.centers) == k and bool((fit.sizes > 0).all())
+        row = {
+            "k": k, "rows": seen.rows, "silhouette": seen.silhouette, "inertia": fit.inertia,
+            "minimum_share": float(fit.sizes.min() / seen.rows) if whole else 0.0,
+            "davies_bouldin": lloyd.davies_bouldin(fit, seen.scatter),
+        }
+        if stability:
+            others = agreement[i * (len(seeds) - 1) : (i + 1) * (len(seeds) - 1)]
+            row["stability"] = sum(others) / len(others) if whole else 0.0
+        out.append((row, fit))
     return out
 
 
@@ -224,14 +216,16 @@ def pca_projection(df: DataFrame) -> tuple[DataFrame, list[float]]:
 
 def select_and_assign(
     df: DataFrame, candidates: Sequence[int] = range(2, 8), *, rule=None, starts: int = STARTS, stability: bool = True
-) -> tuple[DataFrame, KMeansModel, list[dict]]:
-    """Choose k by a rule over the sweep, refit on all rows of (id, features) and assign them.
+) -> tuple[DataFrame, lloyd.Fit, list[dict]]:
+    """Choose k by a rule over the sweep of all rows of (id, features) and assign them by its fit.
 
     Returns ``id, cluster``, the model and the diagnostics of every k.  The default rule is ``choose_by_silhouette``;
     ``choose_by_compactness`` needs no stability.
     """
-    rows = sweep(df, candidates, starts=starts, stability=stability)
-    model = fit_kmeans(df, (rule or choose_by_silhouette)(rows), starts=starts)
+    found = _swept(df, candidates, stability, starts)
+    rows = [row for row, _ in found]
+    k = (rule or choose_by_silhouette)(rows)
+    model = next(fit for row, fit in found if row["k"] == k)
     return model.transform(df).select("id", "cluster"), model, rows
 
 

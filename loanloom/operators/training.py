@@ -11,7 +11,6 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +19,9 @@ from loanloom.errors import ContractError
 from loanloom.operators.cohorts import FOLDS, class_sizes, fold_role, nested_folds, stratified_cap
 from loanloom.operators.contracts import Rule, enforce, violation_counts
 from loanloom.operators.evaluation import probability_losses, rank_metrics
+from loanloom.operators.isotonic import IsotonicCurve, fit_isotonic
+from loanloom.operators.logistic import fit_all as fit_logistics
+from loanloom.operators.logistic import held_out_scores
 from loanloom.operators.preparation import ModelPreparation
 
 SEED = 42
@@ -68,11 +70,16 @@ def candidates(name: str, trials: int) -> list[dict]:
     raise ContractError(f"Unknown model family: {name}")
 
 
+def inverse_penalty(params: Mapping, rows: int) -> float:
+    """C is the usual inverse penalty, converted to MLlib's per-row scale."""
+    return 1.0 / (params.get("C", 1.0) * max(rows, 1))
+
+
 def estimator(name: str, params: Mapping, rows: int):
-    """Class-weighted estimator; C is the usual inverse penalty, converted to MLlib's per-row scale."""
+    """Class-weighted estimator."""
     common = {"featuresCol": "features", "labelCol": "y", "weightCol": "w"}
     if name == "logistic_regression":
-        return LogisticRegression(maxIter=100, regParam=1.0 / (params.get("C", 1.0) * max(rows, 1)), **common)
+        return LogisticRegression(maxIter=100, regParam=inverse_penalty(params, rows), **common)
     if name == "decision_tree":
         return DecisionTreeClassifier(seed=SEED, **common, **params)
     if name == "random_forest":
@@ -128,10 +135,14 @@ def fit(name: str, params: Mapping, train: DataFrame, numeric: Sequence[str], ca
 def search(name: str, ready: DataFrame, rows: int, options: Sequence[Mapping], fold_column: str):
     """Best option by mean ROC-AUC over given folds, with the model refitted on all rows.
 
-    A single option needs no search; its AUC is then unknown.
+    A single option needs no search; its AUC is then unknown.  Penalties of a logistic regression are searched in
+    the passes of one fit.
     """
     if len(options) == 1:
         return dict(options[0]), None, estimator(name, options[0], rows).fit(ready)
+    if name == "logistic_regression":
+        best, auc = _best_penalty(ready, rows, options, fold_column)
+        return dict(options[best]), auc, estimator(name, options[best], rows).fit(ready)
     base = estimator(name, options[0], rows)
     maps = []
     for option in options:
@@ -145,6 +156,17 @@ def search(name: str, ready: DataFrame, rows: int, options: Sequence[Mapping], f
     return dict(options[best]), float(found.avgMetrics[best]), found.bestModel
 
 
+def _best_penalty(ready: DataFrame, rows: int, options: Sequence[Mapping], fold_column: str) -> tuple[int, float]:
+    """Place and mean ROC-AUC of the best option, the first among equals."""
+    specs = [(place, inverse_penalty(option, rows), fold) for place, option in enumerate(options) for fold in range(FOLDS)]
+    fits = fit_logistics(ready, [(penalty, fold) for _, penalty, fold in specs], fold_column)
+    scores = held_out_scores(ready, fits, [place for place, _, _ in specs], fold_column)
+    found = rank_metrics(scores, groups=["option", "fold"]).groupBy("option").agg(F.avg("roc_auc").alias("auc"))
+    means = {r["option"]: r["auc"] for r in found.collect()}
+    best = max(range(len(options)), key=lambda place: means[place])
+    return best, float(means[best])
+
+
 def tune(
     name: str, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], *, trials: int = 5,
     tune_rows: int | None = None, key: str = "id", grid: Sequence[Mapping] | None = None,
@@ -185,14 +207,13 @@ class Calibrator:
     method: str
     slope: float = 1.0
     offset: float = 0.0
-    model: object = None
+    curve: IsotonicCurve | None = None
 
     def apply(self, df: DataFrame, raw: str = "raw", column: str = "p") -> DataFrame:
         if self.method == "sigmoid":
             margin = self.slope * clipped_logit(F.col(raw)) + self.offset
             return df.withColumn(column, 1 / (1 + F.exp(-margin)))
-        placed = self.model.transform(df.withColumn("_raw", F.col(raw)))
-        return placed.withColumn(column, F.least(F.greatest("_iso", F.lit(0.0)), F.lit(1.0))).drop("_raw", "_iso")
+        return df.withColumn(column, F.least(F.greatest(self.curve.apply(F.col(raw)), F.lit(0.0)), F.lit(1.0)))
 
 
 def fit_calibrator(method: str, df: DataFrame, raw: str = "raw") -> Calibrator:
@@ -201,9 +222,7 @@ def fit_calibrator(method: str, df: DataFrame, raw: str = "raw") -> Calibrator:
     if set(class_sizes(df, "y")) != {0, 1}:
         raise ContractError("Calibration requires both classes")
     if method == "isotonic":
-        rows = df.select(F.col("y").cast("double").alias("y"), F.col(raw).alias("_raw"))
-        model = IsotonicRegression(featuresCol="_raw", labelCol="y", predictionCol="_iso").fit(rows)
-        return Calibrator("isotonic", model=model)
+        return Calibrator("isotonic", curve=fit_isotonic(df, raw, "y"))
     rows = df.select("y", array_to_vector(F.array(clipped_logit(F.col(raw)))).alias("features"))
     model = LogisticRegression(featuresCol="features", labelCol="y", regParam=1e-9, maxIter=1000).fit(rows)
     return Calibrator("sigmoid", float(model.coefficients[0]), float(model.intercept))

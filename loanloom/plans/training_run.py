@@ -86,8 +86,9 @@ def run(
         "feature_columns": features, "medians": fitted.preparation.medians, "support": support, "policy": Policy().version,
         "test_metrics": metrics, "baseline": baseline, "bootstrap_95pct": intervals,
     }
-    if calibrator.model is not None:
-        calibrator.model.write().save(f"{directory.path(run_id)}/isotonic")
+    if calibrator.curve is not None:
+        points = spark.createDataFrame(calibrator.curve.points, "score double, value double")
+        points.coalesce(1).write.parquet(f"{directory.path(run_id)}/isotonic")
     directory.publish(
         run_id, metadata,
         {
@@ -104,7 +105,6 @@ def load_release(spark: SparkSession, root: str, run_id: str | None = None) -> t
     from pyspark.ml.classification import (
         DecisionTreeClassificationModel, GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel,
     )
-    from pyspark.ml.regression import IsotonicRegressionModel
 
     from loanloom.sources import files
 
@@ -119,5 +119,8 @@ def load_release(spark: SparkSession, root: str, run_id: str | None = None) -> t
     prep = ModelPreparation([c for c in features if c not in CATEGORICAL], CATEGORICAL, meta["medians"])
     fitted = T.Fitted(meta["best_model"], meta["params"], prep, loaders[meta["best_model"]].load(f"{base}/model"))
     c = meta["calibration"]
-    isotonic = IsotonicRegressionModel.load(f"{base}/isotonic") if c["method"] == "isotonic" else None
-    return fitted, T.Calibrator(c["method"], c["slope"], c["offset"], isotonic), meta
+    curve = None
+    if c["method"] == "isotonic":  # its points are bounded by the resolution of scores
+        stored = spark.read.parquet(f"{base}/isotonic").orderBy("score").collect()
+        curve = IsotonicCurve([(r["score"], r["value"]) for r in stored])
+    return fitted, T.Calibrator(c["method"], c["slope"], c["offset"], curve), meta
