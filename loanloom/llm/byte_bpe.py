@@ -13,8 +13,10 @@ import base64
 import hashlib
 import heapq
 from array import array
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ from loanloom.llm.common import cut, slices
 STRIDE, OVERLAP = 16_384, 1_024
 #: A match that ends this close to the end of a chunk might be another one with more text.
 MARGIN = 8
-MEMO = 400_000
+#: Pre-tokens that a worker remembers, and bytes of a piece from which on its pairs are queued.
+MEMO = 1_000_000
+SHORT = 48
 
 PIECES_DDL = "row bigint, part int, last boolean, doc_id bigint, ids binary"
 
@@ -43,6 +47,9 @@ class ByteBPE:
         self.raw = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.raw[rank] = token
+        #: Ids are kept in 16 bits where every rank fits.
+        self.kind = "H" if len(self.raw) <= 1 << 16 else "I"
+        self.names = [str(rank) for rank in range(len(self.raw))]
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
 
@@ -51,6 +58,28 @@ class ByteBPE:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        return self._merge_short(piece) if len(piece) <= SHORT else self._merge_long(piece)
+
+    def _merge_short(self, piece: bytes) -> list[int]:
+        """A scan over all pairs a step, which costs least for a few bytes."""
+        rank, none = self.ranks.get, len(self.raw)
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [rank(left + right, none) for left, right in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            low = min(pairs)
+            if low == none:
+                break
+            at = pairs.index(low)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
+        return [self.ranks[part] for part in parts]
+
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """A queue of pairs, so that time grows little faster than the piece."""
         ranks, size = self.ranks, len(piece)
         # a part is known by its start; ``end`` of a start that is no part any more is 0
         end = list(range(1, size + 1)) + [0]
@@ -80,32 +109,35 @@ class ByteBPE:
         return out
 
     def packed(self, piece: str) -> bytes:
-        """Ids of a pre-token as 32-bit numbers."""
-        found = self.known.get(piece)
-        if found is None:
-            found = array("i", self.merge(piece.encode())).tobytes()
-            if len(piece) <= 64:
-                if len(self.known) >= MEMO:
-                    self.known.clear()
-                self.known[piece] = found
+        """Ids of a pre-token as numbers of ``kind``."""
+        found = array(self.kind, self.merge(piece.encode())).tobytes()
+        if len(piece) <= 64:
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            self.known[piece] = found
         return found
 
+    def joined(self, pieces: Iterable[str]) -> bytes:
+        """Ids of pre-tokens after each other."""
+        known, fresh = self.known.get, self.packed
+        return b"".join([known(piece) or fresh(piece) for piece in pieces])
+
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.packed, self.pattern.findall(text)))
+        return self.joined(self.pattern.findall(text))
+
+    def pre_tokens(self, text: str, start: int = 0) -> tuple[list[str], list[int]]:
+        """Pre-tokens of ``text`` from a place on, and where each of them ends."""
+        found = self.pattern.findall(text, start)
+        ends = list(accumulate(map(len, found), initial=start))[1:]
+        if (ends[-1] if ends else start) != len(text):  # the pattern leaves something out
+            matches = list(self.pattern.finditer(text, start))
+            return [m.group() for m in matches], [m.end() for m in matches]
+        return found, ends
 
     def encode_between(self, text: str, start: int, end: int) -> bytes:
         """Ids of the pre-tokens from one boundary of ``text`` to another."""
-        out = []
-        for match in self.pattern.finditer(text, start):
-            if match.start() >= end:
-                break
-            out.append(self.packed(match.group()))
-        return b"".join(out)
-
-    def boundaries(self, text: str, start: int, end: int) -> list[int]:
-        """Starts of pre-tokens of ``text`` from ``start`` to before ``end``, and the end of the text if it lies there."""
-        found = [at for match in self.pattern.finditer(text) if start <= (at := match.start()) < end]
-        return [*found, len(text)] if start <= len(text) < end else found
+        found, ends = self.pre_tokens(text, start)
+        return self.joined(found[: bisect_right(ends, end)])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))
@@ -162,8 +194,9 @@ def _edges(ranks: bytes, pattern: str, stride: int, overlap: int):
             out = []
             for row, part, text in zip(*(batch[c].to_pylist() for c in ("row", "part", "text")), strict=True):
                 reach = overlap - MARGIN
-                heads = words.boundaries(text, 0, reach)
-                tails = [at - stride for at in words.boundaries(text, stride, stride + reach)]
+                ends = [0, *words.pre_tokens(text)[1]]
+                heads = ends[: bisect_left(ends, reach)]
+                tails = [at - stride for at in ends[bisect_left(ends, stride) : bisect_left(ends, stride + reach)]]
                 out.append((row, part, heads, tails))
             yield _batch(out, names, types)
 
@@ -230,16 +263,18 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, stride: int = STRIDE, o
     rows, short = _typed(docs), _short_pieces(ranks, pattern)
 
     def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = vocabulary(ranks, pattern).kind
         for _, _, _, doc_id, ids in short(batches):
-            yield _batch([(doc_id, np.frombuffer(ids, np.int32))], ["doc_id", "ids"], [pa.int64(), pa.list_(pa.int32())])
+            yield _batch([(doc_id, np.frombuffer(ids, kind).astype(np.int32))], ["doc_id", "ids"], [pa.int64(), pa.list_(pa.int32())])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
+        kind = vocabulary(ranks, pattern).kind
         for batch in slices(batches, 64):
             for last, doc_id, ids in zip(*(batch[c].to_pylist() for c in ("last", "doc_id", "ids")), strict=True):
                 held.append(ids)
                 if last:
-                    whole = np.frombuffer(b"".join(held), np.int32)
+                    whole = np.frombuffer(b"".join(held), kind).astype(np.int32)
                     yield _batch([(doc_id, whole)], ["doc_id", "ids"], [pa.int64(), pa.list_(pa.int32())])
                     held = []
 
@@ -260,11 +295,11 @@ def _digests(words: ByteBPE, pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch
     out: list[tuple] = []
     count, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
     for _, _, last, doc_id, packed in pieces:
-        ids = np.frombuffer(packed, np.int32)
+        ids = np.frombuffer(packed, words.kind)
         if len(ids):
             if count:
                 of_ids.update(b",")
-            of_ids.update(",".join(map(str, ids.tolist())).encode())
+            of_ids.update(",".join(map(words.names.__getitem__, ids.tolist())).encode())
             of_bytes.update(words.decode(ids))
             count += len(ids)
         if last:
