@@ -1,11 +1,11 @@
 """Spot signatures: chains of content words that follow common-word anchors.
 
-A text is lower-cased and cut at everything but letters and digits.  At each anchor, the next ``CHAIN`` words that are
-not stop words make a chain.  The steady fingerprint is the set of hashed (anchor, chain) signatures together with the
-anchor-free pairs of each word and the word after it, at every length, so a small edit changes few of them.  Without
-``steady``, a text with ``LEAST`` anchored signatures has only those and a shorter one only the pairs; two texts on
-different sides of that bound then share nothing.  Everything is array functions on columns: no Python runs on the
-executors.
+A text is lower-cased and cut at everything but letters and digits.  At each anchor, the next two words that are not
+stop words make a chain.  The fingerprint is the set of hashed (anchor, word, word) chains.  As some texts have few
+anchors, a sample of anchor-free pairs of a word and the word after it joins the set at every length: those whose hash
+is 0 modulo ``SAMPLE``, and the one with the least hash, so that every text with a word has a signature.  Whether a
+pair is taken depends on the pair alone, so an edit changes the set in proportion and no bound of size exists.
+Everything is array functions on columns: no Python runs on the executors.
 
 ``near_pairs`` searches a corpus: sets are partitioned by their size so that only the same and the next partition can
 hold a partner, candidates share one of a set's rarest signatures, and the Jaccard comparison is pruned by size.
@@ -28,7 +28,8 @@ STOP_WORDS = (
     "le", "de", "un", "une", "du", "en", "dans", "qui", "par", "pour", "au", "sur", "pas",
     "y", "se", "del", "las", "por", "con", "para", "su", "es", "al", "lo",
 )
-LEAST = 8
+#: One in so many anchor-free pairs is a signature.
+SAMPLE = 16
 ANCHOR_END, WORD_END = "\x01", "\x02"
 
 
@@ -63,17 +64,15 @@ def _pairs(words: Column) -> Column:
     return F.zip_with(words, following, lambda a, b: F.xxhash64(F.lit("*"), a, b))
 
 
-def with_signatures(df: DataFrame, text: str, name: str, steady: bool = False) -> DataFrame:
+def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with the sorted set of signatures of a non-null text column; texts without words have none."""
     # columns of their own, as each is used more than once
-    tokens, places, spots = (f"_{name}_{part}" for part in ("words", "places", "spots"))
-    found = df.withColumn(tokens, words_of(F.col(text))).withColumn(places, _places(F.col(tokens)))
-    found = found.withColumn(spots, F.array_distinct(_anchored(F.col(places))))
-    if steady:
-        chosen = F.array_union(F.col(spots), _pairs(F.col(tokens)))
-    else:
-        chosen = F.when(F.size(spots) >= LEAST, F.col(spots)).otherwise(F.array_distinct(_pairs(F.col(tokens))))
-    return found.withColumn(name, F.array_sort(chosen)).drop(tokens, places, spots)
+    tokens, places, pairs = (f"_{name}_{part}" for part in ("words", "places", "pairs"))
+    found = df.withColumn(tokens, words_of(F.col(text))).withColumn(places, _places(F.col(tokens))).withColumn(pairs, _pairs(F.col(tokens)))
+    sampled = F.filter(pairs, lambda h: F.pmod(h, F.lit(SAMPLE)) == 0)
+    least = F.filter(F.array(F.array_min(pairs)), lambda h: h.isNotNull())
+    chosen = F.array_distinct(F.concat(_anchored(F.col(places)), sampled, least))
+    return found.withColumn(name, F.array_sort(chosen)).drop(tokens, places, pairs)
 
 
 def shown(signatures: Column) -> Column:
@@ -88,7 +87,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
 
 
-def compare_with_next(docs: DataFrame, steady: bool = False) -> DataFrame:
+def compare_with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id, taken_chars``.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
@@ -102,20 +101,18 @@ def compare_with_next(docs: DataFrame, steady: bool = False) -> DataFrame:
     base = base.withColumn("k", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))).withColumn("absent", F.col("doc_id").isNull())
     order = base.select(~F.col("absent"), *key, "n_chars").toDF("present", *key, "n_chars").distinct()
     units = cut(numbered(order, ["present", "k", "h"]).drop("present"))
-    needs = units.select(((F.col("row") + 1) % F.col("rows")).alias("row"), *[F.col(c).alias(f"to_{c}") for c in key])
+    wanted = [F.col(c).alias(f"to_{c}") for c in key]
+    needs = units.select(((F.col("row") + 1) % F.col("rows")).alias("row"), F.expr("n_chars div 4").alias("need"), *wanted)
     givers = cut(units.select("row", *key).join(needs, "row").drop("row"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # texts travel, not their signatures, which would be several times as large
-    dealt = base.repartition(parts, *key)
-    heads = dealt.join(givers, key).select(*[F.col(f"to_{c}").alias(c) for c in key], F.struct("text", "doc_id", "n_chars").alias("next"))
+    # each text's set is made once, before the one shuffle that both sides of the join read
+    dealt = with_signatures(base, "text", "own").repartition(parts, *key)
+    head = F.expr("substring(text, 1, cast(need as int))").alias("head")
+    heads = dealt.join(givers, key).select(*[F.col(f"to_{c}").alias(c) for c in key], F.struct(head, "own", "doc_id", "n_chars").alias("next"))
     heads = heads.groupBy(*key).agg(F.first("next").alias("next"))
-    joined = dealt.join(heads, key).withColumn("next_text", F.col("next.text"))
-    edited = F.concat(
-        F.expr("substring(text, 1, cast(n_chars - n_chars div 4 as int))"), F.expr("substring(next_text, 1, cast(n_chars div 4 as int))")
-    )
-    changed = joined.withColumn("edited", edited)
-    for source, name in (("text", "own"), ("edited", "edited_own"), ("next_text", "next_own")):
-        changed = with_signatures(changed, source, name, steady)
+    joined = dealt.join(heads, key)
+    edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 4 as int))"), F.col("next.head"))
+    changed = with_signatures(joined.withColumn("edited", edited), "edited", "edited_own")
     return changed.select(
         "doc_id",
         "n_chars",
@@ -123,13 +120,13 @@ def compare_with_next(docs: DataFrame, steady: bool = False) -> DataFrame:
         shown(F.col("own")).alias("fingerprint"),
         shown(F.col("edited_own")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited_own")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        likeness(F.col("own"), F.col("next.own")).alias("near_next"),
         F.col("next.doc_id").alias("next_id"),
         F.least(F.expr("n_chars div 4"), F.col("next.n_chars")).alias("taken_chars"),
     )
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.8, steady: bool = False) -> tuple[DataFrame, DataFrame]:
+def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Members ``doc_id, class_id`` and links ``left_id, right_id, likeness`` between classes of equal fingerprints.
 
     A class goes by its smallest id.  Sets of sizes n and m can only reach ``threshold`` if min/max does, so a set of
@@ -137,7 +134,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, steady: bool = False) ->
     is looked up by its size - ceil(threshold * size) + 1 rarest signatures.  Texts without words and rows without an
     id are linked with nothing; every link is given once, the smaller id left.
     """
-    prints = with_signatures(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")), "text", "own", steady)
+    prints = with_signatures(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")), "text", "own")
     prints = cut(prints.where(F.col("doc_id").isNotNull()).select("doc_id", "own", shown(F.col("own")).alias("print")))
     known = prints.where(F.size("own") > 0)
     classes = known.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.first("own").alias("own"))

@@ -5,21 +5,40 @@ import random
 import re
 
 import pytest
+import xxhash
 
-from loanloom.llm.spotsigs import ANCHORS, LEAST, STOP_WORDS, compare_with_next, near_pairs
+from loanloom.llm.spotsigs import ANCHORS, SAMPLE, STOP_WORDS, compare_with_next, near_pairs
 
 SCHEMA = "doc_id bigint, text string"
 
 
-def signatures(text):
+def hashed(*words):
+    """Spark's hash of several strings: each seeds the next."""
+    seed = 42
+    for word in words:
+        seed = xxhash.xxh64_intdigest(word.encode(), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def chains(text):
     words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
     content = [(k, w) for k, w in enumerate(words) if w not in STOP_WORDS]
     out = set()
     for k, w in enumerate(words):
         chain = [c for at, c in content if at > k][:2]
         if w in ANCHORS and chain:
-            out.add((w, *chain))
-    return out if len(out) >= LEAST else {("*", a, b) for a, b in zip(words, words[1:] + [""])}
+            out.add(hashed(w, *chain, *[""] * (2 - len(chain))))
+    return words, out
+
+
+def signatures(text):
+    words, out = chains(text)
+    pairs = [hashed("*", a, b) for a, b in zip(words, words[1:] + [""], strict=False)]
+    return out | {h for h in pairs if h % SAMPLE == 0} | ({min(pairs)} if pairs else set())
+
+
+def printed(found):
+    return "".join(f"{h & (1 << 64) - 1:016x}" for h in sorted(found))
 
 
 def jaccard(a, b):
@@ -39,7 +58,7 @@ def corpus(n=40):
 
 
 def test_edited_texts_and_likeness(spark):
-    texts = [None, "", "a", "the", "the the cat", *corpus()]
+    texts = [None, "", "a", "the", "the the cat", *corpus(), "the long w1 text is w2 " * 9000]
     rows = [(3 * k, t) for k, t in enumerate(texts)]
     got = {r["doc_id"]: r for r in compare_with_next(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len(got) == len(rows)
@@ -52,8 +71,7 @@ def test_edited_texts_and_likeness(spark):
         own = signatures(text)
         assert r["near_edited"] == pytest.approx(jaccard(own, signatures(edited)))
         assert r["near_next"] == pytest.approx(jaccard(own, signatures(following)))
-        assert len(r["fingerprint"]) == 16 * len(own)
-        assert (r["fingerprint"] == r["edited_fingerprint"]) == (own == signatures(edited))
+        assert r["fingerprint"] == printed(own) and r["edited_fingerprint"] == printed(signatures(edited))
 
 
 def test_repeated_rows_null_ids_and_clashing_columns(spark):
