@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +95,7 @@ SOURCE_COLUMNS = {
 }
 INQUIRY_WINDOWS = [f"AMT_REQ_CREDIT_BUREAU_{w}" for w in ("HOUR", "DAY", "WEEK", "MON", "QRT", "YEAR")]
 EXTERNAL_SCORES = ["EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]
+EXTERNAL_FEATURES = [*EXTERNAL_SCORES, *[f"{s.lower()}_missing" for s in EXTERNAL_SCORES]]
 
 
 def categories(feature: str) -> list[str]:
@@ -179,15 +182,15 @@ def lite_rules(*, mapped: bool = False) -> list[Rule]:
     return rules
 
 
-def adapt_applications(raw: DataFrame) -> DataFrame:
+def adapt_applications(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Every input row with canonical features and a ``reason`` (null when eligible).
 
     One projection: no shuffle, and the first failing rule is known per row
-    without re-checking batches.
+    without re-checking batches.  ``keep`` names columns of ``raw`` to pass through.
     """
     needed = [v for k, v in SOURCE_COLUMNS.items() if k not in OPTIONAL_CATEGORIES]
     require_columns(raw, [ID, "NAME_CONTRACT_TYPE", *needed], "application")
-    passthrough = [n for n in (LABEL, "IS_TRAIN") if n in raw.columns]
+    passthrough = [n for n in (LABEL, "IS_TRAIN") if n in raw.columns] + list(keep)
     unreadable = F.coalesce(
         *[
             F.when(malformed(F.col(SOURCE_COLUMNS[f])), F.lit(f"Invalid numeric field: {f}"))
@@ -251,15 +254,14 @@ def history_rules(names: list[str]) -> list[Rule]:
     return rules
 
 
-def snapshot_extras(raw: DataFrame) -> DataFrame:
+def snapshot_extra_columns() -> list[Column]:
     """External scores, inquiry windows and goods ratio of the application snapshot."""
     scores = [F.col(s).try_cast("double") for s in EXTERNAL_SCORES]
     inquiries = [F.col(w).try_cast("double") for w in INQUIRY_WINDOWS]
     all_missing = F.lit(True)
     for value in inquiries:
         all_missing = all_missing & value.isNull()
-    return raw.select(
-        ID,
+    return [
         *[s.alias(n) for s, n in zip(scores, EXTERNAL_SCORES)],
         *[s.isNull().cast("int").alias(f"{n.lower()}_missing") for s, n in zip(scores, EXTERNAL_SCORES)],
         all_missing.cast("int").alias("credit_bureau_inquiry_history_missing"),
@@ -267,7 +269,11 @@ def snapshot_extras(raw: DataFrame) -> DataFrame:
         F.col("AMT_REQ_CREDIT_BUREAU_QRT").try_cast("double").alias("credit_bureau_inquiries_3m"),
         F.col("AMT_REQ_CREDIT_BUREAU_YEAR").try_cast("double").alias("credit_bureau_inquiries_12m"),
         ratio(F.col("AMT_CREDIT").try_cast("double"), F.col("AMT_GOODS_PRICE").try_cast("double")).alias("loan_to_goods_price_ratio"),
-    )
+    ]
+
+
+def snapshot_extras(raw: DataFrame) -> DataFrame:
+    return raw.select(ID, *snapshot_extra_columns())
 
 
 def snapshot_rules() -> list[Rule]:
@@ -304,6 +310,18 @@ def narrower_contract(features: list[str], dropped: set[str]) -> list[str]:
     return [f for f in features if f not in dropped]
 
 
+def research_dataset(raw: DataFrame, dropped: Collection[str] = EXTERNAL_FEATURES) -> DataFrame:
+    """Eligible rows with the short contract and the snapshot extras, without the features in ``dropped``.
+
+    One projection of ``raw``; the label is kept where there is one.
+    """
+    rows = adapt_applications(raw.withColumn("_extras", F.struct(*snapshot_extra_columns())), ["_extras"])
+    rows = rows.where(F.col("reason").isNull()).select("*", "_extras.*")
+    extras = rows.schema["_extras"].dataType.names
+    known = [c for c in (ID, LABEL) if c in rows.columns]
+    return rows.select(*known, *narrower_contract([*LITE, *extras], set(dropped)))
+
+
 def label_rules(label: str = LABEL) -> list[Rule]:
     known = F.coalesce(F.col(label).isin(0, 1), F.lit(False))
     return [Rule("TARGET must be binary and nonmissing", ~known)]

@@ -216,7 +216,7 @@ def metric_deltas(comparison: DataFrame, base: str, other: str) -> DataFrame:
 def bootstrap_intervals(
     df: DataFrame, score: str = "p", label: str = "y", replicates: int = REPLICATES, seed: int = 42
 ) -> DataFrame:
-    """95% Poisson-bootstrap intervals of AUC, average precision and Brier score.
+    """95% Poisson-bootstrap intervals of AUC, average precision and Brier score; ``n_rows`` were drawn from.
 
     Resampling n equal rows draws Poisson(n), so replicates are drawn per
     distinct score and class, from generators keyed by them: the interval is
@@ -239,20 +239,21 @@ def bootstrap_intervals(
         return drawn[0], drawn[1]
 
     def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = None
+        part, rows = None, np.zeros(replicates)
         pos, neg, brier = (np.zeros(replicates) for _ in range(3))
         for batch in batches:
             if batch.empty:
                 continue
             part = int(batch[PART].iloc[0])
             a, b = draws(batch)
+            rows[0] += batch["pos"].sum() + batch["neg"].sum()
             p = batch["p"].to_numpy()[:, None]
             pos, neg = pos + a.sum(0), neg + b.sum(0)
             brier = brier + (a * (1 - p) ** 2 + b * p**2).sum(0)
         if part is not None:
-            yield pd.DataFrame({PART: part, "rep": range(replicates), "pos": pos, "neg": neg, "brier": brier})
+            yield pd.DataFrame({PART: part, "rep": range(replicates), "pos": pos, "neg": neg, "brier": brier, "rows": rows})
 
-    sums = placed.mapInPandas(totals, f"{PART} int, rep int, pos double, neg double, brier double").toPandas()
+    sums = placed.mapInPandas(totals, f"{PART} int, rep int, pos double, neg double, brier double, rows double").toPandas()
     sums = sums.sort_values(["rep", PART])
     before = sums.groupby("rep")[["pos", "neg"]].cumsum() - sums[["pos", "neg"]]
     sums[["pos_before", "neg_before"]] = before
@@ -289,5 +290,8 @@ def bootstrap_intervals(
     names = ["roc_auc", "average_precision", "brier"]
     wide = metrics.agg(*[F.percentile(n, F.array(F.lit(0.025), F.lit(0.975))).alias(n) for n in names])
     return long_rows(
-        wide, [{"metric": F.lit(n), "lower": F.col(n)[0], "upper": F.col(n)[1]} for n in names]
+        wide, [
+            {"metric": F.lit(n), "lower": F.col(n)[0], "upper": F.col(n)[1], "n_rows": F.lit(int(sums["rows"].sum())).cast("bigint")}
+            for n in names
+        ]
     )

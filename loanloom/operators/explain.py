@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loanloom.errors import ContractError
@@ -13,6 +16,7 @@ from loanloom.operators.evaluation import rank_metrics
 from loanloom.operators.cohorts import hash_order
 from loanloom.operators.prefix import ranked
 from loanloom.operators.training import Fitted
+from loanloom.session import ensure_checkpoint_dir
 
 TOP = 5
 
@@ -50,6 +54,79 @@ def linear_contributions(fitted: Fitted, df: DataFrame, means: dict[str, float],
     )
 
 
+def stored_trees(spark: SparkSession, path: str) -> tuple[list[dict[int, Row]], list[float]]:
+    """Nodes by number and weight of every tree of a stored tree model; as large as the model."""
+    data = spark.read.parquet(f"{path}/data")
+    if "nodeData" not in data.columns:  # a single tree
+        return [{r["id"]: r for r in data.collect()}], [1.0]
+    trees: dict[int, dict[int, Row]] = {}
+    for r in data.select("treeID", "nodeData.*").collect():
+        trees.setdefault(r["treeID"], {})[r["id"]] = r
+    weights = dict(spark.read.parquet(f"{path}/treesMetadata").select("_1", "_3").collect())
+    return [trees[t] for t in sorted(trees)], [float(weights[t]) for t in sorted(trees)]
+
+
+def _paths(nodes: Mapping[int, Row], value: Callable[[Row], float], source_of: Sequence[int], sources: int) -> list[list[float]]:
+    """Per leaf, in the order in which leaves are met from the left, what each source adds along its path."""
+    out, stack = [], [(0, [0.0] * sources)]
+    while stack:
+        number, added = stack.pop()
+        node = nodes[number]
+        if node["leftChild"] < 0:
+            out.append(added)
+            continue
+        for child in (node["rightChild"], node["leftChild"]):
+            step = list(added)
+            step[source_of[node["split"]["featureIndex"]]] += value(nodes[child]) - value(node)
+            stack.append((child, step))
+    return out
+
+
+def tree_contributions(fitted: Fitted, df: DataFrame, keep: Sequence[str], path: str | None = None) -> DataFrame:
+    """Per row: path attribution of each source feature, base value and margin of a tree model.
+
+    A split adds to its feature what the row's side of it changes in the node's mean, so base and contributions add
+    up to the margin exactly: the positive share of a tree, its mean over a forest, the weighted sum of boosted trees.
+    Leaves come from the model; what their paths add is looked up in a table inside the row, without a shuffle.
+    ``path`` is where the model is stored; without it the model is written to the checkpoint folder first.
+    """
+    spark, prep, name = df.sparkSession, fitted.preparation, fitted.name
+    if name not in ("decision_tree", "random_forest", "gradient_boosted"):
+        raise ContractError("Path attribution needs a tree model")
+    if path is None:
+        path = f"{ensure_checkpoint_dir(spark)}/trees-{uuid.uuid4().hex}"
+        fitted.model.write().save(path)
+    trees, weights = stored_trees(spark, path)
+    if name == "random_forest":
+        weights = [1.0 / len(trees)] * len(trees)
+    names, origins = prep.names(), prep.origins()
+    sources = list(dict.fromkeys(origins[n] for n in names))
+    source_of = [sources.index(origins[n]) for n in names]
+
+    def value(node: Row) -> float:
+        return node["prediction"] if name == "gradient_boosted" else node["impurityStats"][1] / sum(node["impurityStats"])
+
+    table = [
+        [[weight * v for v in leaf] for leaf in _paths(nodes, value, source_of, len(sources))]
+        for nodes, weight in zip(trees, weights, strict=True)
+    ]
+    base = sum(weight * value(nodes[0]) for nodes, weight in zip(trees, weights, strict=True))
+    model = fitted.model.copy()
+    model.setLeafCol("_leaf")
+    scored = model.transform(fitted.vectors(df, keep))
+    leaf = F.col("_leaf")
+    leaves = F.array(leaf) if len(trees) == 1 and scored.schema["_leaf"].dataType.simpleString() == "double" else vector_to_array("_leaf")
+    lookup = F.from_json(F.lit(json.dumps(table)), "array<array<array<double>>>")
+    parts = F.zip_with(lookup, leaves, lambda tree, at: F.get(tree, at.cast("int")))
+    total = F.aggregate(parts, F.array(*[F.lit(0.0)] * len(sources)), lambda t, part: F.zip_with(t, part, lambda a, b: a + b))
+    if name == "gradient_boosted":
+        margin = vector_to_array("rawPrediction")[1]
+    else:
+        margin = vector_to_array("probability")[1]
+    added = scored.select(*keep, margin.alias("margin"), total.alias("_parts"))
+    return added.select(*keep, F.lit(base).alias("base_value"), "margin", *[F.col("_parts")[i].alias(f"c_{s}") for i, s in enumerate(sources)])
+
+
 def _sources(contributions: DataFrame) -> list[str]:
     return [c[2:] for c in contributions.columns if c.startswith("c_")]
 
@@ -106,7 +183,7 @@ def permutation_importance(fitted: Fitted, df: DataFrame, features: Sequence[str
     for v in variants:
         part = fitted.score(v, ["feature", "y"], "p")
         scored = part if scored is None else scored.unionByName(part)
-    aucs = rank_metrics(scored, groups=["feature"]).select("feature", "roc_auc")
+    aucs = rank_metrics(scored, groups=["feature"]).select("feature", "roc_auc", (F.col("positives") + F.col("negatives")).alias("n_rows"))
     full = aucs.where("feature = '(none)'").first()["roc_auc"]
     out = aucs.where("feature <> '(none)'").withColumn("auc_drop", F.lit(full) - F.col("roc_auc"))
     return out.orderBy(F.desc("auc_drop"), "feature")

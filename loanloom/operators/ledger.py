@@ -131,12 +131,22 @@ def leaderboard(folds: DataFrame, metrics: Sequence[str] = ("brier", "roc_auc",
     return mean.withColumn("rank", F.row_number().over(order))
 
 
-def research_summary(runs: DataFrame, metrics: DataFrame, baseline: str) -> DataFrame:
+def research_summary(
+    runs: DataFrame, metrics: DataFrame, baseline: str, bins: DataFrame | None = None, ablations: DataFrame | None = None
+) -> DataFrame:
     """Registry of runs with their metrics, deltas against a baseline and Brier rank.
 
-    ``runs``: model, version, feature_count, dataset_size; ``metrics``: model and the four metrics.
+    ``runs``: model, version, feature_count, dataset_size; ``metrics``: model and the four metrics; ``bins``: model,
+    bin and what was measured in it; ``ablations``: model, variant and its metrics.  Bins and variants become sorted
+    arrays of their run, a report's handful each; a run without any has an empty one.
     """
     joined = runs.join(metrics, "model", "left")
+    for part, order, name in ((bins, "bin", "calibration_bins"), (ablations, "variant", "ablations")):
+        if part is not None:
+            fields = F.struct(order, *[c for c in part.columns if c not in ("model", order)])
+            lists = part.groupBy("model").agg(F.sort_array(F.collect_list(fields)).alias(name))
+            joined = joined.join(lists, "model", "left")
+            joined = joined.withColumn(name, F.coalesce(name, F.array().cast(joined.schema[name].dataType)))
     everyone = W.partitionBy(F.lit(0))
     base = {m: F.max(F.when(F.col("model") == baseline, F.col(m))).over(everyone) for m in METRICS}
     order = everyone.orderBy("brier", F.desc("roc_auc"), "model")

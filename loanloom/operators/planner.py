@@ -47,11 +47,16 @@ NEGATIVE = "One or more scenarios produce negative residual monthly income."
 MONEY = "decimal(14,2)"
 INCOME, GROSS = "monthly_take_home_income", "monthly_gross_income"
 EXPENSES, DEBT = "monthly_essential_expenses", "existing_monthly_debt_payments"
-GOAL, SAVINGS = "monthly_savings_goal", "liquid_savings"
+GOAL, SAVINGS, OUTSTANDING = "monthly_savings_goal", "liquid_savings", "total_outstanding_debt"
+MAX_PURPOSE = 120
 
 
-def request_rules() -> list[Rule]:
-    """Bounds of a request; ``reason`` of a clean request is null."""
+def request_rules(columns: Sequence[str] = ()) -> list[Rule]:
+    """Bounds of a request; ``reason`` of a clean request is null.
+
+    ``columns`` names the optional ones that the requests bring: as_of, total_outstanding_debt and loan_purpose.
+    Amounts have two decimals and the rate four, in whatever type they come.
+    """
     terms = F.col("terms_months")
     rules = [
         Rule(f"{name} must be positive", ~F.coalesce((F.col(name) > 0) & (F.col(name) <= MAX_AMOUNT), F.lit(False)))
@@ -71,9 +76,25 @@ def request_rules() -> list[Rule]:
         Rule("Terms must be unique", F.size(F.array_distinct(terms)) != F.size(terms)),
         Rule("Unknown planning priority", ~F.coalesce(F.col("planning_priority").isin(list(WEIGHTS)), F.lit(False))),
     ]
+    amounts = [INCOME, "requested_amount", GROSS, EXPENSES, DEBT, GOAL, SAVINGS]
+    if OUTSTANDING in columns:
+        rules.append(Rule(f"{OUTSTANDING} must not be negative", ~F.col(OUTSTANDING).between(0, MAX_AMOUNT)))
+        amounts.append(OUTSTANDING)
+    rules += [Rule(f"{name} has more than two decimals", _finer(name, 2)) for name in amounts]
+    rules.append(Rule("Rate has more than four decimals", _finer("annual_rate_percent", 4)))
+    if "as_of" in columns:
+        rules.append(Rule("As-of date cannot be in the future", F.col("as_of") > F.current_date()))
+    if "loan_purpose" in columns:
+        rules.append(Rule("Loan purpose is longer than 120 characters", F.char_length("loan_purpose") > MAX_PURPOSE))
     return rules
 
 
+def _finer(name: str, digits: int) -> Column:
+    """Whether a number has more decimals than ``digits``; as text, so that doubles are read as they are written."""
+    exact = F.col(name).cast("string").cast("decimal(38,12)")
+    return exact != F.round(exact, digits)
+
+
 def fit_points(income: Column, service: Column, residual: Column) -> tuple[Column, Column]:
     """Burden points (60 down to 0 between 20% and 40%) and residual points (up to 40)."""
     burden = ratio(service, income)

@@ -223,9 +223,9 @@ def fit_calibrator(method: str, df: DataFrame, raw: str = "raw") -> Calibrator:
         raise ContractError("Calibration requires both classes")
     if method == "isotonic":
         return Calibrator("isotonic", curve=fit_isotonic(df, raw, "y"))
-    rows = df.select("y", array_to_vector(F.array(clipped_logit(F.col(raw)))).alias("features"))
-    model = LogisticRegression(featuresCol="features", labelCol="y", regParam=1e-9, maxIter=1000).fit(rows)
-    return Calibrator("sigmoid", float(model.coefficients[0]), float(model.intercept))
+    rows = df.select("y", F.lit(1.0).alias("w"), array_to_vector(F.array(clipped_logit(F.col(raw)))).alias("features"))
+    (curve,) = fit_logistics(rows, [(1e-9, None)])
+    return Calibrator("sigmoid", float(curve.coefficients[0]), curve.intercept)
 
 
 def score_batch(df: DataFrame, fitted: Fitted, calibrator: Calibrator, keep: Sequence[str], *, check: bool = False) -> DataFrame:
@@ -275,10 +275,12 @@ def nested_selection(
             cal_raw.unpersist()
         ready.unpersist()
     groups = ["model", "calibration", "fold"]
+    predictions = predictions.persist()  # a few numbers a row and candidate, read by three aggregates
     ranks = rank_metrics(predictions, groups=groups).select(*groups, "roc_auc", "average_precision")
     inner = predictions.groupBy(*groups).agg(F.max("inner_auc").alias("inner_auc"), F.count(F.lit(1)).alias("assessed_rows"))
     losses = probability_losses(predictions, groups=groups).select(*groups, "brier")
     out = ranks.join(losses, groups).join(inner, groups).checkpoint()  # a few rows, so that the caches can go
+    predictions.unpersist()
     placed.unpersist()
     return out
 

@@ -9,6 +9,7 @@ from loanloom.plans import (  # noqa: F401
     planner_queries,
     profiling_queries,
     repayment_queries,
+    scoring_queries,
     training_queries,
 )
 from loanloom.plans.registry import ORACLE, QUERIES

@@ -78,16 +78,21 @@ def _baselines(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(E.baselines(views.scored(spark, sf), F.lit(0.1)), 12, "brier")
 
 
-@query("bootstrap_ci", with_views(
-    S, "select metric, count(*) n_rows, true inside from v_scored, (select unnest(['roc_auc', 'average_precision', 'brier']) metric) group by 1"))
+@query("bootstrap_ci")
 def _bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    return E.bootstrap_intervals(views.scored(spark, sf))
+
+
+@query("bootstrap_ci_facts", with_views(
+    S, "select metric, count(*) n_rows, true inside from v_scored, (select unnest(['roc_auc', 'average_precision', 'brier']) metric) group by 1"))
+def _bootstrap_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Every interval lies in [0, 1] and holds the value of all rows."""
     rows = views.scored(spark, sf)
     ranks = E.rank_metrics(rows).select("roc_auc", "average_precision")
     whole = {**ranks.first().asDict(), "brier": E.probability_losses(rows).first()["brier"]}
     value = F.element_at(F.create_map(*[F.lit(x) for pair in whole.items() for x in pair]), F.col("metric"))
     inside = (F.col("lower") >= 0) & (F.col("lower") <= value) & (value <= F.col("upper")) & (F.col("upper") <= 1)
-    return E.bootstrap_intervals(rows).select("metric", F.lit(rows.count()).cast("bigint").alias("n_rows"), inside.alias("inside"))
+    return E.bootstrap_intervals(rows).select("metric", "n_rows", inside.alias("inside"))
 
 
 POLICY_SQL = " union all ".join(

@@ -6,10 +6,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanloom.errors import ContractError
 from loanloom.functions.digest import table_digest
 from loanloom.operators import evaluation as E
 from loanloom.operators import ledger as L
 from loanloom.operators import segmentation as S
+from loanloom.operators.lloyd import Fit
 from loanloom.operators.preparation import SegmentPreparation
 from loanloom.plans import application_queries as A
 from loanloom.plans import views
@@ -181,12 +183,41 @@ def _leaderboard(spark: SparkSession, sf: str) -> DataFrame:
 DELTAS = ", ".join(f"round({m} - max(case when model = 'en' then {m} end) over (), 9) {m}_delta" for m in L.METRICS)
 
 
+LANGUAGE_BINS = {
+    "lang_scores": "select d.lang, s.p, s.y from v_scored s join documents d on d.doc_id = s.id",
+    "lang_edges": "select lang, " + ", ".join(f"quantile_cont(p, {i / 10}) e{i}" for i in range(1, 10)) + " from lang_scores group by 1",
+    "lang_bins": "select lang, bin, count(*) n, avg(p) p, avg(y::double) y from (select s.*, " + " + ".join(f"cast(p > e{i} as integer)" for i in range(1, 10))
+                 + " bin from lang_scores s join lang_edges e using (lang)) group by 1, 2",
+    "lang_curves": "select lang, string_agg(concat_ws(':', bin, n, round(p * 1e6)::bigint, round(y * 1e6)::bigint), '|' order by bin) bins from lang_bins group by 1",
+}
+
+
 @query("research_summary", with_views(
-    ["v_scored"], f"select model, dataset_size, {', '.join(L.METRICS)}, {DELTAS}, cast(row_number() over (order by brier, roc_auc desc, model) as integer) rank from lang_metrics "
-    "join (select lang, count(*) dataset_size from documents group by 1) r on r.lang = model", LANG_STEPS))
+    ["v_scored"], f"select model, dataset_size, {', '.join(L.METRICS)}, {DELTAS}, cast(row_number() over (order by brier, roc_auc desc, model) as integer) rank, bins calibration_bins, "
+    "concat('all:17:', round(brier * 1e6)::bigint, '|without history:12:', round((brier + 0.5) * 1e6)::bigint) ablations from lang_metrics "
+    "join (select lang, count(*) dataset_size from documents group by 1) r on r.lang = model join lang_curves c on c.lang = model", {**LANG_STEPS, **LANGUAGE_BINS}))
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
-    runs = views.table(spark, sf, "documents").groupBy(F.col("lang").alias("model")).agg(F.count(F.lit(1)).alias("dataset_size"))
-    out = L.research_summary(runs, _lang_metrics(spark, sf), "en")
+    """Languages stand for models; a shifted copy of a model's metrics stands for its ablation."""
+    langs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
+    runs = langs.groupBy(F.col("lang").alias("model")).agg(F.count(F.lit(1)).alias("dataset_size"))
+    metrics = _lang_metrics(spark, sf)
+    scored = views.scored(spark, sf).join(langs, "id")
+    curves = None
+    for r in runs.select("model").orderBy("model").collect():  # the registry's models
+        part = E.calibration_bins(scored.where(F.col("lang") == r["model"])).withColumn("model", F.lit(r["model"]))
+        curves = part if curves is None else curves.unionByName(part)
+    kinds = [("all", 17, 0.0), ("without history", 12, 0.5)]
+    variants = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(k).alias("feature_count"), (F.col("brier") + d).alias("brier")) for v, k, d in kinds]))
+    ablations = metrics.where("roc_auc is not null or brier is not null").select("model", variants.alias("v")).select("model", "v.*")
+    out = L.research_summary(runs, metrics, "en", curves, ablations)
+
+    def millionths(value):
+        return F.round(value * 1_000_000).cast("bigint")
+
+    bins = F.transform("calibration_bins", lambda b: F.concat_ws(
+        ":", b["bin"], b["n_rows"], millionths(b["mean_predicted_probability"]), millionths(b["observed_rate"])))
+    kept = F.transform("ablations", lambda v: F.concat_ws(":", v["variant"], v["feature_count"], millionths(v["brier"])))
+    out = out.withColumns({"calibration_bins": F.array_join(bins, "|"), "ablations": F.array_join(kept, "|")})
     return rounded(out, 9, *[f"{m}_delta" for m in L.METRICS])
 
 
@@ -283,60 +314,111 @@ def _preparation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("SK_ID_CURR", "annual_income", "years_employed"), 6, "annual_income", "years_employed")
 
 
-@query("segment_k_sweep", with_views(
-    ["v_raw"], "select cast(k as integer) k, count(*) \"rows\", true best_is_most_compact, true shares_fit from lite, (select unnest([2, 3, 4, 5, 6, 7]) k) group by 1", A.LITE_STEPS))
+SWEPT = "k int, rows bigint, silhouette double, inertia double, minimum_share double, davies_bouldin double, stability double"
+
+
+def swept(spark: SparkSession, sf: str) -> DataFrame:
+    """Diagnostics of every k over all rows, with the operator's own starts and seeds."""
+    found = S.sweep(_prepared(spark, sf), range(2, 8))
+    names = [f.split()[0] for f in SWEPT.split(", ")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in found], SWEPT)
+
+
+@query("segment_k_sweep")
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Every k over all rows: silhouette and shares within their bounds, inertia no higher than that of one centre."""
-    points = _prepared(spark, sf)
-    found = S.sweep(points, range(2, 8), starts=1)
+    return swept(spark, sf)
+
+
+@query("segment_sweep_facts", with_views(
+    ["v_raw"], "select cast(k as integer) k, count(*) \"rows\", true compact, true shares_fit from lite, (select unnest([2, 3, 4, 5, 6, 7]) k) group by 1", A.LITE_STEPS))
+def _sweep_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that the sweep has labelled, values within bounds, no inertia above that of one centre."""
     x = vector_to_array("features")
-    spread = [F.var_pop(x[i]) for i in range(len(SEGMENT_FEATURES))]
-    n, *spreads = points.agg(F.count(F.lit(1)), *spread).first()
-    whole = n * sum(spreads) + 1e-6
-    rows = [
-        (r["k"], n, bool(r["inertia"] <= whole and -1 <= r["silhouette"] <= 1), bool(0 <= r["minimum_share"] <= 1 / r["k"] and -1 <= r["stability"] <= 1))
-        for r in found
-    ]
-    return spark.createDataFrame(rows, "k int, rows bigint, best_is_most_compact boolean, shares_fit boolean")
-
-
-@query("segment_assign", with_views(
-    ["v_raw"], "select count(*) \"rows\", count(*) nearest from lite", A.LITE_STEPS))
-def _assign(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows assigned, and rows whose segment has the nearest centre."""
+    n, *spreads = _prepared(spark, sf).agg(F.count(F.lit(1)), *[F.var_pop(x[i]) for i in range(len(SEGMENT_FEATURES))]).first()
+    compact = (F.col("inertia") <= n * sum(spreads) + 1e-6) & F.col("silhouette").between(-1, 1) & (F.col("davies_bouldin") > 0)
+    fit = F.col("minimum_share").between(0, 1 / F.col("k")) & F.col("stability").between(-1, 1)
+    return swept(spark, sf).select("k", "rows", compact.alias("compact"), fit.alias("shares_fit"))
+
+
+@query("segment_rules")
+def _segment_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """What each release rule chooses of a sweep; null where it refuses all."""
+    found = S.sweep(_prepared(spark, sf), range(2, 8))
+    rows = []
+    for rule in (S.choose_by_silhouette, S.choose_by_compactness):
+        try:
+            rows.append((rule.__name__, rule(found), None))
+        except ContractError as refusal:
+            rows.append((rule.__name__, None, str(refusal)))
+    return spark.createDataFrame(rows, "rule string, k int, refusal string")
+
+
+def assigned(spark: SparkSession, sf: str) -> tuple[DataFrame, Fit]:
     points = _prepared(spark, sf)
     model = S.fit_kmeans(points, 4, starts=S.STARTS)
-    centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    placed = model.transform(points).withColumn("x", vector_to_array("features"))
-    gap = lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
-    gaps = placed.select("cluster", F.transform(centers, gap).alias("gaps"))
-    near = F.element_at("gaps", F.col("cluster") + 1) <= F.array_min("gaps") + 1e-9
-    return gaps.agg(F.count(F.lit(1)).alias("rows"), F.count_if(near).alias("nearest"))
+    return model.transform(points), model
+
+
+@query("segment_assign")
+def _assign(spark: SparkSession, sf: str) -> DataFrame:
+    return assigned(spark, sf)[0].select("id", "cluster")
+
+
+@query("segment_assign_facts", with_views(
+    ["v_raw"], "select count(*) \"rows\", count(*) nearest, true sizes_agree from lite", A.LITE_STEPS))
+def _assign_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows assigned, rows whose segment has the nearest centre, and the sizes that the fit itself has counted."""
+    placed, model = assigned(spark, sf)
+    x, mine = vector_to_array("features"), F.lit(None).cast("double")
+    gaps = [sum(((x[i] - float(v)) ** 2 for i, v in enumerate(c)), F.lit(0.0)) for c in model.centers]
+    for j, gap in enumerate(gaps):
+        mine = F.when(F.col("cluster") == j, gap).otherwise(mine)
+    sizes = F.lit(True)
+    for j, n in enumerate(model.sizes):
+        sizes = sizes & (F.count_if(F.col("cluster") == j) == int(n))
+    return placed.agg(F.count(F.lit(1)).alias("rows"), F.count_if(mine <= F.least(*gaps) + 1e-9).alias("nearest"), sizes.alias("sizes_agree"))
+
+
+SEGMENT_MEASURES = {
+    "income": "annual_income", "requested": "requested_amount", "age": "age_years", "tenure": "years_employed",
+    "inquiries_1m": "household_size", "inquiries_3m": "household_size", "inquiries_12m": "household_size",
+}
+
+
+def released(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
+    """k chosen by the compactness rule, assigned to all rows, segments profiled."""
+    assigned, model, _ = S.select_and_assign(_prepared(spark, sf), rule=S.choose_by_compactness, stability=False)
+    rows = A.lite(spark, sf).join(assigned.withColumnRenamed("id", "SK_ID_CURR"), "SK_ID_CURR")
+    return S.segment_profiles(rows, "cluster", SEGMENT_MEASURES), assigned, len(model.centers)
 
 
-@query("segment_release", with_views(
-    ["v_raw"], "select count(*) \"rows\", true sizes_add_up, true profiled from lite", A.LITE_STEPS))
+@query("segment_release")
 def _release(spark: SparkSession, sf: str) -> DataFrame:
-    """k chosen by the compactness rule, refitted and assigned to all rows, segments profiled."""
-    rows = A.lite(spark, sf)
-    assigned, model, found = S.select_and_assign(_prepared(spark, sf), rule=S.choose_by_compactness, starts=2, stability=False)
-    measures = {
-        "income": "annual_income", "requested": "requested_amount", "age": "age_years", "tenure": "years_employed",
-        "inquiries_1m": "household_size", "inquiries_3m": "household_size", "inquiries_12m": "household_size",
-    }
-    profiles = S.segment_profiles(rows.join(assigned.withColumnRenamed("id", "SK_ID_CURR"), "SK_ID_CURR"), "cluster", measures)
-    k, n = len(model.clusterCenters()), assigned.count()
-    return profiles.agg(
-        F.sum("size").alias("rows"), (F.sum("size") == n).alias("sizes_add_up"),
-        ((F.count_if(F.length("description") > 0) == k) & (F.abs(F.sum("percentage") - 100) < 1e-6)).alias("profiled"),
-    )
+    return released(spark, sf)[0]
+
 
+@query("segment_release_facts", with_views(
+    ["v_raw"], "select count(*) \"rows\", count(*) assigned, true profiled from lite", A.LITE_STEPS))
+def _release_facts(spark: SparkSession, sf: str) -> DataFrame:
+    profiles, assigned, k = released(spark, sf)
+    whole = (F.count_if(F.length("description") > 0) == k) & (F.abs(F.sum("percentage") - 100) < 1e-6)
+    return profiles.agg(F.sum("size").alias("rows"), F.lit(assigned.distinct().count()).cast("bigint").alias("assigned"), whole.alias("profiled"))
 
-@query("pca_2d", "select count(*) \"rows\", 0.0::double mean_1, 0.0::double mean_2, true ordered from embeddings")
+
+def projected(spark: SparkSession, sf: str) -> tuple[DataFrame, list[float]]:
+    scaled = S.standardized(views.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id"), "embedding", ["id"], 64)
+    return S.pca_projection(scaled)
+
+
+@query("pca_2d")
 def _pca(spark: SparkSession, sf: str) -> DataFrame:
+    return projected(spark, sf)[0]
+
+
+@query("pca_facts", "select count(*) \"rows\", 0.0::double mean_1, 0.0::double mean_2, true ordered from embeddings")
+def _pca_facts(spark: SparkSession, sf: str) -> DataFrame:
     """All rows projected: components are centred, uncorrelated and the first has the larger variance."""
-    scaled = S.standardized(views.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id"), "embedding", ["id"], 64)
-    points, shares = S.pca_projection(scaled)
+    points, shares = projected(spark, sf)
     variances = (F.var_pop("pca_1") >= F.var_pop("pca_2")) & (F.abs(F.corr("pca_1", "pca_2")) < 1e-6)
     centred = [(F.round(F.avg(f"pca_{i}"), 6) + 0.0).alias(f"mean_{i}") for i in (1, 2)]
     return points.agg(F.count(F.lit(1)).alias("rows"), *centred, (variances & F.lit(1 >= shares[0] >= shares[1] >= 0)).alias("ordered"))

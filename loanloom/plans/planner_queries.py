@@ -140,13 +140,19 @@ def _summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("planner_request_rules", with_views(
     V, "select SK_ID_CURR request_id, case when AMT_INCOME_TOTAL <= 0 then 'monthly_take_home_income must be positive' when SK_ID_CURR % 17 = 5 then 'Terms must be between 6 and 360 months' "
-    "when SK_ID_CURR % 19 = 5 then 'Terms must be unique' when SK_ID_CURR % 23 = 5 then 'Unknown planning priority' end reason from v_raw"))
+    "when SK_ID_CURR % 19 = 5 then 'Terms must be unique' when SK_ID_CURR % 23 = 5 then 'Unknown planning priority' "
+    "when SK_ID_CURR % 29 = 5 then 'total_outstanding_debt must not be negative' when SK_ID_CURR % 31 = 5 then 'liquid_savings has more than two decimals' "
+    "when SK_ID_CURR % 37 = 5 then 'As-of date cannot be in the future' when SK_ID_CURR % 41 = 5 then 'Loan purpose is longer than 120 characters' end reason from v_raw"))
 def _rules(spark: SparkSession, sf: str) -> DataFrame:
     expense = {k: f"greatest({v}, cast(0 as decimal(14,2)))" for k, v in REQUEST.items() if k.endswith(("expenses", "payments", "goal", "savings"))}
     texts = {**REQUEST, **expense}
     texts["monthly_savings_goal"] = "cast(null as decimal(14,2))"
     texts["monthly_gross_income"] = "cast(null as decimal(14,2))"
     texts["planning_priority"] = "case when SK_ID_CURR % 23 = 5 then 'FASTEST' else 'BALANCED' end"
+    texts["total_outstanding_debt"] = "cast(if(SK_ID_CURR % 29 = 5, -0.01, 0) as decimal(14,2))"
+    texts["liquid_savings"] = "if(SK_ID_CURR % 31 = 5, cast(10.005 as double), cast(10.25 as double))"
+    texts["as_of"] = "if(SK_ID_CURR % 37 = 5, date_add(current_date(), 2), current_date())"
+    texts["loan_purpose"] = "repeat('x', if(SK_ID_CURR % 41 = 5, 121, 120))"
     terms = "case when SK_ID_CURR % 17 = 5 then array(12, 400) when SK_ID_CURR % 19 = 5 then array(12, 12) else array(12, 24) end as terms_months"
     raw = views.raw_applications(spark, sf).selectExpr(*[f"{v} as {k}" for k, v in texts.items()], terms)
-    return with_reason(raw, P.request_rules()).select("request_id", "reason")
+    return with_reason(raw, P.request_rules(raw.columns)).select("request_id", "reason")

@@ -1,4 +1,7 @@
-"""Catalogue: training, calibration and explanation: facts that hold for any fitted model."""
+"""Catalogue: training, calibration and explanation.
+
+A query gives the rows of its operator; the one named ``_facts`` beside it what holds of them for any fitted model.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +13,17 @@ from loanloom.operators import preparation as P
 from loanloom.operators import training as T
 from loanloom.operators.application import BASE_NUMERIC, CATEGORICAL
 from loanloom.operators.cohorts import split_cohorts
+from loanloom.operators.isotonic import fit_isotonic
 from loanloom.plans import application_queries as A
+from loanloom.plans import views
 from loanloom.plans.evaluation_queries import COHORT_STEPS, RANKED
 from loanloom.plans.registry import query, rounded
 from loanloom.plans.views import with_views
 from loanloom.session import ensure_checkpoint_dir
 
 RAW = ["v_raw"]
+#: The low ends of the boosted trees' search ranges.
+BOOSTED = {"maxIter": 200, "stepSize": 0.1, "maxDepth": 3, "minInstancesPerNode": 10, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.7"}
 #: The cohort steps over the labelled rows of the short contract.
 LABELED = {**A.LITE_STEPS, **COHORT_STEPS, "ranked": RANKED.replace("v_scored", "(select SK_ID_CURR id, TARGET y from lite)")}
 
@@ -42,62 +49,108 @@ def _valid(*columns: str) -> Column:
 
 
 COMPARED = ("logistic_regression", "decision_tree")
+METRICS = ["roc_auc", "average_precision", "brier", "inner_auc"]
+
+
+def compared(spark: SparkSession, sf: str) -> DataFrame:
+    """Two families over their own grids, two calibrations, three nested folds."""
+    return T.nested_selection(labeled(spark, sf), COMPARED, BASE_NUMERIC, CATEGORICAL)
+
+
+@query("train_compare")
+def _compare(spark: SparkSession, sf: str) -> DataFrame:
+    return compared(spark, sf)
 
 
-@query("train_compare", with_views(
+@query("train_compare_facts", with_views(
     RAW, "select model, calibration, cast(rk % 3 as integer) fold, count(*) assessed_rows, true in_range from ranked, "
     f"(select unnest({list(COMPARED)}) model), (select unnest({list(T.METHODS)}) calibration) group by 1, 2, 3", LABELED))
-def _compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Two families, two calibrations, three nested folds: rows assessed, metrics within bounds."""
-    grids = {
-        "logistic_regression": [{"C": 1.0}],
-        "decision_tree": [{"maxDepth": 4, "minInstancesPerNode": 50}, {"maxDepth": 6, "minInstancesPerNode": 50}],
-    }
-    rows = T.nested_selection(labeled(spark, sf), COMPARED, BASE_NUMERIC, CATEGORICAL, grids=grids)
+def _compare_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows assessed by each candidate, every metric known and in [0, 1], that of the search included."""
     good = F.lit(True)
-    for m in ("roc_auc", "average_precision", "brier", "inner_auc"):
-        # a single option is not searched and has no inner AUC
-        good = good & F.coalesce(F.col(m).between(0, 1), F.lit(m == "inner_auc"))
-    return rows.select("model", "calibration", "fold", "assessed_rows", good.alias("in_range"))
+    for m in METRICS:
+        good = good & F.coalesce(F.col(m).between(0, 1), F.lit(False))
+    return compared(spark, sf).select("model", "calibration", "fold", "assessed_rows", good.alias("in_range"))
 
 
-@query("calibrate", with_views(
-    RAW, "select y, count(*) n_rows, count(*) valid, true rising from split where cohort = 'test' group by 1", LABELED))
-def _calibrate(spark: SparkSession, sf: str) -> DataFrame:
-    """Both calibrations of the test cohort: valid probabilities that rise with the raw score."""
+def calibrated(spark: SparkSession, sf: str) -> tuple[DataFrame, list[T.Calibrator]]:
+    """Both calibrations of the test cohort."""
     parts = cohorts(spark, sf)
     fitted = T.fit("logistic_regression", {"C": 1.0}, parts["development"], BASE_NUMERIC, CATEGORICAL)
     raw = fitted.score(parts["calibration"], ["y"])
     test = fitted.score(parts["test"], ["id", "y"])
     sigmoid, isotonic = (T.fit_calibrator(method, raw) for method in T.METHODS)
-    both = isotonic.apply(sigmoid.apply(test, column="p_sigmoid"), column="p_isotonic")
-    steps = isotonic.model.predictions.toArray()
-    rising = sigmoid.slope > 0 and bool((steps[1:] >= steps[:-1]).all())
+    return isotonic.apply(sigmoid.apply(test, column="p_sigmoid"), column="p_isotonic"), [sigmoid, isotonic]
+
+
+@query("calibrate")
+def _calibrate(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrated(spark, sf)[0].select("id", "y", "p_sigmoid", "p_isotonic")
+
+
+@query("calibrate_facts", with_views(
+    RAW, "select y, count(*) n_rows, count(*) valid, true rising from split where cohort = 'test' group by 1", LABELED))
+def _calibrate_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Valid probabilities that rise with the raw score."""
+    both, (sigmoid, isotonic) = calibrated(spark, sf)
+    steps = [value for _, value in isotonic.curve.points]
+    rising = sigmoid.slope > 0 and steps == sorted(steps)
     return both.groupBy("y").agg(F.count(F.lit(1)).alias("n_rows"), _valid("p_sigmoid", "p_isotonic"), F.lit(rising).alias("rising"))
 
 
-@query("score_batch", with_views(RAW, "select y, count(*) n_rows, count(*) valid from split where cohort = 'test' group by 1", LABELED))
-def _score(spark: SparkSession, sf: str) -> DataFrame:
+@query("isotonic_steps", with_views(
+    ["v_scored"], "select score, round(max(least_mean), 10) value from (select b.score, min(b.total / b.n) over (partition by a.place order by b.place "
+    "rows between current row and unbounded following) least_mean from firsts a join lasts b using (place_a)) group by 1",
+    {"scores": "select round(p * 100) / 100 score, count(*)::double n, sum(y)::double t from v_scored group by 1",
+     "sums": "select score, row_number() over (order by score) place, sum(n) over (order by score) n, sum(t) over (order by score) t, n n0, t t0 from scores",
+     "firsts": "select place, place place_a from sums",
+     "lasts": "select a.place place_a, b.place, b.score, b.n - a.n + a.n0 n, b.t - a.t + a.t0 total from sums a join sums b on b.place >= a.place"}))
+def _isotonic(spark: SparkSession, sf: str) -> DataFrame:
+    """The fitted curve at every distinct score; the oracle takes the greatest least mean over all intervals around it."""
+    rows = views.scored(spark, sf).select((F.round(F.col("p") * 100) / 100).alias("score"), "y")
+    curve = fit_isotonic(rows, "score", "y")
+    return rounded(rows.select("score").distinct().withColumn("value", curve.apply(F.col("score"))), 10, "value")
+
+
+def batch_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """The test cohort scored by boosted trees."""
     parts = cohorts(spark, sf)
-    fitted = T.fit("gradient_boosted", {"maxIter": 20, "maxDepth": 3}, parts["development"], BASE_NUMERIC, CATEGORICAL)
+    fitted = T.fit("gradient_boosted", BOOSTED, parts["development"], BASE_NUMERIC, CATEGORICAL)
     calibrator = T.fit_calibrator("sigmoid", fitted.score(parts["calibration"], ["y"]))
-    scored = T.score_batch(parts["test"], fitted, calibrator, ["id", "y"], check=True)
-    return scored.groupBy("y").agg(F.count(F.lit(1)).alias("n_rows"), _valid("p"))
+    return T.score_batch(parts["test"], fitted, calibrator, ["id", "y"], check=True)
+
+
+@query("score_batch")
+def _score(spark: SparkSession, sf: str) -> DataFrame:
+    return batch_scored(spark, sf)
+
+
+@query("score_batch_facts", with_views(RAW, "select y, count(*) n_rows, count(*) valid from split where cohort = 'test' group by 1", LABELED))
+def _score_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return batch_scored(spark, sf).groupBy("y").agg(F.count(F.lit(1)).alias("n_rows"), _valid("p"))
 
 
 WITHOUT = {"all": (), "without household": ("household_size", "dependent_children"), "without income": ("annual_income",)}
 
 
-@query("feature_ablation", with_views(
-    RAW, "select variant, cast(k as integer) feature_count, count(*) policy_rows, true in_range from split, (select unnest("
-    + str([{"variant": v, "k": len(BASE_NUMERIC) + len(CATEGORICAL) - len(cut)} for v, cut in WITHOUT.items()]) + ", recursive := true)) where cohort = 'policy' group by 1, 2", LABELED))
-def _ablation(spark: SparkSession, sf: str) -> DataFrame:
+def ablated(spark: SparkSession, sf: str) -> DataFrame:
     variants = {v: ([c for c in BASE_NUMERIC if c not in cut], CATEGORICAL) for v, cut in WITHOUT.items()}
     found = T.ablation(cohorts(spark, sf), variants, "logistic_regression", {"C": 1.0}, "sigmoid")
-    rows = [
-        (r["variant"], r["feature_count"], r["policy_rows"], all(0 <= r[m] <= 1 for m in ("roc_auc", "average_precision", "brier"))) for r in found
-    ]
-    return spark.createDataFrame(rows, "variant string, feature_count int, policy_rows bigint, in_range boolean")
+    schema = "variant string, feature_count int, roc_auc double, average_precision double, brier double, policy_rows bigint"
+    return spark.createDataFrame([tuple(r.values()) for r in found], schema)
+
+
+@query("feature_ablation")
+def _ablation(spark: SparkSession, sf: str) -> DataFrame:
+    return ablated(spark, sf)
+
+
+@query("feature_ablation_facts", with_views(
+    RAW, "select variant, cast(k as integer) feature_count, count(*) policy_rows, true in_range from split, (select unnest("
+    + str([{"variant": v, "k": len(BASE_NUMERIC) + len(CATEGORICAL) - len(cut)} for v, cut in WITHOUT.items()]) + ", recursive := true)) where cohort = 'policy' group by 1, 2", LABELED))
+def _ablation_facts(spark: SparkSession, sf: str) -> DataFrame:
+    good = F.col("roc_auc").between(0, 1) & F.col("average_precision").between(0, 1) & F.col("brier").between(0, 1)
+    return ablated(spark, sf).select("variant", "feature_count", "policy_rows", good.alias("in_range"))
 
 
 def _linear(spark: SparkSession, sf: str) -> tuple[T.Fitted, dict[str, DataFrame]]:
@@ -105,16 +158,22 @@ def _linear(spark: SparkSession, sf: str) -> tuple[T.Fitted, dict[str, DataFrame
     return T.fit("logistic_regression", {"C": 1.0}, parts["development"], BASE_NUMERIC, CATEGORICAL), parts
 
 
-PERMUTED = ["age_years", "household_size", "annual_income", "employment_type"]
+def permuted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every feature of the contract; ``n_rows`` is what each permuted copy has scored."""
+    fitted, parts = _linear(spark, sf)
+    return X.permutation_importance(fitted, parts["test"], [*BASE_NUMERIC, *CATEGORICAL])
 
 
-@query("permutation_importance", with_views(
-    RAW, f"select feature, count(*) n_rows, true in_range from split, (select unnest({PERMUTED}) feature) where cohort = 'test' group by 1", LABELED))
+@query("permutation_importance")
 def _permutation(spark: SparkSession, sf: str) -> DataFrame:
-    fitted, parts = _linear(spark, sf)
-    found = X.permutation_importance(fitted, parts["test"], PERMUTED)
+    return permuted(spark, sf)
+
+
+@query("permutation_importance_facts", with_views(
+    RAW, f"select feature, count(*) n_rows, true in_range from split, (select unnest({[*BASE_NUMERIC, *CATEGORICAL]}) feature) where cohort = 'test' group by 1", LABELED))
+def _permutation_facts(spark: SparkSession, sf: str) -> DataFrame:
     good = F.col("roc_auc").between(0, 1) & F.col("auc_drop").between(-1, 1)
-    return found.select("feature", F.lit(parts["test"].count()).cast("bigint").alias("n_rows"), good.alias("in_range"))
+    return permuted(spark, sf).select("feature", "n_rows", good.alias("in_range"))
 
 
 @query("linear_attribution", with_views(RAW, "select count(*) n_rows, true additive from split where cohort = 'test'", LABELED))
@@ -139,6 +198,30 @@ def _top(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", ((up == best) & (down == worst)).alias("consistent"))
 
 
+def path_attributed(spark: SparkSession, sf: str) -> DataFrame:
+    """Path attributions of a tree and a forest to every row of the test cohort."""
+    parts, out = cohorts(spark, sf), None
+    for name, params in (("decision_tree", {"maxDepth": 4, "minInstancesPerNode": 50}), ("random_forest", {"maxDepth": 8, "minInstancesPerNode": 50, "numTrees": 50})):
+        fitted = T.fit(name, params, parts["development"], BASE_NUMERIC, CATEGORICAL)
+        rows = X.tree_contributions(fitted, parts["test"], ["id"]).withColumn("model", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("tree_attribution")
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
+    return path_attributed(spark, sf)
+
+
+@query("tree_attribution_facts", with_views(
+    RAW, "select model, count(*) n_rows, count(*) additive from split, (select unnest(['decision_tree', 'random_forest']) model) where cohort = 'test' group by 1", LABELED))
+def _paths_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Base value and contributions add up to the model's own probability in every row."""
+    rows = path_attributed(spark, sf)
+    total = sum((F.col(c) for c in rows.columns if c.startswith("c_")), F.col("base_value"))
+    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(total - F.col("margin")) < 1e-9).alias("additive"))
+
+
 @query("median_impute", with_views(
     RAW, "select SK_ID_CURR id, round(coalesce(years_employed, m), 9) years_employed from lite, (select median(years_employed) m from lite)", A.LITE_STEPS))
 def _impute(spark: SparkSession, sf: str) -> DataFrame:

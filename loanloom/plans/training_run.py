@@ -12,6 +12,7 @@ from loanloom.operators import evaluation as E
 from loanloom.operators import training as T
 from loanloom.operators.application import CATEGORICAL, ID, LABEL, LITE
 from loanloom.operators.cohorts import class_sizes, split_cohorts
+from loanloom.operators.isotonic import IsotonicCurve
 from loanloom.operators.ledger import leaderboard
 from loanloom.operators.preparation import ModelPreparation
 from loanloom.operators.risk import Policy, support_statistics

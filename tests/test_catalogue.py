@@ -11,11 +11,11 @@ from loanloom.plans import catalogue
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 # need at least 20 rows of each class, which the smallest scale does not have
 MEDIUM_ONLY = {
-    "cohort_split", "cohort_sizes", "partition_problems", "calibrate", "score_batch", "feature_ablation", "permutation_importance",
-    "linear_attribution", "top_contributions", "train_compare",
+    "cohort_split", "cohort_sizes", "partition_problems", "calibrate_facts", "score_batch_facts", "feature_ablation_facts",
+    "permutation_importance_facts", "linear_attribution", "top_contributions", "train_compare_facts", "tree_attribution_facts",
 }
 # replicates are drawn in Arrow batches
-ARROW = {"bootstrap_ci"}
+ARROW = {"bootstrap_ci_facts"}
 CANDIDATE_LISTS = {"leaderboard", "research_summary"}
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
 

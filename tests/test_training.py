@@ -10,6 +10,7 @@ from loanloom.operators import explain as X
 from loanloom.operators import training as T
 from loanloom.operators.application import BASE_NUMERIC, CATEGORICAL
 from loanloom.plans import training_run, views
+from loanloom.plans.scoring import score_applications, stored_release
 from loanloom.plans.training_queries import labeled
 
 SF = "/root/testdata/sf0.01"
@@ -37,6 +38,27 @@ def test_attribution_adds_up(rows, linear):
     assert len(values) <= 3 and values == sorted(values, reverse=True) and all(v > 0 for v in values)
 
 
+@pytest.mark.parametrize(("name", "params"), [
+    ("decision_tree", {"maxDepth": 5}), ("random_forest", {"maxDepth": 5, "numTrees": 7}), ("gradient_boosted", {"maxIter": 6, "maxDepth": 3})])
+def test_path_attribution_adds_up_and_follows_the_path(rows, name, params):
+    fitted = T.fit(name, params, rows, BASE_NUMERIC, CATEGORICAL)
+    parts = X.tree_contributions(fitted, rows, ["id"])
+    assert parts.count() == rows.count()
+    assert X.additivity_error(parts).first()[0] < 1e-9
+    p = fitted.score(rows, ["id"], "p").join(parts.select("id", "margin"), "id")
+    same = F.col("margin") if name != "gradient_boosted" else 1 / (1 + F.exp(-2 * F.col("margin")))
+    assert p.agg(F.max(F.abs(F.col("p") - same))).first()[0] < 1e-9
+    if name == "decision_tree":  # only features on some path have a share
+        used = {fitted.preparation.origins()[fitted.preparation.names()[i]] for i in fitted.model.featureImportances.indices}
+        shares = {r["feature"] for r in X.global_importance(parts).where("mean_absolute_contribution > 0").collect()}
+        assert shares == used
+
+
+def test_path_attribution_needs_trees(rows, linear):
+    with pytest.raises(ContractError):
+        X.tree_contributions(linear, rows, ["id"])
+
+
 def test_calibrated_probabilities(rows, linear):
     raw = linear.score(rows, ["id", "y"])
     prevalence = rows.agg(F.avg("y")).first()[0]
@@ -75,5 +97,12 @@ def test_release_round_trip(spark, tmp_path):
     again = T.score_batch(labeled(spark, SF).join(stored.select("id"), "id", "left_semi"), fitted, calibrator, ["id"])
     gap = again.join(stored.select("id", F.col("p").alias("q")), "id").agg(F.max(F.abs(F.col("p") - F.col("q"))), F.count(F.lit(1))).first()
     assert gap[0] < 1e-12 and gap[1] == stored.count()
+    scored = score_applications(views.raw_applications(spark, SF), stored_release(spark, root))
+    whole = scored.agg(F.count(F.lit(1)), F.count("reason"), F.count("calibrated_pd"), F.count("reference_percentile")).first()
+    assert whole[0] == views.raw_applications(spark, SF).count() and whole[0] - whole[1] == whole[2] == whole[3]
+    both = scored.join(stored.select(F.col("id").alias("SK_ID_CURR"), "p"), "SK_ID_CURR")
+    assert both.agg(F.max(F.abs(F.col("calibrated_pd") - F.col("p")))).first()[0] < 1e-12
+    assert scored.where("reason is not null and (recommendation <> 'MANUAL_REVIEW' or array_position(reason_codes, reason) = 0)").isEmpty()
+    assert scored.where("model_version <> '%s' or decision_status <> 'MANUAL_REVIEW'" % run_id).isEmpty()
     with pytest.raises(ContractError):
         training_run.run(spark, str(raw), root, models=["unknown"])
