@@ -37,6 +37,8 @@ class _Target:
     width: float
     ranks: list[int] = field(default_factory=list)
     found: dict[int, float] = field(default_factory=dict)
+    #: Whether the rows at the ends are to be counted too, which ties and missed brackets need.
+    ends: bool = False
 
     @property
     def open(self) -> list[int]:
@@ -88,7 +90,10 @@ def _sketches(df: DataFrame, columns: Sequence[str], probs: Sequence[float], acc
 
 
 def _counts(df: DataFrame, targets: Sequence[_Target], gather: int) -> list[dict]:
-    """For each target: rows below ``low``, up to ``low``, below ``high``, up to ``high``; values of gathered ranks."""
+    """For each target: rows below ``low``, up to ``low``, below ``high``, up to ``high``; values of gathered ranks.
+
+    At first only the rows up to ``low`` are counted beside the gathered values, which decides most ranks.
+    """
     tests: dict[tuple[str, str, float], Column] = {}
 
     def rows(target: _Target, kind: str, end: float) -> Column:
@@ -99,10 +104,12 @@ def _counts(df: DataFrame, targets: Sequence[_Target], gather: int) -> list[dict
     gathered, out = [], []
     for i, target in enumerate(targets):
         low, high, number = target.low, target.high, _number(target.column)
-        until = rows(target, "until", low)
-        out += [rows(target, "below", low).alias(f"bl{i}"), until.alias(f"ul{i}"), rows(target, "below", high).alias(f"bh{i}"),
-                rows(target, "until", high).alias(f"uh{i}")]
-        if target.inside <= gather and low < high:
+        until, gathers = rows(target, "until", low), target.inside <= gather and low < high
+        out.append(until.alias(f"ul{i}"))
+        if target.ends or not gathers:
+            out += [rows(target, "below", low).alias(f"bl{i}"), rows(target, "below", high).alias(f"bh{i}"),
+                    rows(target, "until", high).alias(f"uh{i}")]
+        if gathers:
             inside = F.when((number > F.lit(low)) & (number < F.lit(high)), number)
             gathered.append(F.sort_array(F.collect_list(inside)).alias(f"g{i}"))
             picks = [F.get(F.col(f"g{i}"), (F.lit(r) - until).cast("int")) for r in target.open]
@@ -157,6 +164,10 @@ def exact_quantiles(
         crowded, missed = [], []
         for target, counts in zip(left, _counts(df, left, gather), strict=True):
             picks = dict(zip(target.open, counts["v"] or [], strict=False))
+            if counts["bl"] is None:
+                target.found.update({r: v for r, v in picks.items() if r >= counts["ul"] and v is not None})
+                target.ends = True
+                continue
             for rank in target.open:
                 if counts["bl"] <= rank < counts["ul"]:
                     target.found[rank] = target.low
