@@ -2,10 +2,18 @@
 
 Every source gets a target number of words; a document's expected number of copies is target / source size, whose
 whole part is taken outright.  The fractional parts are rounded dependently: two units meet, mass moves at random
-from one to the other until one of them is 0 or 1, and the other goes on.  Blocks of ``FAN_IN`` neighbours in size
-order are folded at a time and each leaves one unit at most; those meet in the next level, so a source of n units
-takes log(n) levels and no task ever sees more than a block.  Neighbours have nearly the same size, so words, not
-only copies, stay near the target.  All draws are hashes of a unit's rank, level and the seed.
+from one to the other until one of them is 0 or 1, and the other goes on.
+
+Units that hold more than one part in ``HEADS`` of their source's words come first, largest first (a source has fewer
+than ``HEADS`` of them): each meets all smaller ones as one composite unit and moves words, until it is 0 or 1 itself.
+So the smaller documents make up for what the large ones miss.  Where they are too few for that after one of the two
+outcomes, the outcome that leaves the smaller miss is taken instead of a draw.
+
+All others meet in blocks of ``FAN_IN`` neighbours in size order, folded at a time, and each block leaves one unit at
+most; those meet in the next level, so a source of n units takes log(n) levels and no task ever sees more than a
+block.  Neighbours have nearly the same size, so words, not only copies, stay near the target.  Their draws are hashes
+of a unit's rank, level and the seed; those of the large units go round the unit interval in even steps from a hashed
+start, so each is uniform and the copies of a source's large units, too, stay near their expected number.
 """
 
 from __future__ import annotations
@@ -17,6 +25,12 @@ from pyspark.sql import functions as F
 from loanloom.llm.common import WORD, cut, numbered
 
 FAN_IN = 64
+#: A unit with more than one part in so many of its source's words is rounded on its own.
+HEADS = 200
+#: Draws of a source's heads step by this part of 1, so that the low and the high ones take turns.
+STRIDE = (5**0.5 - 1) / 2
+#: Words by which two misses differ only through the rounding of sums.
+EVEN = 1e-6
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A source gives each of its words so many times at most.
@@ -110,6 +124,44 @@ def pivotal(units: DataFrame, rows: int, seed: int) -> DataFrame:
         active = left
 
 
+def _settle(state: Column, head: Column) -> Column:
+    """A head takes its copy or not; the composite of all smaller units gets the words that it leaves or lacks."""
+    after = state["rest"] - head["words"]
+    without = F.greatest(state["mass"] - after, F.lit(0.0))
+    taken = state["mass"] - head["words"]
+    with_it = F.greatest(-taken, taken - after, F.lit(0.0))
+    up = (
+        F.when(with_it < without - EVEN, True)
+        .when(without < with_it - EVEN, False)
+        .otherwise(head["u"] * state["rest"] < state["mass"])
+    )
+    mass = F.least(F.greatest(F.when(up, taken).otherwise(state["mass"]), F.lit(0.0)), after.cast("double"))
+    ones = F.when(up, F.concat(state["ones"], F.array(head["rank"]))).otherwise(state["ones"])
+    return F.struct(after.alias("rest"), mass.alias("mass"), ones.alias("ones"))
+
+
+def settle_heads(rated: DataFrame, seed: int) -> DataFrame:
+    """``source, rest, mass, ones`` of each source with heads: words of its other units, the part of them that is
+    still to be taken, and the ranks of the heads that are rounded up."""
+    words = F.col("size") * F.col("n")
+    heads = rated.where((F.col("p") > 0) & (words * HEADS > F.col("source_size")))
+    head = F.struct((-words).alias("order"), F.col("rank"), words.alias("words"))
+    gathered = heads.groupBy("source").agg(
+        F.array_sort(F.collect_list(head)).alias("heads"), F.max("source_size").alias("all"), F.max("p").alias("p")
+    )
+    begin = F.struct(
+        F.col("all").alias("rest"), (F.col("p") * F.col("all")).alias("mass"), F.array().cast("array<bigint>").alias("ones")
+    )
+    start = uniform(F.coalesce(F.col("source").cast("string"), F.lit("")), F.col("source").isNull(), F.lit(seed))
+
+    def drawn(h: Column, place: Column) -> Column:
+        turn = start + place * F.lit(STRIDE)
+        return F.struct(h["rank"].alias("rank"), h["words"].alias("words"), (turn - F.floor(turn)).alias("u"))
+
+    state = F.aggregate(F.transform("heads", drawn), begin, _settle)
+    return gathered.select("source", state.alias("state")).select("source", "state.*")
+
+
 def decide_copies(docs: DataFrame, seed: int = 11, limit: int = LIMIT) -> DataFrame:
     """``source, size, doc_id, n, source_size, target, copies``: one row for each distinct (source, size, doc_id).
 
@@ -125,7 +177,15 @@ def decide_copies(docs: DataFrame, seed: int = 11, limit: int = LIMIT) -> DataFr
     rated = units.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("rate", rate)
     rated = cut(rated.withColumn("whole", F.floor("rate").cast("bigint")).withColumn("p", F.col("rate") - F.col("whole")))
     first = rated.select("rows").first()
-    up = pivotal(rated, first["rows"] if first else 0, seed).select("rank", F.lit(1).alias("_up"))
+    settled = cut(settle_heads(rated, seed))
+    rest = settled.select(F.col("source").alias("_s"), "rest", "mass")
+    light = rated.where(F.col("size") * F.col("n") * HEADS <= F.col("source_size"))
+    share = F.when(F.col("rest") > 0, F.col("mass") / F.col("rest")).otherwise(F.col("p"))
+    light = light.join(rest, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("p", share)
+    # a composite that was filled to the brim takes all of its units
+    full = light.where("p >= 1").select("source", "rank")
+    drawn = pivotal(light.where("p < 1"), first["rows"] if first else 0, seed)
+    up = settled.select("source", F.explode("ones").alias("rank")).unionByName(full).unionByName(drawn).select("rank", F.lit(1).alias("_up"))
     copies = F.col("whole") + F.coalesce(F.col("_up"), F.lit(0))
     return rated.join(up, "rank", "left").select(*KEY, "n", "source_size", "target", copies.alias("copies"))
 

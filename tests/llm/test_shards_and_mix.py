@@ -108,6 +108,50 @@ def test_every_copy_number_is_the_rate_rounded(spark):
         assert abs(sum(rounded) - (rate - math.floor(rate)) * len(rounded)) <= 3
 
 
+def lots(sizes, source):
+    return [(f"{source}{k}", " ".join("w" for _ in range(n)), source) for k, n in enumerate(sizes)]
+
+
+def test_small_documents_make_up_for_large_ones(spark):
+    rng = random.Random(3)
+    sizes = {
+        "one": [4000, *[rng.randrange(1, 40) for _ in range(300)]],
+        "two": [900, 900, 700, *[rng.randrange(5, 90) for _ in range(120)]],
+        "wide": [rng.randrange(1, 3000) for _ in range(250)],
+        "flat": [rng.randrange(20, 30) for _ in range(2000)],
+    }
+    rows = [(k, text, s) for k, (_, text, s) in enumerate(x for s in sizes for x in lots(sizes[s], s))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    source = {r[0]: r[2] for r in rows}
+    for seed in (11, 12):
+        taken, target = defaultdict(int), {}
+        got = mix_report(docs, seed).collect()
+        for r in got:
+            taken[source[r["doc_id"]]] += r["taken"]
+            target[source[r["doc_id"]]] = r["target"]
+        want = water({s: sum(n) for s, n in sizes.items()})
+        for s in sizes:
+            assert target[s] == pytest.approx(want[s])
+            assert abs(taken[s] - want[s]) <= max(0.01 * want[s], 40), (s, seed)
+    assert sorted(map(tuple, mix_report(docs.repartition(5), seed).collect())) == sorted(map(tuple, got))
+
+
+def test_a_document_too_large_for_the_others_takes_the_nearer_outcome(spark):
+    # source a: target 5/7 of all words, below 3 times its size; its large document outweighs all others
+    rows = [(k, text, s) for k, (_, text, s) in enumerate(lots([1000, 3, 2, 1], "a") + lots([400] * 3 + [7], "b"))]
+    taken, target = defaultdict(int), {}
+    for r in mix_report(spark.createDataFrame(rows, SCHEMA)).collect():
+        s = "a" if r["doc_id"] < 4 else "b"
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+    rate = target["a"] / 1006
+    # all sums that the two allowed numbers of copies of each document can give
+    sums = {0}
+    for n in (1000, 3, 2, 1):
+        sums = {x + n * c for x in sums for c in (math.floor(rate), math.ceil(rate))}
+    assert abs(taken["a"] - target["a"]) == pytest.approx(min(abs(x - target["a"]) for x in sums), abs=2)
+
+
 def test_mix_repeats_rows(spark):
     docs = spark.createDataFrame([(*r, k) for k, r in enumerate(corpus())], SCHEMA + ", size int")
     words = {(r["doc_id"], r["size"]): r["taken"] for r in mix_report(docs).collect()}
