@@ -9,6 +9,7 @@ from loanloom.operators import repayment as R
 from loanloom.plans import views
 from loanloom.plans.registry import query, rounded
 from loanloom.plans.views import with_views
+from loanloom.streaming.payments import settled
 
 AS_OF = "cast('2000-06-30' as date)"
 IMPORT_COLUMNS = {
@@ -218,6 +219,19 @@ def _replay_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return R.replay_conflicts(rows.unionByName(again))
 
 
+@query("event_settlements",
+    "with seen as (select l_orderkey event_ref, cast(l_shipdate as date) d, coalesce(l_returnflag, '~') || coalesce(l_linestatus, '~') payload from lineitem "
+    "where l_orderkey is not null and l_shipdate is not null), "
+    "gaps as (select *, case when d - lag(d) over (partition by event_ref order by d) <= 10 then 0 else 1 end starts from seen), "
+    "bursts as (select *, sum(starts) over (partition by event_ref order by d rows unbounded preceding) burst from gaps) "
+    "select event_ref, min(d) first_seen, max(d) last_seen, count(*) copies, count(distinct payload) > 1 conflicting from bursts group by event_ref, burst")
+def _settlements(spark: SparkSession, sf: str) -> DataFrame:
+    """The verdicts of the payment stream over shipments: lines of an order at most ten days apart are copies of an event."""
+    lines = views.table(spark, sf, "lineitem").withColumn("moment", F.col("l_shipdate").cast("timestamp")).withColumnRenamed("l_orderkey", "event_ref")
+    rows = settled(lines, "moment", ["l_returnflag", "l_linestatus"], "10 days")
+    return rows.select("event_ref", F.to_date("first_seen").alias("first_seen"), F.to_date("last_seen").alias("last_seen"), "copies", "conflicting")
+
+
 JSON_SPARK = "to_json(named_struct('metrics', named_struct('discipline_score', case when value > 100 then value end, 'kind', event_type)))"
 JSON_SQL = "case when value > 100 then value end"
 

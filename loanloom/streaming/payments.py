@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,3 +56,52 @@ def conflict_sink(accepted: str, conflicts: str, columns: Sequence[str], key: st
         rows.unpersist()
 
     return handle
+
+
+def without_identity(events: DataFrame, moment: str, key: str = EVENT) -> DataFrame:
+    """Rows that no settlement can hold: without event id or moment."""
+    return events.where(F.col(key).isNull() | F.col(moment).isNull())
+
+
+def settled(events: DataFrame, moment: str, columns: Sequence[str], delay: str = "1 hour", key: str = EVENT) -> DataFrame:
+    """One row per event id and burst of copies: ``key``, ``columns``, ``first_seen, last_seen, copies, conflicting``.
+
+    Copies of an id, each at most ``delay`` after the one before it, are one burst.  On a stream its state holds only
+    the smallest and greatest payload, and the verdict is given once: when the watermark, ``delay`` behind the newest
+    moment, has passed the end of the burst; then the state expires.  No batch reads what earlier batches stored, and
+    no copy of a conflicting id is ever let through first.  Later rows of that time are dropped by the watermark; a
+    copy more than ``delay`` after its burst is a burst of its own.  Nulls in ``columns`` differ from values and equal
+    each other; of a conflict, ``columns`` is the smallest payload.  Rows of ``without_identity`` are left out.
+
+    Where one id may be resent without end, set ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``
+    before the start: copies then merge in their tasks, before the shuffle.
+    """
+    known = events.where(F.col(key).isNotNull() & F.col(moment).isNotNull())
+    if events.isStreaming:
+        known = known.withWatermark(moment, delay)
+    payload = F.struct(*[F.col(c) for c in columns])
+    bursts = known.groupBy(key, F.session_window(moment, delay).alias("_burst")).agg(
+        F.min(payload).alias("_low"), F.max(payload).alias("_high"), F.min(moment).alias("first_seen"),
+        F.max(moment).alias("last_seen"), F.count(F.lit(1)).alias("copies"),
+    )
+    differs = ~F.col("_low").eqNullSafe(F.col("_high"))
+    return bursts.select(
+        key, *[F.col(f"_low.{c}").alias(c) for c in columns], "first_seen", "last_seen", "copies", differs.alias("conflicting")
+    )
+
+
+def settled_sink(folder: str):
+    """``foreachBatch`` function for ``settled`` rows: one write a batch to ``folder/batch=N/conflicting=true|false``.
+
+    A batch that is run again replaces what it wrote before; nothing stored is read.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("conflicting").parquet(f"{folder}/batch={batch_id}")
+
+    return handle
+
+
+def read_settled(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored verdicts; a filter on ``conflicting`` prunes folders."""
+    return spark.read.parquet(folder).withColumn("conflicting", F.col("conflicting").cast("boolean"))
