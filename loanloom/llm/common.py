@@ -52,6 +52,32 @@ def numbered(df: DataFrame, order: Sequence[str], number: str = "row", total: st
     return stored.join(offsets, "_part").withColumn(number, inside + F.col("_before")).drop("_part", "_place", "_before")
 
 
+#: A key with more than this share of the rows of ``dealt_join`` is dealt over parts of about this share.
+SHARE = 0.01
+
+
+def heavy_keys(rows: DataFrame, key: str, share: float = SHARE) -> DataFrame:
+    """``key, _parts`` of the keys over ``share`` of the rows: fewer than ``1 / share``, whatever the rows."""
+    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    fair = F.col("_total") * share
+    heavy = sizes.join(F.broadcast(sizes.agg(F.sum("_n").alias("_total")))).where(F.col("_n") > fair)
+    return heavy.select(key, F.ceil(F.col("_n") / fair).cast("int").alias("_parts"))
+
+
+def dealt_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined to ``facts``, unique in ``key``, where a few keys may own much of ``rows``; ``how`` is inner or left.
+
+    The rows of ``heavy_keys`` are dealt over parts by a hash of all their columns, and only their facts are repeated,
+    once a part.  Without ``heavy``, which loops work out once, ``rows`` is read twice and should be stored.  Null keys
+    meet nothing, and stay in a left join.
+    """
+    heavy = F.broadcast(heavy_keys(rows, key) if heavy is None else heavy)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(heavy, key, "left").withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("_parts")
+    repeated = facts.join(heavy, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(repeated, [key, "_part"], how).drop("_part")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Smaller pieces of Arrow batches, which bound what a Python worker holds besides its input."""
     for batch in batches:

@@ -1,20 +1,24 @@
 """Personal data: fixed patterns as seeds, then bootstrapped contextual extraction.
 
-Matches of four patterns are the seed entities.  The words around an entity are a lexical pattern: the two words
-before it, or the word before and the word after.  All identifier-like words of the corpus (five characters or more,
-a digit among them), all runs of two or more words with digits joined by single blanks, and the seeds make a graph of patterns and distinct instances.  Each round scores a pattern by
-how many of its instances are known, keeps patterns that enough distinct known instances support and that hardly
-anything else fills, scores unknown instances by the patterns around them (noisy or), and makes the confident ones
-known for the next round, until neither instances nor scores rise.  The words found this way are added as spans of kind ``context``; seed spans stay.
+Matches of four patterns are the seed entities.  The words around an entity are its lexical patterns: the two words
+before it, the word before and the word after, and, backing off, the word before alone and that word with the entity's
+shape (digits as 9, runs of letters as a).  All words of the corpus with a digit, whatever their length, without the
+quotes and stops at their edges, all runs of two or more such words joined by single blanks, and the seeds make a graph
+of patterns and distinct instances.  Each round scores a pattern by how many of its instances are known, keeps patterns
+that enough distinct known instances support and that hardly anything else fills, scores unknown instances by the
+patterns around them (noisy or), and makes the confident ones known for the next round, until neither instances nor
+scores rise.  The words found this way are added as spans of kind ``context``; seed spans stay.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import cut, text_or_empty
+from loanloom.llm.common import SPACE, cut, dealt_join, heavy_keys, text_or_empty
 from loanloom.llm.spans import kept, listed, of_kind, with_matches
 
 LOCAL = "A-Za-z0-9._%+-"
@@ -23,7 +27,7 @@ EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^0-9\x20\x09-\x0D]*+[0-9])[^\x20\x09-\x0D]{5,}+"
+CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^0-9\x20\x09-\x0D]*+[0-9])[^\x20\x09-\x0D]++"
 #: Words with a digit, of any length, joined by single blanks: numbers written in groups.
 RUN = r"(?<![^\x20\x09-\x0D])(?=[^0-9\x20\x09-\x0D]*+[0-9])[^\x20\x09-\x0D]++(?:\x20(?=[^0-9\x20\x09-\x0D]*+[0-9])[^\x20\x09-\x0D]++)++"
 KINDS = ("email", "ip", "card", "phone")
@@ -33,8 +37,10 @@ SUPPORT, PATTERN_CONFIDENCE = 5, 0.8
 INSTANCE_CONFIDENCE = 0.9
 #: Rounds end when no score rises by more than this.
 TOLERANCE = 1e-6
-#: Code points on either side in which the words of a pattern are looked for.
-CONTEXT = 60
+#: Code points on either side in which the words of a pattern are looked for first; where they may be cut, in the next.
+WINDOWS = (60, 4096)
+#: Quotes, brackets and stops that are no part of an instance at its edges.
+OPENING, CLOSING = "\"'<[{", "\"'>]}.,;:!?"
 ROW = ("k", "absent", "h")
 
 
@@ -81,22 +87,79 @@ def with_base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     return df
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _last_words(source: Column, start: Column) -> Column:
+    """The two words before ``start``, empty where there are fewer, lower-cased; quotes that open there are no words."""
+
+    def words(width: Column | None) -> Column:
+        size = start if width is None else F.least(start, width)
+        before = F.rtrim(F.substring(source, start - size + 1, size), F.lit(OPENING))
+        return F.filter(F.split(F.lower(before), SPACE), lambda w: w != "")
+
+    def within(width: int, wider: Column) -> Column:
+        # of three words, or at the start of the text, none of the last two is cut
+        return _let(words(F.lit(width)), lambda w: F.when((F.size(w) > 2) | (start <= width), w).otherwise(wider))
+
+    found = words(None)
+    for width in reversed(WINDOWS):
+        found = within(width, found)
+    return F.slice(F.concat(F.array(F.lit(""), F.lit("")), found), -2, 2)
+
+
+def _first_word(source: Column, end: Column) -> Column:
+    """The first word after ``end``, lower-cased."""
+
+    def word(width: int | None) -> Column:
+        rest = F.substring(source, end + 1, F.char_length(source) if width is None else F.lit(width))
+        return F.lower(F.regexp_extract(rest, rf"^[{re.escape(CLOSING)}]*+[\x20\x09-\x0D]*([^\x20\x09-\x0D]+" + ("" if width is None else r"(?=[\x20\x09-\x0D])") + ")", 1))
+
+    def within(width: int, wider: Column) -> Column:
+        return _let(word(width), lambda w: F.when(w != "", w).otherwise(wider))
+
+    found = word(None)
+    for width in reversed(WINDOWS):
+        found = within(width, found)
+    return found
+
+
+def shape(instance: Column) -> Column:
+    """The instance with digits as 9 and runs of letters as a."""
+    return F.regexp_replace(F.regexp_replace(instance, r"\p{L}+", "a"), "[0-9]", "9")
+
+
+def bare(spans: Column) -> Column:
+    """Spans without the quotes and stops at their edges; what has nothing else goes."""
+
+    def trimmed(s: Column) -> Column:
+        tail = F.rtrim(s["hit"], F.lit(CLOSING))
+        hit = F.ltrim(tail, F.lit(OPENING))
+        start = s["start"] + F.char_length(tail) - F.char_length(hit)
+        return F.struct(start.alias("start"), (start + F.char_length(hit)).alias("end"), hit.alias("hit"))
+
+    return F.filter(F.transform(spans, trimmed), lambda s: s["hit"] != "")
+
+
 def _occurrences(text: str, spans: Column, known: bool, runs: Column | None = None) -> Column:
-    """Instances with the patterns around them; before a run of ``runs``, the pattern's instance is the run, not its first word."""
+    """Instances with the patterns around them; before a run of ``runs``, the instance of what stands before is the run, not its first word."""
+    source = F.col(text)
+
+    def patterns(s: Column, words: Column, first: Column) -> Column:
+        one = F.element_at(words, 2)
+        both = F.concat(F.lit("LR "), one, F.lit(" _ "), first)
+        alone = F.when(one != "", F.concat(F.lit("B "), one))
+        shaped = F.when(one != "", F.concat(F.lit("S "), one, F.lit(" "), shape(s["hit"])))
+        every = F.array(F.trim(F.concat(F.lit("L "), F.element_at(words, 1), F.lit(" "), one)), both, alone, shaped)
+        if runs is not None:
+            every = F.when(F.exists(runs, lambda r: r["start"] == s["start"]), F.array(both, shaped)).otherwise(every)
+        return F.filter(every, lambda p: p.isNotNull() & ~p.isin("L", "LR  _ "))
 
     def occurrence(s: Column) -> Column:
-        source = F.col(text)
-        before = F.substring(source, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
-        after = F.substring(source, s["end"] + 1, F.lit(CONTEXT))
-        words = F.filter(F.split(F.lower(before), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        first = F.lower(F.regexp_extract(after, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
-        last = F.when(F.size(words) > 0, F.element_at(words, -1)).otherwise("")
-        two = F.concat_ws(" ", F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2)))
-        left, both = F.concat(F.lit("L "), two), F.concat(F.lit("LR "), last, F.lit(" _ "), first)
-        patterns = F.array(left, both)
-        if runs is not None:
-            patterns = F.when(F.exists(runs, lambda r: r["start"] == s["start"]), F.array(both)).otherwise(patterns)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("instance"), patterns.alias("patterns"), F.lit(known).alias("known"))
+        around = _let(_last_words(source, s["start"]), lambda words: _let(_first_word(source, s["end"]), lambda first: patterns(s, words, first)))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("instance"), around.alias("patterns"), F.lit(known).alias("known"))
 
     return F.transform(spans, occurrence)
 
@@ -110,7 +173,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     found = with_matches(found, "text", "run", RUN, "[0-9]")
     found = found.withColumn("base", F.concat(*KINDS))
     clear = lambda spans: F.filter(spans, lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
-    found = found.withColumn("clear", clear("word")).withColumn("runs", clear("run"))
+    found = found.withColumn("clear", clear(bare(F.col("word")))).withColumn("runs", clear(bare(F.col("run"))))
     seen = F.concat(
         _occurrences("text", F.col("base"), True),
         _occurrences("text", F.col("clear"), False, F.col("runs")),
@@ -126,16 +189,18 @@ def confident_instances(edges: DataFrame) -> DataFrame:
     Scores never fall from one round to the next and are 1 at most, so the rounds end.
     """
     graph = cut(edges.groupBy("pattern", "instance").agg(F.max(F.col("known").cast("double")).alias("seed")))
+    unknown = graph.where("seed = 0")
+    by_instance, by_pattern = cut(heavy_keys(graph, "instance")), cut(heavy_keys(unknown, "pattern"))
     believed = graph.where("false").select("instance", F.col("seed").alias("score"))
     while True:
         old = believed.withColumnRenamed("score", "old")
-        scored = graph.join(old, "instance", "left").withColumn("belief", F.greatest("seed", "old"))
+        scored = dealt_join(graph, old, "instance", "left", by_instance).withColumn("belief", F.greatest("seed", "old"))
         patterns = scored.groupBy("pattern").agg(
             F.sum("belief").alias("support"), (F.sum("belief") / F.count(F.lit(1))).alias("confidence")
         )
         good = patterns.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= PATTERN_CONFIDENCE)).select("pattern", "confidence")
         miss = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999))))
-        scores = graph.where("seed = 0").join(good, "pattern").groupBy("instance").agg((1 - F.exp(miss)).alias("score"))
+        scores = dealt_join(unknown, good, "pattern", heavy=by_pattern).groupBy("instance").agg((1 - F.exp(miss)).alias("score"))
         # the order of a sum may move a score by its last bits; what is known stays so
         risen = scores.where(F.col("score") >= INSTANCE_CONFIDENCE).join(old, "instance", "full")
         found = cut(risen.select("instance", F.greatest("score", "old").alias("score"), F.coalesce("old", F.lit(0.0)).alias("old")))
@@ -149,8 +214,9 @@ def find(docs: DataFrame) -> DataFrame:
     """``doc_id``, the row's key ``k, absent, h``, counts of base spans, ``base`` and ``spans`` (base and context spans)."""
     rows = scanned(docs)
     seen = rows.where(F.size("seen") > 0).select(*ROW, F.explode("seen").alias("s")).select(*ROW, "s.*")
-    edges = seen.select("instance", "known", F.explode("patterns").alias("pattern")).where("pattern not in ('L ', 'LR  _ ')")
-    more = seen.where("not known").join(confident_instances(edges), "instance").select(*ROW, "start", "end", "instance").distinct()
+    edges = seen.select("instance", "known", F.explode("patterns").alias("pattern"))
+    unknown = seen.where("not known").select(*ROW, "start", "end", "instance")
+    more = dealt_join(unknown, confident_instances(edges), "instance").select(*ROW, "start", "end", "instance").distinct()
     # words inside a found run are part of its span
     inside = W.partitionBy(*ROW).orderBy("start", F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
     more = more.withColumn("reach", F.max("end").over(inside)).where("reach is null or end > reach")

@@ -1,9 +1,10 @@
 """Spans of personal data against a plain reading of the patterns, and bootstrapped finds."""
 
 import hashlib
+import random
 import re
 
-from loanloom.llm.pii import redacted, report
+from loanloom.llm.pii import confident_instances, redacted, report
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -54,6 +55,52 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[101]["spans"] == got[102]["spans"] == "" and got[3]["n_email"] == 1
 
 
+def test_contexts_are_whole_words_and_instances_bare(spark):
+    """Words of a context longer than any window, short words, quotes and stops at the edges of an instance."""
+    long = "w" * 5000
+    rows = [(k, f"{k} {long} user{k}@mail.example.com ende") for k in range(12)]
+    rows += [(100, f'{long} "k7".'), (101, f"x{long} k8"), (102, f"go {'v' * 100} k9")]
+    got = {r["doc_id"]: r for r in report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[100]["spans"] == "context:5002:5004"
+    assert got[101]["spans"] == got[102]["spans"] == ""
+
+
+def plain_fixed_point(edges):
+    """Scores by hand: patterns from beliefs, beliefs by noisy or, until nothing rises."""
+    graph = {}
+    for pattern, instance, known in edges:
+        graph[pattern, instance] = max(graph.get((pattern, instance), 0.0), float(known))
+    found = {}
+    while True:
+        beliefs = {}
+        for (pattern, instance), seed in graph.items():
+            beliefs.setdefault(pattern, []).append(max(seed, found.get(instance, 0.0)))
+        good = {p: sum(b) / len(b) for p, b in beliefs.items() if sum(b) >= 5 and sum(b) / len(b) >= 0.8}
+        miss = {}
+        for (pattern, instance), seed in graph.items():
+            if seed == 0 and pattern in good:
+                miss[instance] = miss.get(instance, 1.0) * (1 - min(good[pattern], 0.999999))
+        new = dict(found)
+        for instance, m in miss.items():
+            if 1 - m >= 0.9:
+                new[instance] = max(1 - m, found.get(instance, 0.0))
+        if all(new[i] - found.get(i, 0.0) <= 1e-6 for i in new):
+            return sorted(new)
+        found = new
+
+
+def test_rounds_equal_a_plain_fixed_point(spark):
+    """A random graph in which one pattern and one instance own a third of the edges each."""
+    draw = random.Random(5)
+    known = {k: draw.random() < 0.85 for k in range(150)}
+    edges = [(f"p{draw.randrange(30)}", k, known[k]) for k in range(150) for _ in range(3)]
+    edges += [("hot", k, known[k]) for k in range(150)] + [(f"p{k}", 149, known[149]) for k in range(30)]
+    edges = [(p, str(i), k) for p, i, k in edges]
+    got = confident_instances(spark.createDataFrame(edges, "pattern string, instance string, known boolean")).collect()
+    want = plain_fixed_point(edges)
+    assert want and sorted(r["instance"] for r in got) == want
+
+
 def test_redacted_keeps_columns_and_other_text(spark):
     docs = spark.createDataFrame(
         [(1, "é mail a@b.co, card 4111 1111 1111 1111.", 5), (2, None, 6), (3, "clean", 7), (3, "clean", 7), (4, "1.2.3.4@5.6", 1)],
