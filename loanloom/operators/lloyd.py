@@ -1,7 +1,7 @@
 """K-Means for many (k, seed, start) at once: every pass over the rows serves all fits.
 
-A pass multiplies a block of rows with the centres of all fits together, and sends one row of sums a centre and
-task; so a sweep over k, seeds and starts costs the passes of its slowest fit, not of all fits after each other.
+Rows are packed into blocks once and kept, in as many partitions as their number asks for.  A pass multiplies a block
+with the centres of all fits together, and sends one array of sums a task; so a sweep over k, seeds and starts costs the passes of its slowest fit, not of all fits after each other.
 Fits that have settled leave the passes.  Starting centres are chosen over all rows: each round takes rows with a
 probability in proportion to their squared distance to the centres so far, and the driver weighs the few candidates.
 Whether a row is taken is a function of its values, the seed and the round, never of its partition.
@@ -9,6 +9,7 @@ Whether a row is taken is a function of its values, the seed and the round, neve
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -18,8 +19,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanloom.operators.sums import array_sums
+
 #: Rows of a block, rounds that choose candidates, and candidates a round for each centre wanted.
 BLOCK = 2048
+#: Numbers of a partition, from which on there are more partitions than cores.
+NUMBERS = 1 << 22
+PACKED = "x binary, key binary"
 ROUNDS, OVERSAMPLE = 2, 2
 STEPS, TOLERANCE = 150, 1e-4
 
@@ -56,11 +62,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        x, key = _matrix(batch["x"], width), batch["key"].to_numpy(zero_copy_only=False).view(np.uint64)
-        for at in range(0, len(x), BLOCK):
-            yield x[at : at + BLOCK], key[at : at + BLOCK]
+def _blocks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for x, key in zip(batch["x"], batch["key"], strict=True):
+        yield np.frombuffer(x.as_buffer()).reshape(-1, width), np.frombuffer(key.as_buffer(), np.uint64)
 
 
 def _gaps(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -75,42 +79,45 @@ def _points(df: DataFrame) -> tuple[DataFrame, int]:
     return x.withColumn("key", F.xxhash64("x")), len(first["x"]) if first else 0
 
 
-def _summed(points: DataFrame, width: int, columns: Sequence[str], work: Callable) -> dict[int, list[float]]:
-    """Runs ``work(x, key) -> (ids, values)`` over blocks and adds up the values of each id over all tasks."""
-    names = ["id", *columns]
+def _packed(points: DataFrame, width: int) -> DataFrame:
+    """Blocks of rows and of their keys as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for x, key in _blocks(batches, width):
-            for i, values in work(x, key):
-                total[i] = total[i] + values if i in total else values
-        table = np.array(list(total.values()), float).reshape(len(total), len(columns))
-        arrays = [pa.array(list(total), pa.int32()), *(pa.array(table[:, j]) for j in range(len(columns)))]
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for batch in batches:
+            x, key = _matrix(batch["x"], width), batch["key"].to_numpy(zero_copy_only=False)
+            cuts = range(0, len(x), BLOCK)
+            parts = [[v[at : at + BLOCK].tobytes() for at in cuts] for v in (x, key)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in parts], names=["x", "key"])
+
+    return points.mapInArrow(run, PACKED)
+
+
+def _tasks(points: DataFrame, width: int) -> int:
+    """Partitions for stored points: one a core, more where they would be large, never more than there are."""
+    wanted = max(points.sparkSession.sparkContext.defaultParallelism, math.ceil(points.count() * width / NUMBERS))
+    return min(wanted, points.rdd.getNumPartitions())
+
 
-    ddl = ", ".join(["id int", *(f"{c} double" for c in columns)])
-    rows = points.mapInArrow(run, ddl).groupBy("id").agg(*[F.sum(c).alias(c) for c in columns])
-    return {r["id"]: [r[c] for c in columns] for r in rows.collect()}  # one row a centre
+def _summed(blocks: DataFrame, width: int, work: Callable, tasks: int | None = None) -> np.ndarray:
+    """The sum of the arrays that ``work(x, key)`` gives for each block."""
+    return array_sums(blocks, lambda batch: ((0, work(x, key)) for x, key in _blocks(batch, width)), tasks)[0]
 
 
-def _statistics(points: DataFrame, width: int, centers: Sequence[np.ndarray]) -> list[np.ndarray]:
+def _statistics(blocks: DataFrame, width: int, centers: Sequence[np.ndarray], tasks: int) -> list[np.ndarray]:
     """For each set of centres: rows, squared distance, squared length and coordinate sums of each centre's rows."""
     edges = np.cumsum([0, *map(len, centers)])
     every = np.concatenate(centers)
 
-    def work(x: np.ndarray, _: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def work(x: np.ndarray, _: np.ndarray) -> np.ndarray:
         gaps, taken, least = _gaps(x, every), np.zeros((len(x), len(every))), np.zeros((len(x), len(every)))
         rows = np.arange(len(x))
         for a, b in zip(edges, edges[1:], strict=False):
             nearest = gaps[:, a:b].argmin(1)
             taken[rows, a + nearest] = 1
             least[rows, a + nearest] = gaps[rows, a + nearest]
-        table = np.column_stack([taken.sum(0), least.sum(0), taken.T @ (x * x).sum(1), taken.T @ x])
-        yield from enumerate(table)
+        return np.column_stack([taken.sum(0), least.sum(0), taken.T @ (x * x).sum(1), taken.T @ x]).ravel()
 
-    columns = ["n", "cost", "squares", *(f"s{j}" for j in range(width))]
-    found = _summed(points, width, columns, work)
-    table = np.array([found.get(i, [0.0] * len(columns)) for i in range(len(every))])
+    table = _summed(blocks, width, work, tasks).reshape(len(every), 3 + width)
     return [table[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
@@ -123,16 +130,16 @@ def _draw(key: np.ndarray, salt: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
-def _candidates(points: DataFrame, width: int, fits: Sequence[Fit]) -> list[np.ndarray]:
+def _candidates(points: DataFrame, blocks: DataFrame, width: int, fits: Sequence[Fit], tasks: int) -> list[np.ndarray]:
     """Rows that may become centres, for each fit: the first by hash, then by squared distance over some rounds."""
     seeds = sorted({(f.seed, f.start) for f in fits})
     firsts = points.agg(*[F.min_by("x", F.xxhash64("key", F.lit(f"{seed}/{start}"))).alias(f"f{i}") for i, (seed, start) in enumerate(seeds)]).first()
     sets = [np.array([firsts[f"f{seeds.index((f.seed, f.start))}"]], float) for f in fits]
     for turn in range(ROUNDS):
-        costs = [table[:, 1].sum() for table in _statistics(points, width, sets)]
+        costs = [table[:, 1].sum() for table in _statistics(blocks, width, sets, tasks)]
 
         def taken(batches: Iterator[pa.RecordBatch], sets=sets, costs=costs, turn=turn) -> Iterator[pa.RecordBatch]:
-            for x, key in _blocks(batches, width):
+            for x, key in (block for batch in batches for block in _blocks(batch, width)):
                 for i, (fit, centers, cost) in enumerate(zip(fits, sets, costs, strict=True)):
                     if cost <= 0:
                         continue
@@ -146,7 +153,7 @@ def _candidates(points: DataFrame, width: int, fits: Sequence[Fit]) -> list[np.n
                         )
 
         # about OVERSAMPLE * k rows a fit, each value once
-        found = points.mapInArrow(taken, "fit int, x array<double>").distinct().collect()
+        found = blocks.mapInArrow(taken, "fit int, x array<double>").distinct().collect()
         fresh: dict[int, list] = {}
         for r in sorted(found, key=lambda r: r["x"]):
             fresh.setdefault(r["fit"], []).append(r["x"])
@@ -188,13 +195,16 @@ def fit_all(df: DataFrame, specs: Sequence[tuple[int, int, int]], steps: int = S
         raise ValueError("K-Means needs rows")
     fits = [Fit(k, seed, start, np.zeros((0, width))) for k, seed, start in specs]
     points = points.persist()
+    tasks = _tasks(points, width)
+    blocks = _packed(points.coalesce(tasks), width).persist()
     try:
-        sets = _candidates(points, width, fits)
-        for fit, candidates, table in zip(fits, sets, _statistics(points, width, sets), strict=True):
+        sets = _candidates(points, blocks, width, fits, tasks)
+        points.unpersist()  # the blocks are stored by now
+        for fit, candidates, table in zip(fits, sets, _statistics(blocks, width, sets, tasks), strict=True):
             fit.centers = _weighed(candidates, table[:, 0], fit.k, fit.seed + 1000 * fit.start)
         moving = list(fits)
         while moving:
-            for fit, table in zip(moving, _statistics(points, width, [f.centers for f in moving]), strict=True):
+            for fit, table in zip(moving, _statistics(blocks, width, [f.centers for f in moving], tasks), strict=True):
                 n = table[:, :1]
                 moved = np.where(n > 0, table[:, 3:] / np.maximum(n, 1), fit.centers)
                 shift = ((moved - fit.centers) ** 2).sum(1).max()
@@ -202,10 +212,11 @@ def fit_all(df: DataFrame, specs: Sequence[tuple[int, int, int]], steps: int = S
                 if shift <= tolerance**2:
                     fit.steps = -fit.steps
             moving = [f for f in moving if 0 < f.steps < steps]
-        for fit, table in zip(fits, _statistics(points, width, [f.centers for f in fits]), strict=True):
+        for fit, table in zip(fits, _statistics(blocks, width, [f.centers for f in fits], tasks), strict=True):
             fit.steps = abs(fit.steps)
             fit.sizes, fit.squares, fit.sums, fit.inertia = table[:, 0], table[:, 2], table[:, 3:], float(table[:, 1].sum())
     finally:
+        blocks.unpersist()
         points.unpersist()
     return fits
 
@@ -227,11 +238,11 @@ def quality(df: DataFrame, fits: Sequence[Fit], pairs: Sequence[tuple[int, int]]
     """
     points, width = _points(df)
     edges = np.cumsum([0, *(len(f.centers) for f in fits)])
-    cells = np.cumsum([0, *(len(fits[a].centers) * len(fits[b].centers) for a, b in pairs)]) + edges[-1] + len(fits)
+    cells = np.cumsum([0, *(len(fits[a].centers) * len(fits[b].centers) for a, b in pairs)])
 
-    def work(x: np.ndarray, _: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        labels, lengths, rows = [], (x * x).sum(1), np.arange(len(x))
-        for i, fit in enumerate(fits):
+    def work(x: np.ndarray, _: np.ndarray) -> np.ndarray:
+        labels, scores, scatter, lengths, rows = [], [], [], (x * x).sum(1), np.arange(len(x))
+        for fit in fits:
             label = _gaps(x, fit.centers).argmin(1)
             labels.append(label)
             n = np.maximum(fit.sizes, 1)
@@ -243,25 +254,19 @@ def quality(df: DataFrame, fits: Sequence[Fit], pairs: Sequence[tuple[int, int]]
             other = far.min(1) if len(fit.centers) > 1 else np.full(len(x), np.inf)
             most = np.maximum(own, other)
             score = np.where((size > 1) & np.isfinite(other) & (most > 0), (other - own) / np.where(most > 0, most, 1), 0)
-            yield int(edges[-1] + i), np.array([len(x), score.sum()])
-            gap = np.sqrt(((x - mean[label]) ** 2).sum(1))
-            for j, total in enumerate(np.bincount(label, gap, len(fit.centers))):
-                yield int(edges[i] + j), np.array([total, 0.0])
-        for p, (a, b) in enumerate(pairs):
-            joint = labels[a] * len(fits[b].centers) + labels[b]
-            for j, n in enumerate(np.bincount(joint)):
-                if n:
-                    yield int(cells[p] + j), np.array([n, 0.0])
-
-    found = _summed(points, width, ["a", "b"], work)
+            scores.append(score.sum())
+            scatter.append(np.bincount(label, np.sqrt(((x - mean[label]) ** 2).sum(1)), len(fit.centers)))
+        joint = [np.bincount(labels[a] * len(fits[b].centers) + labels[b], minlength=len(fits[a].centers) * len(fits[b].centers)) for a, b in pairs]
+        return np.concatenate([[len(x)], scores, *scatter, *joint])
+
+    found = _summed(_packed(points, width), width, work)
+    n, score, rest = found[0], found[1 : 1 + len(fits)], found[1 + len(fits) :]
+    scatter, joint = rest[: edges[-1]], rest[edges[-1] :]
     out, tables = [], []
     for i, fit in enumerate(fits):
-        n, score = found[int(edges[-1] + i)]
-        scatter = np.array([found[int(edges[i] + j)][0] for j in range(len(fit.centers))]) / np.maximum(fit.sizes, 1)
-        out.append(Quality(int(n), float(score / n), scatter))
+        out.append(Quality(int(n), float(score[i] / n), scatter[edges[i] : edges[i + 1]] / np.maximum(fit.sizes, 1)))
     for p, (a, b) in enumerate(pairs):
-        shape = len(fits[a].centers), len(fits[b].centers)
-        tables.append(np.array([found.get(int(cells[p] + j), (0.0,))[0] for j in range(shape[0] * shape[1])]).reshape(shape))
+        tables.append(joint[cells[p] : cells[p + 1]].reshape(len(fits[a].centers), len(fits[b].centers)))
     return out, tables
 
 

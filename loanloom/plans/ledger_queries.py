@@ -17,6 +17,7 @@ from loanloom.plans import application_queries as A
 from loanloom.plans import views
 from loanloom.plans.registry import query, rounded
 from loanloom.plans.views import with_views
+from loanloom.session import ensure_checkpoint_dir
 
 # ---------------------------------------------------------------- ledger
 BAND = "case when o_orderkey % 100 < 5 then 'Low' when o_orderkey % 100 < 15 then 'Medium' else 'High' end"
@@ -298,7 +299,9 @@ SEGMENT_FEATURES = ["age_years", "annual_income", "requested_amount", "proposed_
 
 
 def _prepared(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.lite(spark, sf)
+    """Scaled features of all rows; stored once, as the preparation and every fit read them many times."""
+    ensure_checkpoint_dir(spark)
+    rows = A.lite(spark, sf).select("SK_ID_CURR", *SEGMENT_FEATURES).checkpoint()
     scaled = SegmentPreparation(SEGMENT_FEATURES).fit(rows).transform(rows)
     return S.vectors(scaled.withColumnRenamed("SK_ID_CURR", "id"), SEGMENT_FEATURES, ["id"])
 

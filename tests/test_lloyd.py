@@ -86,3 +86,18 @@ def test_sweep_selects_the_real_number_of_groups(spark, blobs):
     assert next(r for r in rows if r["k"] == 4)["stability"] == pytest.approx(1)
     assigned, model, _ = S.select_and_assign(df, range(2, 6), starts=2)
     assert assigned.count() == len(blobs) and len(model.clusterCenters()) == 4
+
+
+def test_passes_take_no_more_tasks_than_cores(spark):
+    """A few rows in many partitions: what a step costs follows from the rows, not from how they came."""
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 3 * 10)]) for i in range(300)], "id int, x array<double>").repartition(64)
+    sc = spark.sparkContext
+    sc.setJobGroup("lloyd-passes", "passes")
+    try:
+        (fit,) = lloyd.fit_all(rows.select(array_to_vector("x").alias("features")), [(3, 1, 0)])
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    last = tracker.getJobInfo(max(tracker.getJobIdsForGroup("lloyd-passes")))
+    assert max(tracker.getStageInfo(s).numTasks for s in last.stageIds) <= sc.defaultParallelism
+    assert fit.sizes.sum() == 300
