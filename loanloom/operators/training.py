@@ -244,13 +244,14 @@ def nested_selection(
 ) -> DataFrame:
     """Per outer fold, family and calibration: metrics on rows that fitted neither model nor calibrator.
 
-    Rows are ranked once for outer folds, calibration slots and inner folds.
+    Rows are ranked once for outer folds, calibration slots and inner folds, and stored in as many partitions as their
+    size asks for, as every step of every fit is a pass over them.
     Assessment predictions of all candidates stay narrow branches over the
     cached rows and are measured in one grouped pass at the end.  ``tune_rows`` bounds the labelled rows of the
     parameter search in each fold; the folds of the search are the same with and without that bound, and every
     model is then fitted to all base rows.
     """
-    placed = df.join(nested_folds(df, "id", "y", folds).drop("y"), "id").persist()
+    placed = df.join(nested_folds(df, "id", "y", folds).drop("y"), "id").checkpoint()
     predictions = None
     for fold in range(folds):
         role = placed.withColumn("_role", fold_role(fold))
@@ -281,7 +282,6 @@ def nested_selection(
     losses = probability_losses(predictions, groups=groups).select(*groups, "brier")
     out = ranks.join(losses, groups).join(inner, groups).checkpoint()  # a few rows, so that the caches can go
     predictions.unpersist()
-    placed.unpersist()
     return out
 
 
