@@ -27,7 +27,7 @@ from loanloom.llm.common import slices
 from loanloom.llm.pieces import BLANK, SEGMENT
 
 LIMIT = 4096
-SLICE_ROWS, SLICE_CHARS = 8192, 24_000_000
+SLICE_ROWS, SLICE_CHARS = 4096, 8_000_000
 SPREAD = 64
 
 FREQUENCIES = pa.schema(

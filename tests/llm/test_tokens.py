@@ -76,3 +76,15 @@ def test_counts_equal_the_library(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert token_counts(empty, MODEL).collect() == [] and encode_report(empty, MODEL).collect() == []
+
+
+def test_slices_of_token_counts_are_small(spark):
+    """Twenty million characters in one task are packed in parts, not as one slice."""
+    import public_tokenizers
+
+    from loanloom.llm import token_counts as C
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    docs = spark.range(40, numPartitions=1).selectExpr("id as doc_id", "repeat('some words here ', 33333) as text")
+    assert C.frequencies(docs, model, 3).select("slice").distinct().count() >= 3
