@@ -219,10 +219,10 @@ def coverage_record(
     )
     supplied = schedules.groupBy(IMPORT, "account_ref").agg(F.count(F.lit(1)).alias("n"))
     accounts = supplied.groupBy(IMPORT).agg(F.count(F.lit(1)).alias("accounts"), F.sum("n").alias("schedules"))
-    # payments are reduced to (import, day) before they meet the import's as_of
+    # reduced to (import, day) before they meet the import's as_of, so an import brings at most a row per calendar day
     per_day = _single_events(payments).groupBy(IMPORT, "paid_date").agg(F.count(F.lit(1)).alias("n"))
     later = (
-        header_join(per_day, imports.select(IMPORT, "as_of"), IMPORT)
+        per_day.join(imports.select(IMPORT, "as_of"), IMPORT)
         .where(F.col("paid_date") > F.col("as_of"))
         .groupBy(IMPORT)
         .agg(F.sum("n").alias("excluded_future_payments"))
