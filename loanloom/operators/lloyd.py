@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from loanloom.operators.sums import array_sums
 
-#: Rows of a block, rounds that choose candidates, and candidates a round for each centre wanted.
-BLOCK = 2048
+#: Rows of a block, and of the slices in which it meets the centres, whose distances stay in a core's cache.
+BLOCK, SLICE = 2048, 512
 #: Numbers of a partition, from which on there are more partitions than cores.
 NUMBERS = 1 << 22
 PACKED = "x binary, key binary"
+#: Rounds that choose candidates, and candidates a round for each centre wanted.
 ROUNDS, OVERSAMPLE = 2, 2
 STEPS, TOLERANCE = 150, 1e-4
 
@@ -92,10 +93,9 @@ def _packed(points: DataFrame, width: int) -> DataFrame:
     return points.mapInArrow(run, PACKED)
 
 
-def _tasks(points: DataFrame, width: int) -> int:
-    """Partitions for stored points: one a core, more where they would be large, never more than there are."""
-    wanted = max(points.sparkSession.sparkContext.defaultParallelism, math.ceil(points.count() * width / NUMBERS))
-    return min(wanted, points.rdd.getNumPartitions())
+def _tasks(rows: int, width: int, cores: int) -> int:
+    """Partitions for stored rows: one a core where each gets a block, more where they would be large."""
+    return max(1, min(cores, math.ceil(rows / BLOCK)), math.ceil(rows * width / NUMBERS))
 
 
 def _summed(blocks: DataFrame, width: int, work: Callable, tasks: int | None = None) -> np.ndarray:
@@ -105,20 +105,34 @@ def _summed(blocks: DataFrame, width: int, work: Callable, tasks: int | None = N
 
 def _statistics(blocks: DataFrame, width: int, centers: Sequence[np.ndarray], tasks: int) -> list[np.ndarray]:
     """For each set of centres: rows, squared distance, squared length and coordinate sums of each centre's rows."""
-    edges = np.cumsum([0, *map(len, centers)])
-    every = np.concatenate(centers)
+    order = sorted(range(len(centers)), key=lambda i: len(centers[i]))  # sets of one size stand together
+    edges = np.cumsum([0, *(len(centers[i]) for i in order)])
+    every = np.concatenate([centers[i] for i in order])
+    far = np.column_stack([-2 * every, (every * every).sum(1)])
+    sizes = [len(centers[i]) for i in order]
+    groups = [(edges[sizes.index(k)], edges[sizes.index(k) + sizes.count(k)], k) for k in sorted(set(sizes))]
 
     def work(x: np.ndarray, _: np.ndarray) -> np.ndarray:
-        gaps, taken, least = _gaps(x, every), np.zeros((len(x), len(every))), np.zeros((len(x), len(every)))
-        rows = np.arange(len(x))
-        for a, b in zip(edges, edges[1:], strict=False):
-            nearest = gaps[:, a:b].argmin(1)
-            taken[rows, a + nearest] = 1
-            least[rows, a + nearest] = gaps[rows, a + nearest]
-        return np.column_stack([taken.sum(0), least.sum(0), taken.T @ (x * x).sum(1), taken.T @ x]).ravel()
+        total = np.zeros((len(every), 3 + width))
+        for at in range(0, len(x), SLICE):
+            part = x[at : at + SLICE]
+            n, lengths, ones = len(part), (part * part).sum(1), np.ones(len(part))
+            gaps, taken = far @ np.column_stack([part, ones]).T, np.empty((len(every), n))  # without the rows' lengths
+            for a, b, k in groups:
+                mine, hit = gaps[a:b].reshape(-1, k, n), taken[a:b].reshape(-1, k, n)
+                least = mine.min(1)
+                np.equal(mine, least[:, None], out=hit)
+                if hit.sum() != least.size:  # the first among equals
+                    hit[:] = mine.argmin(1)[:, None] == np.arange(k)[:, None]
+                total[a:b, 1] += (hit @ np.maximum(least + lengths, 0)[:, :, None]).ravel()
+            found = taken @ np.column_stack([ones, lengths, part])
+            total[:, 0] += found[:, 0]
+            total[:, 2:] += found[:, 1:]
+        return total.ravel()
 
     table = _summed(blocks, width, work, tasks).reshape(len(every), 3 + width)
-    return [table[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+    out = dict(zip(order, (table[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
+    return [out[i] for i in range(len(centers))]
 
 
 def _draw(key: np.ndarray, salt: int) -> np.ndarray:
@@ -195,8 +209,10 @@ def fit_all(df: DataFrame, specs: Sequence[tuple[int, int, int]], steps: int = S
         raise ValueError("K-Means needs rows")
     fits = [Fit(k, seed, start, np.zeros((0, width))) for k, seed, start in specs]
     points = points.persist()
-    tasks = _tasks(points, width)
-    blocks = _packed(points.coalesce(tasks), width).persist()
+    tasks = _tasks(points.count(), width, df.sparkSession.sparkContext.defaultParallelism)
+    # dealt anew where they come in fewer partitions, as small tables do
+    dealt = points.coalesce(tasks) if points.rdd.getNumPartitions() >= tasks else points.repartition(tasks)
+    blocks = _packed(dealt, width).persist()
     try:
         sets = _candidates(points, blocks, width, fits, tasks)
         points.unpersist()  # the blocks are stored by now

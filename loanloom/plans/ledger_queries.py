@@ -298,10 +298,14 @@ def _profiles(spark: SparkSession, sf: str) -> DataFrame:
 SEGMENT_FEATURES = ["age_years", "annual_income", "requested_amount", "proposed_payment_income_ratio", "years_employed"]
 
 
-def _prepared(spark: SparkSession, sf: str) -> DataFrame:
-    """Scaled features of all rows; stored once, as the preparation and every fit read them many times."""
+def _stored(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """Segment features of all rows, and columns beside them; stored once, as many steps read them."""
     ensure_checkpoint_dir(spark)
-    rows = A.lite(spark, sf).select("SK_ID_CURR", *SEGMENT_FEATURES).checkpoint()
+    return A.lite(spark, sf).select("SK_ID_CURR", *SEGMENT_FEATURES, *more).checkpoint()
+
+
+def _prepared(rows: DataFrame) -> DataFrame:
+    """Scaled features of all rows."""
     scaled = SegmentPreparation(SEGMENT_FEATURES).fit(rows).transform(rows)
     return S.vectors(scaled.withColumnRenamed("SK_ID_CURR", "id"), SEGMENT_FEATURES, ["id"])
 
@@ -320,16 +324,16 @@ def _preparation(spark: SparkSession, sf: str) -> DataFrame:
 SWEPT = "k int, rows bigint, silhouette double, inertia double, minimum_share double, davies_bouldin double, stability double"
 
 
-def swept(spark: SparkSession, sf: str) -> DataFrame:
+def swept(points: DataFrame) -> DataFrame:
     """Diagnostics of every k over all rows, with the operator's own starts and seeds."""
-    found = S.sweep(_prepared(spark, sf), range(2, 8))
+    found = S.sweep(points, range(2, 8))
     names = [f.split()[0] for f in SWEPT.split(", ")]
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in found], SWEPT)
+    return points.sparkSession.createDataFrame([tuple(r[n] for n in names) for r in found], SWEPT)
 
 
 @query("segment_k_sweep")
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return swept(spark, sf)
+    return swept(_prepared(_stored(spark, sf)))
 
 
 @query("segment_sweep_facts", with_views(
@@ -337,16 +341,17 @@ def _sweep(spark: SparkSession, sf: str) -> DataFrame:
 def _sweep_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that the sweep has labelled, values within bounds, no inertia above that of one centre."""
     x = vector_to_array("features")
-    n, *spreads = _prepared(spark, sf).agg(F.count(F.lit(1)), *[F.var_pop(x[i]) for i in range(len(SEGMENT_FEATURES))]).first()
+    points = _prepared(_stored(spark, sf))
+    n, *spreads = points.agg(F.count(F.lit(1)), *[F.var_pop(x[i]) for i in range(len(SEGMENT_FEATURES))]).first()
     compact = (F.col("inertia") <= n * sum(spreads) + 1e-6) & F.col("silhouette").between(-1, 1) & (F.col("davies_bouldin") > 0)
     fit = F.col("minimum_share").between(0, 1 / F.col("k")) & F.col("stability").between(-1, 1)
-    return swept(spark, sf).select("k", "rows", compact.alias("compact"), fit.alias("shares_fit"))
+    return swept(points).select("k", "rows", compact.alias("compact"), fit.alias("shares_fit"))
 
 
 @query("segment_rules")
 def _segment_rules(spark: SparkSession, sf: str) -> DataFrame:
     """What each release rule chooses of a sweep; null where it refuses all."""
-    found = S.sweep(_prepared(spark, sf), range(2, 8))
+    found = S.sweep(_prepared(_stored(spark, sf)), range(2, 8))
     rows = []
     for rule in (S.choose_by_silhouette, S.choose_by_compactness):
         try:
@@ -357,7 +362,7 @@ def _segment_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def assigned(spark: SparkSession, sf: str) -> tuple[DataFrame, Fit]:
-    points = _prepared(spark, sf)
+    points = _prepared(_stored(spark, sf))
     model = S.fit_kmeans(points, 4, starts=S.STARTS)
     return model.transform(points), model
 
@@ -390,8 +395,9 @@ SEGMENT_MEASURES = {
 
 def released(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
     """k chosen by the compactness rule, assigned to all rows, segments profiled."""
-    assigned, model, _ = S.select_and_assign(_prepared(spark, sf), rule=S.choose_by_compactness, stability=False)
-    rows = A.lite(spark, sf).join(assigned.withColumnRenamed("id", "SK_ID_CURR"), "SK_ID_CURR")
+    stored = _stored(spark, sf, "household_size")
+    assigned, model, _ = S.select_and_assign(_prepared(stored), rule=S.choose_by_compactness, stability=False)
+    rows = stored.join(assigned.withColumnRenamed("id", "SK_ID_CURR"), "SK_ID_CURR")
     return S.segment_profiles(rows, "cluster", SEGMENT_MEASURES), assigned, len(model.centers)
 
 

@@ -101,3 +101,33 @@ def test_passes_take_no_more_tasks_than_cores(spark):
     last = tracker.getJobInfo(max(tracker.getJobIdsForGroup("lloyd-passes")))
     assert max(tracker.getStageInfo(s).numTasks for s in last.stageIds) <= sc.defaultParallelism
     assert fit.sizes.sum() == 300
+
+
+def test_passes_use_the_cores_though_rows_come_in_one_partition(spark):
+    """Rows that small tables leave in few partitions are dealt over the cores, a block each at least."""
+    rows = spark.range(4 * lloyd.BLOCK).selectExpr("array(double(id % 7), double(id % 3 * 10)) x").coalesce(1)
+    sc = spark.sparkContext
+    sc.setJobGroup("lloyd-cores", "cores")
+    try:
+        (fit,) = lloyd.fit_all(rows.select(array_to_vector("x").alias("features")), [(3, 1, 0)])
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    last = tracker.getJobInfo(max(tracker.getJobIdsForGroup("lloyd-cores")))
+    assert max(tracker.getStageInfo(s).numTasks for s in last.stageIds) == min(sc.defaultParallelism, 4)
+    assert fit.sizes.sum() == 4 * lloyd.BLOCK
+
+
+def test_statistics_of_many_sets_with_equal_centres(spark):
+    """Sets of different sizes keep their order; a row between equal centres counts for the first."""
+    rng = np.random.default_rng(5)
+    rows = np.concatenate([rng.normal(0, 2, (700, 2)), [[1.0, 0.0]] * 5])
+    sets = [rng.normal(0, 2, (3, 2)), np.array([[1.0, 0.0], [1.0, 0.0]]), rng.normal(0, 2, (1, 2)), rng.normal(0, 2, (3, 2))]
+    points, width = lloyd._points(frame(spark, rows, 2))
+    for centers, table in zip(sets, lloyd._statistics(lloyd._packed(points, width), width, sets, 2), strict=True):
+        gaps = ((rows[:, None] - centers[None]) ** 2).sum(2)
+        nearest = gaps.argmin(1)
+        for j in range(len(centers)):
+            mine = rows[nearest == j]
+            expected = [len(mine), gaps[nearest == j, j].sum(), (mine**2).sum(), *mine.sum(0)]
+            assert np.allclose(table[j], expected)
