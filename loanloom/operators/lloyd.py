@@ -1,7 +1,9 @@
 """K-Means for many (k, seed, start) at once: every pass over the rows serves all fits.
 
-Rows are packed into blocks once and kept, in as many partitions as their number asks for.  A pass multiplies a block
-with the centres of all fits together, and sends one array of sums a task; so a sweep over k, seeds and starts costs the passes of its slowest fit, not of all fits after each other.
+Rows are packed into blocks once and kept, in as many partitions as their number asks for, as an RDD: passes are many
+and short, and one over a DataFrame costs its plan again.  A pass multiplies a block with the centres of all fits
+together, and sends one array of sums a task; so a sweep over k, seeds and starts costs the passes of its slowest fit,
+not of all fits after each other.
 Fits that have settled leave the passes.  Starting centres are chosen over all rows: each round takes rows with a
 probability in proportion to their squared distance to the centres so far, and the driver weighs the few candidates.
 Whether a row is taken is a function of its values, the seed and the round, never of its partition.
@@ -10,27 +12,33 @@ Whether a row is taken is a function of its values, the seed and the round, neve
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
-import pyarrow as pa
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from loanloom.operators.sums import array_sums
+from loanloom.operators.sums import FAN_IN
 
 #: Rows of a block, and of the slices in which it meets the centres, whose distances stay in a core's cache.
 BLOCK, SLICE = 2048, 512
 #: Numbers of a partition, from which on there are more partitions than cores.
 NUMBERS = 1 << 22
-PACKED = "x binary, key binary"
 #: Rounds that choose candidates, and candidates a round for each centre wanted.
 ROUNDS, OVERSAMPLE = 2, 2
 STEPS, TOLERANCE = 150, 1e-4
 
 
+def _array(vector: str) -> Column:
+    # imported here, as tasks read this module and need no ML
+    from pyspark.ml.functions import vector_to_array
+
+    return vector_to_array(vector)
+
+
 @dataclass
 class Fit:
     """One fit: its centres, the rows and the squared distances of each."""
@@ -56,16 +64,12 @@ class Fit:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with the ``cluster`` of its ``features`` vector."""
-        return df.withColumn("cluster", self.label(vector_to_array("features")))
-
+        return df.withColumn("cluster", self.label(_array("features")))
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
-
-def _blocks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for x, key in zip(batch["x"], batch["key"], strict=True):
-        yield np.frombuffer(x.as_buffer()).reshape(-1, width), np.frombuffer(key.as_buffer(), np.uint64)
+def _blocks(rows: Iterable[tuple[bytes, bytes]], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for x, key in rows:
+        yield np.frombuffer(x).reshape(-1, width), np.frombuffer(key, np.uint64)
 
 
 def _gaps(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -75,22 +79,20 @@ def _gaps(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 def _points(df: DataFrame) -> tuple[DataFrame, int]:
     """Rows as arrays ``x`` and a ``key`` that equal rows share; the number of dimensions."""
-    x = df.select(vector_to_array("features").alias("x"))
+    x = df.select(_array("features").alias("x"))
     first = x.first()
     return x.withColumn("key", F.xxhash64("x")), len(first["x"]) if first else 0
 
 
-def _packed(points: DataFrame, width: int) -> DataFrame:
+def _packed(points: DataFrame, width: int) -> RDD:
     """Blocks of rows and of their keys as bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, key = _matrix(batch["x"], width), batch["key"].to_numpy(zero_copy_only=False)
-            cuts = range(0, len(x), BLOCK)
-            parts = [[v[at : at + BLOCK].tobytes() for at in cuts] for v in (x, key)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in parts], names=["x", "key"])
+    def run(rows: Iterator[Row]) -> Iterator[tuple[bytes, bytes]]:
+        while part := list(islice(rows, BLOCK)):
+            x, key = np.array([r[0] for r in part], float), np.array([r[1] for r in part], np.int64)
+            yield x.reshape(-1, width).tobytes(), key.tobytes()
 
-    return points.mapInArrow(run, PACKED)
+    return points.rdd.mapPartitions(run)  # one Python worker a task: blocks are made and met by the same
 
 
 def _tasks(rows: int, width: int, cores: int) -> int:
@@ -98,12 +100,24 @@ def _tasks(rows: int, width: int, cores: int) -> int:
     return max(1, min(cores, math.ceil(rows / BLOCK)), math.ceil(rows * width / NUMBERS))
 
 
-def _summed(blocks: DataFrame, width: int, work: Callable, tasks: int | None = None) -> np.ndarray:
-    """The sum of the arrays that ``work(x, key)`` gives for each block."""
-    return array_sums(blocks, lambda batch: ((0, work(x, key)) for x, key in _blocks(batch, width)), tasks)[0]
+def _added(arrays: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    total = None
+    for value in arrays:
+        total = value if total is None else total + value
+    if total is not None:
+        yield total
+
+
+def _summed(blocks: RDD, width: int, work: Callable, tasks: int | None = None) -> np.ndarray:
+    """The sum of the arrays that ``work(x, key)`` gives for each block; the driver sees at most ``FAN_IN`` of them."""
+    sums = blocks.mapPartitions(lambda rows: _added(work(x, key) for x, key in _blocks(rows, width)))
+    if (tasks or blocks.getNumPartitions()) > FAN_IN:
+        spread = sums.mapPartitionsWithIndex(lambda i, arrays: ((i % FAN_IN, a) for a in arrays))
+        sums = spread.reduceByKey(lambda a, b: a + b, FAN_IN).values().mapPartitions(_added)
+    return next(_added(sums.collect()))
 
 
-def _statistics(blocks: DataFrame, width: int, centers: Sequence[np.ndarray], tasks: int) -> list[np.ndarray]:
+def _statistics(blocks: RDD, width: int, centers: Sequence[np.ndarray], tasks: int) -> list[np.ndarray]:
     """For each set of centres: rows, squared distance, squared length and coordinate sums of each centre's rows."""
     order = sorted(range(len(centers)), key=lambda i: len(centers[i]))  # sets of one size stand together
     edges = np.cumsum([0, *(len(centers[i]) for i in order)])
@@ -144,7 +158,7 @@ def _draw(key: np.ndarray, salt: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
-def _candidates(points: DataFrame, blocks: DataFrame, width: int, fits: Sequence[Fit], tasks: int) -> list[np.ndarray]:
+def _candidates(points: DataFrame, blocks: RDD, width: int, fits: Sequence[Fit], tasks: int) -> list[np.ndarray]:
     """Rows that may become centres, for each fit: the first by hash, then by squared distance over some rounds."""
     seeds = sorted({(f.seed, f.start) for f in fits})
     firsts = points.agg(*[F.min_by("x", F.xxhash64("key", F.lit(f"{seed}/{start}"))).alias(f"f{i}") for i, (seed, start) in enumerate(seeds)]).first()
@@ -152,25 +166,22 @@ def _candidates(points: DataFrame, blocks: DataFrame, width: int, fits: Sequence
     for turn in range(ROUNDS):
         costs = [table[:, 1].sum() for table in _statistics(blocks, width, sets, tasks)]
 
-        def taken(batches: Iterator[pa.RecordBatch], sets=sets, costs=costs, turn=turn) -> Iterator[pa.RecordBatch]:
-            for x, key in (block for batch in batches for block in _blocks(batch, width)):
+        def taken(rows: Iterable[tuple[bytes, bytes]], sets=sets, costs=costs, turn=turn) -> Iterator[tuple[int, tuple]]:
+            for x, key in _blocks(rows, width):
                 for i, (fit, centers, cost) in enumerate(zip(fits, sets, costs, strict=True)):
                     if cost <= 0:
                         continue
                     chance = _gaps(x, centers).min(1) * (OVERSAMPLE * fit.k / cost)
                     salt = hash((fit.seed, fit.start, fit.k, turn))
                     hit = np.flatnonzero(_draw(key, salt) < chance)
-                    if len(hit):
-                        rows = np.unique(x[hit], axis=0)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([i] * len(rows), pa.int32()), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["fit", "x"]
-                        )
+                    for row in np.unique(x[hit], axis=0).tolist():
+                        yield i, tuple(row)
 
         # about OVERSAMPLE * k rows a fit, each value once
-        found = blocks.mapInArrow(taken, "fit int, x array<double>").distinct().collect()
+        found = blocks.mapPartitions(taken).distinct(min(tasks, FAN_IN)).collect()
         fresh: dict[int, list] = {}
-        for r in sorted(found, key=lambda r: r["x"]):
-            fresh.setdefault(r["fit"], []).append(r["x"])
+        for i, x in sorted(found, key=lambda r: r[1]):
+            fresh.setdefault(i, []).append(x)
         sets = [np.unique(np.concatenate([s, np.array(fresh[i], float)]), axis=0) if i in fresh else s for i, s in enumerate(sets)]
     return sets
 
@@ -212,7 +223,7 @@ def fit_all(df: DataFrame, specs: Sequence[tuple[int, int, int]], steps: int = S
     tasks = _tasks(points.count(), width, df.sparkSession.sparkContext.defaultParallelism)
     # dealt anew where they come in fewer partitions, as small tables do
     dealt = points.coalesce(tasks) if points.rdd.getNumPartitions() >= tasks else points.repartition(tasks)
-    blocks = _packed(dealt, width).persist()
+    blocks = _packed(dealt, width).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sets = _candidates(points, blocks, width, fits, tasks)
         points.unpersist()  # the blocks are stored by now

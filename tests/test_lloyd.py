@@ -131,3 +131,36 @@ def test_statistics_of_many_sets_with_equal_centres(spark):
             mine = rows[nearest == j]
             expected = [len(mine), gaps[nearest == j, j].sum(), (mine**2).sum(), *mine.sum(0)]
             assert np.allclose(table[j], expected)
+
+
+def test_passes_cost_no_plan_of_their_own(spark, blobs, monkeypatch):
+    """Steps read the stored blocks, so their number does not add to the frames that are planned and collected."""
+    df, seen = frame(spark, blobs), []
+    kind = type(df)
+    collect, pack = kind.collect, lloyd._packed
+    monkeypatch.setattr(kind, "collect", lambda self: seen.append(1) or collect(self))
+    counts = []
+    for steps in (1, 150):
+        (fit,) = lloyd.fit_all(df, [(6, 42, 0)], steps)
+        counts.append((fit.steps, len(seen)))
+        seen.clear()
+    assert counts[0][0] == 1 < counts[1][0] and counts[0][1] == counts[1][1]
+    points, width = lloyd._points(df)
+    whole = np.concatenate([x for x, _ in lloyd._blocks(pack(points, width).collect(), width)])
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, blobs))
+
+
+def test_sums_of_many_partitions_meet_before_the_driver(spark, blobs):
+    points, width = lloyd._points(frame(spark, blobs, 40))
+    blocks = lloyd._packed(points, width)
+    assert blocks.getNumPartitions() == 40
+    found = lloyd._summed(blocks, width, lambda x, key: np.array([len(x), x.sum(), len(np.unique(key))], float))
+    assert found == pytest.approx([len(blobs), blobs.sum(), len(blobs)])
+
+
+def test_tasks_that_read_the_fits_need_no_ml():
+    import subprocess
+    import sys
+
+    code = "import sys, loanloom.operators.lloyd; sys.exit('pyspark.ml' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=lloyd.__file__.rsplit("/loanloom/", 1)[0]).returncode == 0
