@@ -93,10 +93,12 @@ def installment_status(imports: DataFrame, schedules: DataFrame, payments: DataF
     daily = daily_totals(events, KEYS, "paid_date", "_minor")
     owed = schedules.select(*KEYS, "due_date", to_minor(F.col("amount")).alias("_owed"))
     due = (
-        header_join(owed, header, IMPORT, deal=KEYS)
+        header_join(owed, header, IMPORT, deal=KEYS, tasks=tasks)
         .withColumn("as_of", F.col("_header.as_of"))
         .where((F.col("_header.window_start") <= F.col("due_date")) & (F.col("due_date") < F.col("as_of")))
     )
+    if tasks:  # as the events are, so that neither side is dealt again by the session's number
+        due = due.repartition(tasks, *KEYS)
     settled = settle(
         due, daily, KEYS, due_day="due_date", due_amount="_owed", day="paid_date", amount="_minor", tolerance=TOLERANCE,
         until="as_of",

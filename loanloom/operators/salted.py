@@ -40,19 +40,26 @@ def _known(keys: Sequence[str]) -> Column:
 
 def header_join(
     facts: DataFrame, headers: DataFrame, keys: str | Sequence[str], how: str = "inner", share: float = SHARE,
-    deal: Sequence[str] | None = None,
+    deal: Sequence[str] | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """``facts`` joined to ``headers`` on ``keys``, which are unique in ``headers``; ``how`` is ``inner`` or ``left``.
 
     A heavy key's facts are dealt by a hash of ``deal`` (all columns by default), so a task that runs again deals
     them alike; facts that are equal in those columns stay together.  Without a heavy key it is a plain join.
+    ``tasks`` deals both sides over so many tasks, for facts that are many for the session's shuffles.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"Only inner and left joins: {how}")
     keys = [keys] if isinstance(keys, str) else list(keys)
+
+    def met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        if tasks:  # a number that is asked for is neither lowered nor merged
+            left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
+        return left.join(right, on, how)
+
     heavy = heavy_keys(facts, keys, share)
     if not heavy:
-        return facts.join(headers, keys, how)
+        return met(facts, headers, keys)
     schema = facts.select(*keys).schema.add(PARTS, T.IntegerType())
     parts = F.broadcast(facts.sparkSession.createDataFrame(heavy, schema))  # at most 1 / share rows
     marked, repeated = facts.join(parts, keys, "left"), headers.join(parts, keys, "left")
@@ -60,4 +67,4 @@ def header_join(
     every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(PARTS), F.lit(1)) - 1))
     left = marked.withColumn(PART, part).drop(PARTS)
     right = repeated.withColumn(PART, every).drop(PARTS)
-    return left.join(right, [*keys, PART], how).drop(PART)
+    return met(left, right, [*keys, PART]).drop(PART)

@@ -63,3 +63,45 @@ def test_events_and_obligations_are_dealt_by_the_lines(spark, tmp_path, monkeypa
     for job, rows in zip(jobs, plain, strict=True):
         assert "hashpartitioning" in (plan := job()._jdf.queryExecution().executedPlan().toString()) and plan.count("REPARTITION_BY_NUM") >= 4
         assert sorted(map(str, job().collect())) == rows and len(rows) >= 100
+
+
+def test_more_shuffle_partitions_leave_the_lines_dealt(spark, tmp_path, monkeypatch):
+    """Shuffles that the session sizes are merged into few tasks; obligations and events must not depend on them."""
+    import re
+
+    from loanloom.plans import repayment_queries as Q
+
+    day = dt.date(1997, 1, 1)
+    lines = [(o, n, o * 7, o % 5, day + dt.timedelta(days=o + n * (o % 3)), 10.0 + n) for o in range(200) for n in (1, 1, 2)]
+    ddl = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date, l_extendedprice double"
+    spark.createDataFrame(lines, ddl).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, o % 9, day) for o in range(200)], "o_orderkey long, o_custkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(c,) for c in range(9)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    plain = sorted(map(str, Q.metrics(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(views, "TASK_LINES", 60)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert views.line_tasks(spark, str(tmp_path)) == 10
+        status = Q.status(spark, str(tmp_path))
+        plan = status._jdf.queryExecution().executedPlan().toString()
+        own = re.findall(r"hashpartitioning\(([^)]*)\), ENSURE_REQUIREMENTS", plan)
+        assert not [keys for keys in own if "import_id" in keys or "account_ref" in keys], own
+        assert sorted(map(str, Q.metrics(spark, str(tmp_path)).collect())) == plain and len(plain) == 9
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_headers_meet_facts_in_the_tasks_asked_for(spark):
+    from loanloom.operators.salted import header_join
+
+    facts = spark.createDataFrame([(k, i) for i in range(300) for k in (0 if i % 2 else i, None)], "k long, v long")
+    headers = spark.createDataFrame([(k, k * 10) for k in range(0, 300, 3)], "k long, h long")
+    for share in (0.01, 0.9):  # with a heavy key and without
+        for how in ("inner", "left"):
+            plain = sorted(map(str, header_join(facts, headers, "k", how, share, deal=["v"]).collect()))
+            dealt = header_join(facts, headers, "k", how, share, deal=["v"], tasks=7)
+            assert sorted(map(str, dealt.collect())) == plain and len(plain) > 100
+            assert dealt._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
