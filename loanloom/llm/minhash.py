@@ -5,13 +5,17 @@ minima of universal hashes (multiply-shift on 64 bits); equal bands make candida
 shares no band with probability (1 - 0.8**4)**32 < 5e-8.  Candidates are first held against their signatures and
 then confirmed on the full shingle sets.  No bucket is expanded into all its pairs:
 
-1. every document meets the smallest member of one of its buckets; components are taken;
-2. buckets that overlap make families; the members of a family that are still in different components meet in
+1. the members of a bucket are tied by their signatures: a forest that reaches whatever a chain of likely pairs reaches.
+   A bucket of more than ``COMMON`` members ties all of them to its smallest;
+2. every document meets the smallest one it is tied to; components are taken;
+3. ties make families; the members of a family that are still in different components meet in
    blocks of ``BLOCK`` documents ordered by component and set size.  Two blocks of one component, or of sizes too far
    apart, are skipped, and a pair of blocks gives one link for each two components it joins.
 
 What shares a family and a component needs no comparison, so a large group of near copies costs one comparison a
-member and its stragglers a few matrix products, while no link between different components is left out.
+member and its stragglers a few matrix products, while no link between different components is left out.  Documents
+that share a bucket by chance, of which there are ever more the larger the table, are tied to nothing, and no set of
+theirs is made.  What a step has stored is deleted when the last step that reads it has ended.
 """
 
 from __future__ import annotations
@@ -26,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanloom.llm.common import cut, numbered, slices
+from loanloom.llm.common import cut, forget, numbered, shuffles_freed, slices
 from loanloom.llm.components import components
 
 ROWS, BANDS = 4, 32
 #: Signatures that agree in fewer places rule a pair out; for similarity 0.8 that is 7 standard deviations off.
 LEAST_AGREEMENT = 0.55
 BLOCK = 128
+#: Members of a bucket up to which all of them are held against each other by signature.
+COMMON = 1024
 _draws = np.random.default_rng(7)
 MULTIPLIERS = _draws.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _draws.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
@@ -129,20 +135,96 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("doc_id", "signature").mapInArrow(run, "doc_id bigint, bucket bigint")
 
 
+SKETCHED = pa.schema([("doc_id", pa.int64()), ("sketch", pa.binary())])
+TIES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def sketched(signatures: DataFrame) -> DataFrame:
+    """``doc_id, sketch``: the low byte of each place of a signature, by which unlike places agree once in 256."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 4096):
+            low = [(np.frombuffer(s, np.uint32) & np.uint32(255)).astype(np.uint8).tobytes() for s in part["signature"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(low, pa.binary())], schema=SKETCHED)
+
+    return signatures.select("doc_id", "signature").mapInArrow(run, "doc_id bigint, sketch binary")
+
+
+def _forest(sketches: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of rows, each agreeing in enough places, that join what any such pairs join."""
+    left = np.arange(len(sketches))
+    while len(left) > 1:
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            row = reached.pop()
+            alike = (sketches[left] == sketches[row]).mean(axis=1) >= LEAST_AGREEMENT
+            for other in left[alike]:
+                yield row, other
+            reached.extend(left[alike])
+            left = left[~alike]
+
+
+def _ties(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Ties ``u, v`` (u > v) of whole buckets."""
+    buckets, ids = rows["bucket"].to_numpy(), rows["doc_id"].to_numpy()
+    sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, ROWS * BANDS)
+    starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+    sizes = np.diff(np.r_[starts, len(ids)])
+    least = np.repeat(starts, sizes)
+    alike = (sketches == sketches[least]).mean(axis=1) >= LEAST_AGREEMENT
+    mixed = (np.add.reduceat(~alike, starts) > 0) & (sizes > 2)
+    star = np.flatnonzero(alike & ~np.repeat(mixed, sizes) & (least != np.arange(len(ids))))
+    one, other = [star], [least[star]]
+    for start, size in zip(starts[mixed], sizes[mixed], strict=True):
+        found = np.array([*_forest(sketches[start : start + size])], np.int64).reshape(-1, 2) + start
+        one.append(found[:, 0])
+        other.append(found[:, 1])
+    one, other = ids[np.concatenate(one)], ids[np.concatenate(other)]
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))], schema=TIES)
+
+
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties from rows ``bucket, doc_id, sketch`` in this order of the first two."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        buckets = rows["bucket"].to_numpy()
+        whole = int(np.searchsorted(buckets, buckets[-1]))
+        if whole:
+            yield _ties(rows.slice(0, whole))
+        held = rows.slice(whole)  # its bucket may go on
+    if held is not None:
+        yield _ties(held)
+
+
+def ties(members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """``u, v`` (u > v) that join what shares a bucket of ``members`` (bucket, doc_id, least, n) and is alike by signature."""
+    common = members.where(f"n > {COMMON} and doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    rows = members.where(f"n <= {COMMON}").select("bucket", "doc_id").join(sketched(signatures), "doc_id")
+    rows = rows.select("bucket", "doc_id", "sketch").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    return rows.mapInArrow(_tied, "u bigint, v bigint").unionByName(common).distinct()
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, class_key, shingles``: the sorted set as bytes of 64-bit numbers."""
+    """``doc_id, class_key, shingles`` of those rows (doc_id, text, class_key) whose set has that key: the sorted set as
+    bytes of 64-bit numbers.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("class_key", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for part in slices(batches):
-            sets = [shingle_set(text, width, hashes).tobytes() for text in part["text"].to_pylist()]
-            keys = [xxhash.xxh3_128_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [part["doc_id"].cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], schema=schema
-            )
+            out: list[list] = [[], [], []]
+            for doc_id, text, key in zip(*(part[c].to_pylist() for c in ("doc_id", "text", "class_key")), strict=True):
+                shingles = shingle_set(text, width, hashes)
+                if xxhash.xxh3_128_digest(shingles) == key:
+                    for column, value in zip(out, (doc_id, key, shingles.tobytes()), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, class_key binary, shingles binary")
+    return docs.select("doc_id", "text", "class_key").mapInArrow(run, "doc_id bigint, class_key binary, shingles binary")
 
 
 @F.pandas_udf(T.BooleanType())
@@ -200,34 +282,53 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 8, denomin
     an id and a text give equal rows; where one id has different texts and is the smallest id of each, one of those
     texts stands for all of them.
     """
+    with shuffles_freed(docs.sparkSession):
+        stored = _stored(docs, width, numerator, denominator)
+    return _labelled(*stored)
+
+
+def _stored(docs: DataFrame, width: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``doc_id, n_shingles, class_key`` of all rows, ``class_key, doc_id`` of the classes, ``node, component`` of the linked."""
     rows = cut(signed(docs, width))
     usable = rows.where("doc_id is not null and class_key is not null")
     # rows of one class have one signature
     classes = cut(usable.groupBy("class_key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")))
+    thin = cut(rows.select("doc_id", "n_shingles", "class_key"))
+    forget(rows)
     shown, doubled = classes, classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("class_key").alias("class_key")).where("n > 1")
     if not doubled.isEmpty():
         other = classes.join(doubled.select("doc_id", F.col("class_key").alias("_first")), "doc_id").where("class_key <> _first")
         shown = classes.join(other.select("class_key"), "class_key", "left_anti")
     buckets = banded(shown)
-    shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    members = cut(buckets.join(shared.select("bucket", "least"), "bucket"))
-    firsts = members.where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    involved = members.select("doc_id").distinct()
-    signatures = cut(shown.join(involved, "doc_id", "left_semi"))
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = plain.join(involved, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
-    sets = shingle_sets(texts, width).join(signatures.select("doc_id", "class_key"), ["doc_id", "class_key"], "left_semi")
-    sets = cut(sets)
-    judge = _Judge(signatures, sets, numerator, denominator)
-
-    links = cut(judge.confirm(firsts.groupBy("u").agg(F.min("v").alias("v"))))
-    families, found = cut(components(firsts)), cut(components(links))
+    shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
+    members = cut(buckets.join(shared.where("least < most").select("bucket", "least", "n"), "bucket"))
+    signatures = cut(shown.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    named = cut(classes.select("class_key", "doc_id"))
+    forget(classes)
+    tied = cut(ties(members, signatures))
+    forget(members)
+    sets = cut(_sets(docs, tied, signatures, width))
+
+    links = cut(_Judge(signatures, sets, numerator, denominator).confirm(tied.groupBy("u").agg(F.min("v").alias("v"))))
+    forget(signatures)
+    families, found = cut(components(tied)), cut(components(links))
+    forget(tied)
     more = _between_components(families, found, sets, numerator, denominator)
-    return _labelled(rows, classes, components(links.unionByName(more)))
+    forget(sets, families, found)
+    return thin, named, components(links.unionByName(more))
+
+
+def _sets(docs: DataFrame, tied: DataFrame, signatures: DataFrame, width: int) -> DataFrame:
+    """``shingle_sets`` of the classes in ``tied``."""
+    ends = tied.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    keys = signatures.select("doc_id", "class_key").join(ends, "doc_id", "left_semi")
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = plain.join(keys, "doc_id").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
+    return shingle_sets(texts, width)
 
 
 def _between_components(families: DataFrame, found: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Links ``u, v`` that join components of ``found`` within a family: one at least for each two that are linked."""
+    """Links ``u, v`` that join components of ``found`` within a family, stored: one at least for each two that are linked."""
     of_node = found.select(F.col("node").alias("doc_id"), "component")
     placed = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(of_node, "doc_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
@@ -247,7 +348,9 @@ def _between_components(families: DataFrame, found: DataFrame, sets: DataFrame,
     blocks = cut(rows.join(sets.select("doc_id", "shingles"), "doc_id").groupBy("block").agg(F.collect_list(member).alias("docs")))
     both = pairs.join(blocks.select(F.col("block").alias("i"), F.col("docs").alias("left")), "i")
     both = both.join(blocks.select(F.col("block").alias("j"), F.col("docs").alias("right")), "j")
-    return both.select("left", "right").mapInArrow(_block_links(numerator, denominator), "u bigint, v bigint")
+    links = cut(both.select("left", "right").mapInArrow(_block_links(numerator, denominator), "u bigint, v bigint"))
+    forget(blocks, pairs)
+    return links
 
 
 def _block_links(numerator: int, denominator: int):
@@ -284,8 +387,7 @@ def _block_links(numerator: int, denominator: int):
 
 
 def _labelled(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    thin = rows.select("doc_id", "n_shingles", "class_key")
-    named = thin.join(classes.select("class_key", F.col("doc_id").alias("rep")), "class_key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    named = rows.join(classes.select("class_key", F.col("doc_id").alias("rep")), "class_key", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     out = named.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -1,12 +1,18 @@
 """Near duplicates against brute force."""
 
 import random
+import time
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loanloom.llm import minhash
 from loanloom.llm.components import components
 from loanloom.llm.minhash import deduplicated, near_duplicates
+from loanloom.session import ensure_checkpoint_dir
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -100,3 +106,79 @@ def test_components_of_chains_and_cycles(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (95, 100), (7, 7), (None, 4), (200, 150), (150, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 90: 90, 95: 90, 100: 90, 150: 150, 200: 150}
+
+
+def chance_meetings(pairs):
+    """Pairs of texts that share about 0.4 of their words' pairs and so, often, a bucket; and one near copy."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(pairs):
+        common = [f"c{k}x{i}" for i in range(60)]
+        rows += [(10 * k + side, " ".join(common + [f"s{k}x{side}x{i}" for i in range(45)])) for side in (0, 1)]
+    words = rows[6][1].split()
+    words[rng.randrange(len(words))] = "other"
+    return [*rows, (10**6, " ".join(words))]
+
+
+def test_sets_are_made_of_what_signatures_tie_alone(spark, monkeypatch):
+    seen = []
+    made = minhash.shingle_sets
+    monkeypatch.setattr(minhash, "shingle_sets", lambda docs, width: seen.append(docs.select("doc_id").collect()) or made(docs, width))
+    rows = chance_meetings(150)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), 2, 80, 100).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 2, 80, 100))
+    assert {r["doc_id"] for r in seen[0]} <= {30, 31, 10**6} and len(seen) == 1
+
+
+def test_stored_rows_and_shuffles_go_when_read(spark):
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if Path(f).name.startswith("shuffle_")}
+    stored = lambda: {f for f in folder.rglob("*") if f.is_file()}
+    rows = chance_meetings(250)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    files, shuffles = stored(), shuffled()
+    out = near_duplicates(docs, 2, 80, 100)
+    for _ in range(50):  # shuffle files go a little later
+        left = shuffled() - shuffles
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    assert sum(f.stat().st_size for f in stored() - files) < 250 * len(rows)  # a row's signature alone has 512 bytes
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, out.collect())) == sorted(brute(rows, 2, 80, 100))
+
+
+@pytest.mark.parametrize("rows_of_a_batch", [1, 7, 10_000])
+def test_ties_reach_what_likely_pairs_reach(rows_of_a_batch):
+    rng = np.random.default_rng(2)
+    rows = []
+    for bucket in range(-3, 40):
+        base = rng.integers(0, 256, (3, 128), np.uint8)
+        for member in range(rng.integers(2, 12)):
+            sketch = base[rng.integers(3)].copy()
+            sketch[rng.random(128) < rng.choice([0.05, 0.3, 0.5])] = rng.integers(256)
+            rows.append((bucket, bucket * 100 + member, sketch.tobytes()))
+    schema = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("sketch", pa.binary())])
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    got = [p for b in minhash._tied(iter(table.to_batches(rows_of_a_batch))) for p in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
+
+    def reached(pairs):
+        group = {r[1]: r[1] for r in rows}
+        for u, v in pairs:
+            old, new = max(group[u], group[v]), min(group[u], group[v])
+            group = {k: new if g == old else g for k, g in group.items()}
+        return group
+
+    alike = lambda a, b: np.mean(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)) >= minhash.LEAST_AGREEMENT
+    likely = [(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] > b[1] and alike(a[2], b[2])]
+    assert set(got) <= set(likely) and len(got) == len(set(got))
+    assert reached(got) == reached(likely) and len(got) < len(likely)
+
+
+def test_common_buckets_tie_all_to_the_smallest(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "COMMON", 3)
+    rows = corpus()
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), 2, 80, 100).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows, 2, 80, 100), key=key)
